@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import page_number
 from ..session import settle
 from .scan import first_row, last_row, running_sum, scan
 
-CHUNK_BLOCKS = 512
+CHUNK_BLOCKS = 2048
 MAP_FAN = 512
 SLACK_PX = 1
 
@@ -210,6 +211,21 @@ def card_counts(paged: DataFrame, blocks: DataFrame, page_step: float, keys: tup
         *keys, F.greatest(F.col("_l.a"), F.col("_l.b").cast("long")).alias("cards"))
 
 
+def page_counts(paged: DataFrame) -> DataFrame:
+    """(doc_id, cards) from the pages blocks land on."""
+    return paged.groupBy("doc_id").agg((F.max("page") + 1).alias("cards"))
+
+
+def refresh_page_fields(found: DataFrame, paged: DataFrame, counts: DataFrame, start: int = 1, fmt: str | None = None) -> DataFrame:
+    """Add ``shown`` to fields (doc_id, seq, kind, cached): NUMPAGES counts pages, PAGE labels the field's own page.
+
+    Dates, times, authors and file names keep their cached snapshot.
+    """
+    label = page_number(F.col("page") + F.lit(start), F.lit(fmt))
+    shown = F.when(F.col("kind") == "NUMPAGES", F.col("cards").cast("string")).when(F.col("kind") == "PAGE", label).otherwise(F.col("cached"))
+    return found.join(paged.select("doc_id", "seq", "page"), ["doc_id", "seq"]).join(counts, "doc_id").withColumn("shown", shown).drop("cards")
+
+
 def forced_breaks(blocks: DataFrame) -> DataFrame:
     """Add ``forced``: a manual break marker block forces the next block; a marker inside a block forces that block.
 
