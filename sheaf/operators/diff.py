@@ -37,18 +37,19 @@ def moved_blocks(before: DataFrame, after: DataFrame) -> DataFrame:
         ~F.col("_b").eqNullSafe(F.col("_a"))).select("doc_id", "block_id")
 
 
-def apply_changes(before: DataFrame, changed: DataFrame, order: DataFrame) -> DataFrame:
+def apply_changes(before: DataFrame, changed: DataFrame, order: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """The state after a change message: (doc_id, seq, block_id, text).
 
     ``order`` (doc_id, seq, block_id) is authoritative: incoming content wins, else what is held, else the block is
-    skipped; blocks outside it disappear. Documents without an order row keep their state.
+    skipped; blocks outside it disappear. ``documents`` lists the doc_ids that have a message, so that an empty order
+    empties a document; without it they are those with an order row. All other documents keep their state.
     """
     new = changed.select("doc_id", "block_id", F.col("text").alias("_new"))
     held = before.select("doc_id", "block_id", F.col("text").alias("_held"))
     rebuilt = order.select("doc_id", "seq", "block_id").join(new, ["doc_id", "block_id"], "left").join(
         held, ["doc_id", "block_id"], "left").withColumn("text", F.coalesce("_new", "_held")).filter(
         F.col("text").isNotNull()).select("doc_id", "seq", "block_id", "text")
-    untouched = before.join(order.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "seq", "block_id", "text")
+    untouched = before.join((order if documents is None else documents).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "seq", "block_id", "text")
     return rebuilt.unionByName(untouched)
 
 
@@ -73,9 +74,9 @@ def fixed_point(generations: DataFrame) -> DataFrame:
 
     ``generations`` has doc_id, generation (0, 1, 2, ...), part, sha256. Generation 0 is the input and may differ.
     """
-    last = generations.groupBy("doc_id").agg(F.max("generation").alias("_last"))
+    last = generations.agg(F.max("generation")).first()[0]
     now = generations.select("doc_id", "part", "generation", F.col("sha256").alias("_now"))
-    was = generations.join(last, "doc_id").filter("generation < _last").select(
+    was = generations.filter(F.col("generation") < F.lit(last)).select(
         "doc_id", "part", (F.col("generation") + 1).alias("generation"), F.col("sha256").alias("_was"))
     return now.join(was, ["doc_id", "part", "generation"], "full").filter(
         (F.col("generation") > 1) & ~F.col("_now").eqNullSafe(F.col("_was"))).select("doc_id", "part", "generation")

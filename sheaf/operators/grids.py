@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,24 +51,31 @@ def place_spanned_cells(cells: DataFrame, keys: tuple[str, ...] = ("table_no",))
         .withColumn("_cut", F.coalesce(F.col("_open") <= F.col("row_no"), F.lit(True)).cast("long")),
         keys, "row_no", longest=longest, band=running_sum(F.col("_cut"))).select(*keys, "row_no", "band")
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row_no", "cell_no"])
-        taken: dict[int, set[int]] = {}
-        last = int(pdf["row_no"].max())
-        cols = []
-        for row, colspan, rowspan in zip(pdf["row_no"], pdf["colspan"], pdf["rowspan"]):
-            busy = taken.setdefault(int(row), set())
-            col = 0 if not cols or cols[-1][0] != row else cols[-1][1]
-            while col in busy:
-                col += 1
-            for down in range(int(row), min(int(row) + int(rowspan), last + 1)):
-                taken.setdefault(down, set()).update(range(col, col + int(colspan)))
-            cols.append((row, col))
-        return pdf.assign(col=[c for _, c in cols]).drop(columns=["band"])
+    fields = [f.name for f in cells.schema.fields]
+    group = [*keys, "band"]
+
+    def fill(batches):
+        now, row, col, taken = None, None, 0, {}
+        for pdf in batches:
+            cols = []
+            for *band, r, width, height in zip(*(pdf[c] for c in (*group, "row_no", "colspan", "rowspan"))):
+                if band != now:
+                    now, row, taken = band, None, {}
+                if r != row:
+                    taken = {c: end for c, end in taken.items() if end > r}
+                    row, col = r, 0
+                while col in taken and taken[col] > r:
+                    col += 1
+                # A covered column is free again from the row after the span that covers it.
+                taken.update(dict.fromkeys(range(col, col + int(width)), r + int(height)))
+                cols.append(col)
+                col += int(width)
+            yield pdf[fields].assign(col=cols)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
-    return cells.join(bands, [*keys, "row_no"]).select(*cells.columns, "band").groupBy(*keys, "band").applyInPandas(
-        fill, f"{schema}, col bigint")
+    ordered = cells.join(bands, [*keys, "row_no"]).select(*cells.columns, "band").repartition(*group).sortWithinPartitions(
+        *group, "row_no", "cell_no")
+    return ordered.mapInPandas(fill, f"{schema}, col bigint")
 
 
 def expand_grid(placed: DataFrame, keys: tuple[str, ...] = ("table_no",)) -> DataFrame:

@@ -182,3 +182,10 @@ def band_for_page(pages: DataFrame) -> DataFrame:
         F.when(F.col("title_page") & (F.col("page") == 0) & F.col("has_first"), "first")
         .when(F.col("title_page") & (F.col("page") == 0), "default")
         .when(F.col("even_odd") & (F.col("page") % 2 == 1) & F.col("has_even"), "even").otherwise("default"))
+
+
+def running_band(stories: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, section, html): the header or footer story with the most letters over the sections; the first wins a tie."""
+    letters = F.length(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", ""), r"[^\p{L}]", ""))
+    best = F.max_by(F.struct("section", "html"), F.struct(letters, -F.col("section")))
+    return stories.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.section", "_b.html")
