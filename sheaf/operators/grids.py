@@ -67,7 +67,8 @@ def place_spanned_cells(cells: DataFrame, keys: tuple[str, ...] = ("table_no",))
                 while col in taken and taken[col] > r:
                     col += 1
                 # A covered column is free again from the row after the span that covers it.
-                taken.update(dict.fromkeys(range(col, col + int(width)), r + int(height)))
+                for c in range(col, col + int(width)):
+                    taken[c] = max(taken.get(c, 0), r + int(height))
                 cols.append(col)
                 col += int(width)
             yield pdf[fields].assign(col=cols)
