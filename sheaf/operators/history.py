@@ -76,6 +76,17 @@ def undo_redo(ops: DataFrame, cap: int = 50, chunk_rows: int = UNDO_ROWS) -> Dat
     return out
 
 
+def step(base, undo: list, redo: list, op: str, state, cap: int = 50) -> tuple:
+    """One operation on (current state, undo stack, redo stack)."""
+    if op == "push" and state != base:
+        return state, [*undo, base][-cap:], []
+    if op == "undo" and undo:
+        return undo[-1], undo[:-1], [*redo, base]
+    if op == "redo" and redo:
+        return redo[-1], [*undo, base], redo[:-1]
+    return base, undo, redo
+
+
 def _replayer(cap: int):
     def replay(batches):
         doc, base, undo, redo = None, None, [], []
@@ -90,15 +101,7 @@ def _replayer(cap: int):
                 if op == "enter":
                     base, undo, redo = state, list(u), list(r)
                     continue
-                if op == "push" and state != base:
-                    undo = [*undo, base][-cap:]
-                    base, redo = state, []
-                elif op == "undo" and undo:
-                    redo = [*redo, base]
-                    base, undo = undo[-1], undo[:-1]
-                elif op == "redo" and redo:
-                    undo = [*undo, base]
-                    base, redo = redo[-1], redo[:-1]
+                base, undo, redo = step(base, undo, redo, op, state, cap)
                 rows.append((d, at, "out", base, undo, redo))
             yield pd.DataFrame(rows, columns=["doc_id", "at", "op", "state", "undo", "redo"])
         if started:

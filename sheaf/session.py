@@ -25,13 +25,13 @@ def local_session(cpus: str | int = "*", name: str = "sheaf") -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint, so a loop re-reads files instead of replaying its plan.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    temporary folder: on a cluster a machine-local folder would be lost together with its executor.
+    Only a local master may fall back to a temporary folder: on a cluster a machine-local folder would be lost together
+    with its executor.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -39,4 +39,10 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint, so a loop re-reads files instead of replaying its plan."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
