@@ -146,8 +146,7 @@ def live_counts(spark, sf):
 
 
 @query(fx.sql("""
-SELECT doc_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM fx_edits GROUP BY ALL
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM fx_edits) - INTERVAL 10 MINUTE""", "fx_edits"))
+SELECT * FROM (SELECT doc_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM fx_edits GROUP BY doc_id, date_trunc('hour', ts)) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM fx_edits) - INTERVAL 10 MINUTE""", "fx_edits"))
 def hourly_counts(spark, sf):
     return feeds.drain(live.hourly_counts(edit_stream(spark, sf))).drop("batch_id")
 
