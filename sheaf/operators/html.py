@@ -180,6 +180,12 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     return number_blocks(placed)
 
 
+def inline_pages(blocks: DataFrame) -> DataFrame:
+    """Pages that are nothing but one plain paragraph: pasted as inline text rather than as a block."""
+    alone = (F.count("*") == 1) & F.bool_and((F.col("kind") == "p") & (F.col("indent_px") == 0))
+    return blocks.groupBy("page_id").agg(alone.alias("inline"))
+
+
 def collapse_keeping_breaks(text: Column) -> Column:
     """Trim the block and the space around its line breaks."""
     return F.regexp_replace(F.regexp_replace(F.trim(text), r" *\n *", "\n"), r"^\n+|\n+$", "")

@@ -1,7 +1,8 @@
 """Document tables of OOXML word-processor packages, derived from XML nodes.
 
 Most tables are one filtered group-by over the nodes of an element (paragraph, run, section, style): the node rows
-carry the ids of everything that encloses them, so no self-joins up the tree are needed.
+carry the ids of everything that encloses them, so no self-joins up the tree are needed. The nodes of a part came out
+of one file in one task, so ordering the blocks of a part needs no chunks (``longest=0``).
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def blocks(nodes: DataFrame) -> DataFrame:
     mark = at("w:p", "w:pPr", "w:rPr", "w:ins") | at("w:p", "w:pPr", "w:rPr", "w:del")
     section = prop("w:sectPr")
     level = F.least(F.lit(8), F.greatest(F.lit(0), F.coalesce(val("w:numPr", "w:ilvl").try_cast("int"), F.lit(0))))
-    paras = n.filter(F.col("p").isNotNull()).groupBy(*KEY, "p").agg(
+    wanted = (F.col("tag") == "w:p") | _is_run_text() | F.array_contains("trail", "w:pPr")
+    paras = n.filter(F.col("p").isNotNull() & wanted).groupBy(*KEY, "p").agg(
         pick(F.col("node_id") == F.col("p"), F.struct(up(1).alias("tag"), id_up(1).alias("id"))).alias("_holder"),
         present(prop("w:numPr")).alias("_list"), heading.alias("_heading"), style.alias("_style"), level.alias("_level"),
         val("w:numPr", "w:numId").alias("num_id"), units.lookup(units.DOCX_ALIGN, val("w:jc")).alias("align"),
@@ -92,7 +94,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
         *KEY, F.col("node_id").alias("pos"), id_up(1).alias("container_id"), up(1).alias("container"),
         F.when(F.col("tag") == "w:tbl", "table").otherwise("pass").alias("kind"))
     every = paras.unionByName(others, allowMissingColumns=True)
-    return scan(every, [*KEY, "container_id"], "pos", seq=running_sum(F.lit(1), inclusive=False))
+    return scan(every, [*KEY, "container_id"], "pos", longest=0, seq=running_sum(F.lit(1), inclusive=False))
 
 
 def _format(where) -> list[Column]:
@@ -119,7 +121,8 @@ def runs(nodes: DataFrame) -> DataFrame:
     old = lambda tag: at("w:rPrChange", "w:rPr", tag)
     old_fmt = [c.alias(f"old_{k}") for c, k in zip([units.flag(present(old(t)), pick(old(t), attr("w:val"))) for t in ("w:b", "w:i", "w:u", "w:strike")], ("b", "i", "u", "strike"))]
     change = at("w:r", "w:rPr", "w:rPrChange")
-    grouped = n.filter(F.col("r").isNotNull()).groupBy(*KEY, "r").agg(
+    # The text itself sits below w:t; the elements around it add nothing.
+    grouped = n.filter(F.col("r").isNotNull() & ~F.col("tag").isin("w:t", "w:delText")).groupBy(*KEY, "r").agg(
         F.min(inside("w:p")).alias("p"), F.max(inside("w:ins", "w:del")).alias("_rev"), F.max(inside("w:hyperlink")).alias("_link"),
         joined_text(_is_run_text(), _run_text_of()).alias("text"), *_format(where), *old_fmt,
         present(change).alias("_changed"), pick(change, attr("w:author")).alias("_by"), pick(change, attr("w:date")).alias("_on"),
@@ -156,7 +159,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
         *[f"cell_{s}" for s in ("top", "right", "bottom", "left")])
     header = n.filter(at("w:tr", "w:trPr", "w:tblHeader")).select(*KEY, id_up(2).alias("tr"), F.lit(True).alias("is_header"))
     rows = own.select(*KEY, "table_no", "tr").distinct()
-    numbered = scan(rows, [*KEY, "table_no"], "tr", row_no=running_sum(F.lit(1), inclusive=False))
+    numbered = scan(rows, [*KEY, "table_no"], "tr", longest=0, row_no=running_sum(F.lit(1), inclusive=False))
     placed = scan(own.join(numbered, [*KEY, "table_no", "tr"]), [*KEY, "tr"], "c", longest=0, cell_no=running_sum(F.lit(1), inclusive=False))
     return placed.join(header, [*KEY, "tr"], "left").withColumn("is_header", F.coalesce("is_header", F.lit(False))).drop("tr", "c")
 

@@ -145,7 +145,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
         *KEY, "pos", "container", "container_id", "kind", "level", F.nullif("style_id", F.lit("")).alias("style_id"), "list_pos", "caption_kind", "text",
         (breakable & F.coalesce(F.col("_own") | F.col("_pb") | F.col("_pm"), F.lit(False))).alias("break_before"),
         (breakable & F.coalesce(F.col("_after"), F.lit(False))).alias("break_after"), F.when(breakable, F.col("master")).alias("master"))
-    return scan(out, ["doc_id", "part"], "pos", seq=running_sum(F.lit(1), inclusive=False))
+    return scan(out, ["doc_id", "part"], "pos", longest=0, seq=running_sum(F.lit(1), inclusive=False))
 
 
 def _nearest_is_item() -> Column:
@@ -189,7 +189,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
         joined_text(_is_text(F.col("c")), _text_of()).alias("text")).select(
         *KEY, "c", F.col("_h.t").alias("table_no"), F.col("_h.r").alias("_r"), F.col("_h.h").alias("is_header"), F.col("_h.s").alias("style_id"), F.col("_h.cs").alias("colspan"), F.col("_h.rs").alias("rowspan"), "text")
     rows = n.filter("tag = 'table:table-row'").select(*KEY, inside("table:table").alias("table_no"), F.col("node_id").alias("_r"))
-    numbered = scan(rows, [*KEY, "table_no"], "_r", row_no=running_sum(F.lit(1), inclusive=False))
+    numbered = scan(rows, [*KEY, "table_no"], "_r", longest=0, row_no=running_sum(F.lit(1), inclusive=False))
     placed = scan(grouped.join(numbered, [*KEY, "table_no", "_r"]), [*KEY, "_r"], "c", longest=0, cell_no=running_sum(F.lit(1), inclusive=False))
     return placed.drop("_r", "c")
 

@@ -54,35 +54,75 @@ def sniff_format(content: Column) -> Column:
     return out.otherwise("zip")
 
 
-def node_rows(stream) -> Iterator[dict]:
-    """Elements and text of one XML part in document order, names as written; text is a node tagged #text."""
-    ready: list[dict] = []
-    open_nodes: list[list] = []  # [id, tag, children seen]
+class _Rows:
+    """Rows gathered column by column, and turned into Arrow batches."""
+
+    def __init__(self) -> None:
+        self.columns: dict[str, list] = {name: [] for name in _ROW.names}
+        self.size = 0
+
+    def add(self, **values) -> None:
+        for name, column in self.columns.items():
+            column.append(values.get(name))
+        self.size += 1
+
+    def pad(self, names: Iterable[str], n: int) -> None:
+        for name in names:
+            self.columns[name].extend([None] * n)
+
+    def take(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(self.columns[f.name], type=f.type) for f in _ROW], schema=_ROW)
+        for column in self.columns.values():
+            column.clear()
+        self.size = 0
+        return batch
+
+
+_NODE = ("node_id", "parent_id", "depth", "ord", "tag", "attrs", "text", "trail", "ids")
+_NOT_NODE = [n for n in _ROW.names if n not in (*_NODE, "row", "doc_id", "part")]
+
+
+def read_nodes(stream, rows: _Rows, doc_id: str, part: str) -> Iterator[pa.RecordBatch]:
+    """Append the elements and text of one XML part in document order, names as written; text is a node tagged #text."""
+    columns = rows.columns
+    add_id, add_parent, add_depth, add_ord, add_tag, add_attrs, add_text, add_trail, add_ids = (columns[n].append for n in _NODE)
+    stack: list[list] = [[None, (), (), 0]]  # [id, trail, ids, children seen]
     count = 0
 
-    def add(tag: str, attrs: dict | None, text: str | None) -> int:
+    def add(tag, attrs, text):
         nonlocal count
-        parent = open_nodes[-1] if open_nodes else None
-        ready.append({
-            "node_id": count, "parent_id": parent[0] if parent else None, "depth": len(open_nodes), "ord": parent[2] if parent else 0,
-            "tag": tag, "attrs": list(attrs.items()) if attrs is not None else None, "text": text,
-            "trail": [n[1] for n in open_nodes] + [tag], "ids": [n[0] for n in open_nodes] + [count]})
-        if parent:
-            parent[2] += 1
+        parent, trail, ids, seen = stack[-1]
+        stack[-1][3] = seen + 1
+        trail, ids = (*trail, tag), (*ids, count)
+        add_id(count), add_parent(parent), add_depth(len(trail) - 1), add_ord(seen), add_tag(tag)
+        add_attrs(attrs), add_text(text), add_trail(trail), add_ids(ids)
         count += 1
-        return count - 1
+        return trail, ids
+
+    def start(tag, attrs):
+        trail, ids = add(tag, list(attrs.items()), None)
+        stack.append([ids[-1], trail, ids, 0])
 
     parser = expat.ParserCreate()
     parser.buffer_text = True
-    parser.StartElementHandler = lambda tag, attrs: open_nodes.append([add(tag, attrs, None), tag, 0])
-    parser.EndElementHandler = lambda tag: open_nodes.pop()
+    parser.StartElementHandler = start
+    parser.EndElementHandler = lambda tag: stack.pop()
     parser.CharacterDataHandler = lambda text: add("#text", None, text)
-    while chunk := stream.read(READ_BYTES):
-        parser.Parse(chunk)
-        yield from ready
-        ready.clear()
-    parser.Parse(b"", True)
-    yield from ready
+    done = False
+    while not done:
+        before, chunk = count, stream.read(READ_BYTES)
+        done = not chunk
+        try:
+            parser.Parse(chunk, done)
+        finally:
+            n = count - before
+            columns["row"].extend(["node"] * n)
+            columns["doc_id"].extend([doc_id] * n)
+            columns["part"].extend([part] * n)
+            rows.pad(_NOT_NODE, n)
+            rows.size += n
+        if rows.size >= BATCH_ROWS:
+            yield rows.take()
 
 
 def _zip_parts(content: bytes) -> tuple[str, Iterator[tuple[str, io.IOBase]]]:
@@ -105,11 +145,11 @@ class _Hashing:
         return data
 
 
-def _package_rows(doc_id: str, path: str, fmt: str, content: bytes, readers: dict[str, ReadFn]) -> Iterator[dict]:
+def _package_rows(rows: _Rows, doc_id: str, path: str, fmt: str, content: bytes, readers: dict[str, ReadFn]) -> Iterator[pa.RecordBatch]:
     doc = {"row": "doc", "doc_id": doc_id, "path": path, "format": fmt, "status": "ok", "n_bytes": len(content),
            "sha256": hashlib.sha256(content).hexdigest()}
     if fmt == "doc":
-        yield {**doc, "status": "unsupported"}
+        rows.add(**{**doc, "status": "unsupported"})
         return
     try:
         if fmt in readers:
@@ -120,20 +160,18 @@ def _package_rows(doc_id: str, path: str, fmt: str, content: bytes, readers: dic
             stream, error, is_xml = _Hashing(raw), None, name.endswith(XML_ENDINGS)
             if is_xml:
                 try:
-                    for node in node_rows(stream):
-                        yield {"row": "node", "doc_id": doc_id, "part": name, **node}
+                    yield from read_nodes(stream, rows, doc_id, name)
                 except expat.ExpatError as e:
                     error = str(e)
                     doc.update(status="unreadable", error=f"{name}: {e}")
             while stream.read():
                 pass
-            yield {"row": "part", "doc_id": doc_id, "part": name, "n_bytes": stream.size, "sha256": stream.digest.hexdigest(),
-                   "is_xml": is_xml, "error": error}
+            rows.add(row="part", doc_id=doc_id, part=name, n_bytes=stream.size, sha256=stream.digest.hexdigest(), is_xml=is_xml, error=error)
     except Exception as e:  # noqa: BLE001 - any unreadable container is reported, not raised
         doc.update(status="unreadable", error=f"{type(e).__name__}: {e}")
     if doc["format"] == "zip":
         doc["format"] = "docx"
-    yield doc
+    rows.add(**doc)
 
 
 def open_packages(files: DataFrame) -> DataFrame:
@@ -142,16 +180,14 @@ def open_packages(files: DataFrame) -> DataFrame:
     readers = {name: read for name, (_, read) in _EXTRA_FORMATS.items()}
 
     def flatten(batches):
-        pending: list[dict] = []
+        rows = _Rows()
         for batch in batches:
             for f in batch.to_pylist():
-                for row in _package_rows(f["doc_id"], f["path"], f["format"], f["content"], readers):
-                    pending.append(row)
-                    if len(pending) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(pending, schema=_ROW)
-                        pending = []
-        if pending:
-            yield pa.RecordBatch.from_pylist(pending, schema=_ROW)
+                yield from _package_rows(rows, f["doc_id"], f["path"], f["format"], f["content"], readers)
+                if rows.size >= BATCH_ROWS:
+                    yield rows.take()
+        if rows.size:
+            yield rows.take()
 
     return files.select(doc_id.alias("doc_id"), "path", sniff_format(F.col("content")).alias("format"), "content").mapInArrow(flatten, _DDL)
 
