@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import char_count, literal_replacement, search_pattern, word_count
 
 
+# Noncharacters that mark where a match begins and ends.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
 def searchable(runs: DataFrame) -> DataFrame:
     """Only editable text is searched; computed content (fields, references, tables of contents) is not."""
     return runs.filter(F.col("editable"))
@@ -39,20 +43,18 @@ def find(
         empty = runs.limit(0)
         return empty.select(*keys, F.lit(0).alias("match_no"), F.lit(0).alias("start"), F.lit(0).alias("end"), "text")
     text = F.col("text")
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # Positions of the matches: walk the matches, looking for each one from the end of the one before. A match found
-    # by the expression may also occur earlier as plain text where the expression does not match (a boundary), so the
-    # walk uses the pieces between matches instead of a plain search.
-    pieces = F.split(text, pattern, -1)
-    step = lambda s, p: F.struct(
-        (s["at"] + F.length(p["piece"]) + F.length(p["hit"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct(
-            (s["at"] + F.length(p["piece"])).alias("start"),
-            (s["at"] + F.length(p["piece"]) + F.length(p["hit"])).alias("end"), p["hit"].alias("text")))).alias("out"))
+    # Every match is wrapped in two noncharacters, which no text contains, and the text is cut after each match.
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    pieces = F.slice(F.split(marked, CLOSE, -1), 1, F.size(F.split(marked, CLOSE, -1)) - 1)
+    cut = F.transform(pieces, lambda p: F.struct(
+        F.substring_index(p, OPEN, 1).alias("before"), F.substring_index(p, OPEN, -1).alias("hit")))
+    span = lambda s, p: F.struct(
+        (s["at"] + F.length(p["before"])).alias("start"), (s["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("end"), p["hit"].alias("text"))
     walked = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), F.filter(hits, lambda h: h != "").alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda s, p: F.when(p["hit"].isNull(), s).otherwise(step(s, p)))["out"]
+        cut, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("at"),
+            F.when(p["hit"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(span(s, p)))).alias("out")))["out"]
     return (
         runs.filter(text.rlike(pattern))
         .select(*keys, F.posexplode(walked).alias("match_no", "m"))
