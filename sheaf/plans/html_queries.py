@@ -116,6 +116,13 @@ def internal_html(spark, sf):
     return marked.select("page_id", html.is_internal_html(F.col("html")).alias("internal"))
 
 
+@query("SELECT page_id, page_id % 3 = 0 AS inline FROM pages")
+def inline_pages(spark, sf):
+    """Every third page cut down to one plain paragraph, which is taken as inline text."""
+    plain = fx.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<p>"), "url", F.lit("</p>"))).otherwise(F.col("html")).alias("html"))
+    return html.inline_pages(html.html_blocks(plain))
+
+
 @query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def write_and_read_lake(spark, sf):
     """Documents written partitioned, then loaded again: the second load finds nothing new."""
