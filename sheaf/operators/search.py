@@ -45,9 +45,9 @@ def find(
     text = F.col("text")
     # Every match is wrapped in two noncharacters, which no text contains, and the text is cut after each match.
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
-    pieces = F.slice(F.split(marked, CLOSE, -1), 1, F.size(F.split(marked, CLOSE, -1)) - 1)
-    cut = F.transform(pieces, lambda p: F.struct(
-        F.substring_index(p, OPEN, 1).alias("before"), F.substring_index(p, OPEN, -1).alias("hit")))
+    # The last piece is what follows the last match; it has no opening mark, hence no hit.
+    cut = F.transform(F.split(marked, CLOSE, -1), lambda p: F.struct(
+        F.substring_index(p, OPEN, 1).alias("before"), F.when(p.contains(OPEN), F.substring_index(p, OPEN, -1)).otherwise("").alias("hit")))
     span = lambda s, p: F.struct(
         (s["at"] + F.length(p["before"])).alias("start"), (s["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("end"), p["hit"].alias("text"))
     walked = F.aggregate(
