@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,15 +50,9 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_SHIPPED: set[str] = set()
+def ship_package() -> None:
+    """Send this package's functions to Python workers as code, so that it need not be installed or on their path.
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, so that it need not be installed there."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        package = os.path.dirname(os.path.abspath(__file__))
-        archive = shutil.make_archive(
-            os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "sheaf"), "zip", os.path.dirname(package), os.path.basename(package))
-        context.addPyFile(archive)
-        _SHIPPED.add(context.applicationId)
+    Workers of stateful streams start before files added to a session reach them, hence code rather than an archive.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])

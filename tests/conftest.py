@@ -13,7 +13,7 @@ def spark():
     from sheaf.session import local_session, ship_package
 
     session = local_session(8, "tests")
-    ship_package(session)
+    ship_package()
     yield session
     session.stop()
 
