@@ -98,8 +98,13 @@ def word_length(t: Text) -> bool:
 
 
 def repeated_lines(t: Text) -> bool:
-    """More than three lines in ten are copies of earlier ones."""
-    return 10 * t.n_dup_lines > 3 * len(t.lines)
+    """More than half of the lines are copies of earlier ones."""
+    return 2 * t.n_dup_lines > len(t.lines)
+
+
+def stuttering(t: Text) -> bool:
+    """More than three words in ten equal the word before."""
+    return 10 * sum(map(bytes.__eq__, t.words, t.words[1:])) > 3 * t.n_words
 
 
 def letters(t: Text) -> bool:
@@ -113,7 +118,7 @@ def shouting(t: Text) -> bool:
     return 2 * upper > sum(map(str.isalpha, t.text))
 
 
-RULES: tuple[Rule, ...] = (base_failed, symbols, word_length, repeated_lines, letters, shouting)
+RULES: tuple[Rule, ...] = (base_failed, symbols, word_length, repeated_lines, stuttering, letters, shouting)
 
 
 def rejections_per_second(rules: tuple[Rule, ...], texts: list[str | None]) -> dict[str, float]:

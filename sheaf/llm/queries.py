@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, quality
+from . import bpe, fingerprints, line_dedup, quality
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -38,6 +39,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", digest("text").alias("kept_sha256"))
 
 
+@query()
+def op3_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return out.withColumn("edited_sha256", digest("edited")).drop("edited")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    decoded = bpe.decode_documents(encoded, tokenizer_file())
+    return decoded.select("doc_id", "n_tokens", digest("ids").alias("ids_sha256"), digest("text").alias("decoded_sha256"))
+
+
 @query()
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
