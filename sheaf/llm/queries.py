@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, packing, quality
+from . import bpe, chat, fingerprints, line_dedup, packing, pii, quality
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -89,3 +89,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+#: Key of the registered query's pseudonyms. A real run passes its own secret.
+DEMO_KEY = "check-run"
+
+
+@query()
+def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, DEMO_KEY)
