@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, packing, pii, quality
+from . import bpe, chat, fingerprints, line_dedup, packing, pii, quality, spans
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -86,6 +86,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(told.union(own))).drop("valid")
 
 
+@query()
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
