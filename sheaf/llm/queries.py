@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, packing, pii, quality, spans
+from . import bpe, chat, fingerprints, line_dedup, packing, pii, quality, site_tree, spans
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -104,3 +104,8 @@ DEMO_KEY = "check-run"
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, DEMO_KEY)
+
+
+@query()
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
