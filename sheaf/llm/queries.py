@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, line_dedup, packing, pii, quality, site_tree, spans
+from . import bpe, chat, fingerprints, jaccard_join, line_dedup, packing, pii, quality, site_tree, spans
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -109,3 +109,8 @@ def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("n_copies")
