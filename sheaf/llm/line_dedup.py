@@ -261,7 +261,7 @@ def dedup(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
     drop = (index.holders.join(shared, "key").where("doc_id > first_doc")
             .groupBy("doc_id").agg(F.collect_list("key").alias("drop")))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest"))
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_none"), *rest).alias("rest"))
     joined = packed.join(drop, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
