@@ -23,6 +23,18 @@ def edit_stream(spark, sf):
         F.concat(F.lit("k"), k % 20).alias("edit_key"), "value")
 
 
+def scrambled(spark, df):
+    """``df`` as a feed of four files, each with events from all times, read one file per micro-batch."""
+    folder = feeds.shared_folder(spark, "feed")
+    for k in (2, 0, 3, 1):
+        df.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/edits.parquet")
+    return feeds.read_table_feed(spark, folder, "edits", files_per_trigger=1)
+
+
+def edit_files(spark, sf):
+    return scrambled(spark, fx.edits(spark, sf))
+
+
 def change_messages(spark, sf):
     """Each edit as a change message: the new content of its block, and the ids held after it in block order."""
     placed = with_positions(fx.edits(spark, sf), ["doc_id"], ["ts", "event_id"], start=0)
@@ -80,25 +92,25 @@ def emit_block_changes(spark, sf):
 
 
 @query(fx.sql("""
-, p AS (SELECT doc_id, coalesce_key, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM fx_edits WHERE coalesce_key IS NOT NULL WINDOW w AS (PARTITION BY doc_id, coalesce_key ORDER BY ts, event_id))
-, s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, coalesce_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM p)
-SELECT doc_id, coalesce_key, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY doc_id, coalesce_key, no
-HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM fx_edits WHERE coalesce_key IS NOT NULL) - INTERVAL 10 MINUTE""", "fx_edits"))
+, p AS (SELECT doc_id, coalesce_key, ts, event_id, CASE WHEN coalesce_key = lag(coalesce_key) OVER w AND ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM fx_edits WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id))
+, s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM p)
+SELECT doc_id, max(coalesce_key) AS coalesce_key, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY doc_id, no""", "fx_edits"))
 def typing_sessions(spark, sf):
-    return feeds.drain(live.typing_sessions(edit_stream(spark, sf), idle="30 minutes")).drop("batch_id")
+    """Files out of order: a watermark of the whole span lets every edit find its run."""
+    return live.current_sessions(feeds.drain(live.typing_sessions(edit_files(spark, sf), idle="30 minutes", delay="400 days")))
 
 
 @query(fx.sql("""SELECT doc_id, kind, edit_key, CAST(count(DISTINCT 1) AS BIGINT) AS n FROM fx_edits WHERE kind NOT IN ('done', 'edited') GROUP BY ALL""", "fx_edits"))
 def first_deliveries(spark, sf):
     """Every edit delivered twice still counts once."""
-    twice = edit_stream(spark, sf).withColumn("_d", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_d")
-    out = feeds.drain(live.first_deliveries(twice, delay="400 days"))
+    twice = edit_files(spark, sf).withColumn("_d", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_d")
+    out = feeds.drain(live.first_deliveries(twice))
     return out.groupBy("doc_id", "kind", "edit_key").agg(F.count("*").alias("n"))
 
 
 @query(fx.sql("SELECT doc_id, kind, edit_key AS id, arg_max(value, (ts, event_id)) AS value FROM fx_edits WHERE kind IN ('done', 'edited') GROUP BY ALL", "fx_edits"))
 def last_deliveries(spark, sf):
-    out = feeds.drain(live.last_deliveries(edit_stream(spark, sf)))
+    out = feeds.drain(live.last_deliveries(edit_files(spark, sf)))
     return feeds.latest(out, ["doc_id", "kind", "id"]).withColumn("value", F.col("value").cast("double"))
 
 
@@ -110,7 +122,7 @@ def live_extras(spark, sf):
     """Bands and notes with even keys exist; geometry edits each set one field; the last value of each is current."""
     which = F.when(F.col("event_id") % 3 == 0, "geometry").when(F.col("event_id") % 3 == 1, "band").otherwise("note")
     value = F.when(which == "geometry", F.concat(F.lit('{"'), "edit_key", F.lit('": '), F.col("value").cast("string"), F.lit("}"))).otherwise(F.col("value").cast("string"))
-    extras = edit_stream(spark, sf).select("doc_id", "ts", "event_id", which.alias("kind"), F.when(which == "geometry", "").otherwise(F.col("edit_key")).alias("id"), value.alias("value"))
+    extras = edit_files(spark, sf).select("doc_id", "ts", "event_id", which.alias("kind"), F.when(which == "geometry", "").otherwise(F.col("edit_key")).alias("id"), value.alias("value"))
     keys = fx.edits(spark, sf).select("doc_id", "edit_key").distinct().filter(F.substr("edit_key", F.lit(2)).cast("int") % 2 == 0)
     known = keys.select("doc_id", F.explode(F.array(F.lit("band"), F.lit("note"))).alias("kind"), F.col("edit_key").alias("id"))
     out = feeds.latest(feeds.drain(live.live_extras(extras, known)), ["doc_id", "kind", "id"])
@@ -119,23 +131,18 @@ def live_extras(spark, sf):
                       F.when(~geometry, F.col("value").try_cast("double")).alias("value"))
 
 
-PRESENCE_SQL = fx.sql("""
+@query(fx.sql("""
 , last AS (SELECT doc_id, max_by(event_id, (ts, event_id)) AS event_id FROM fx_edits GROUP BY doc_id)
 SELECT DISTINCT e.doc_id, concat('s', s.n) AS peer, concat('b', (CAST(substr(e.block_id, 2) AS INT) + s.n) % 20) AS block_id
 FROM fx_edits e JOIN last USING (doc_id, event_id) CROSS JOIN (VALUES (0), (1), (2)) AS s(n)
-WHERE EXISTS (SELECT 1 FROM fx_edits b WHERE b.doc_id = e.doc_id AND b.block_id = concat('b', (CAST(substr(e.block_id, 2) AS INT) + s.n) % 20))""", "fx_edits")
-
-
-@query(PRESENCE_SQL)
+WHERE e.kind <> 'deleted' AND EXISTS (SELECT 1 FROM fx_edits b WHERE b.doc_id = e.doc_id AND b.block_id = concat('b', (CAST(substr(e.block_id, 2) AS INT) + s.n) % 20))""", "fx_edits"))
 def presence(spark, sf):
-    """Each edit reports three peers: at its own block and at the two after it."""
+    """Each edit reports three peers, at its own block and at the two after it; a deletion reports that nobody is left."""
     at = F.substr("block_id", F.lit(2)).cast("int")
     carets = F.array(*[F.struct(F.lit(f"s{n}").alias("id"), F.concat(F.lit("b"), (at + n) % 20).alias("block_id")) for n in range(3)])
-    messages = edit_stream(spark, sf).select("doc_id", "ts", "event_id", carets.alias("carets"))
+    messages = edit_files(spark, sf).select("doc_id", "ts", "event_id", F.when(F.col("kind") == "deleted", F.slice(carets, 1, 0)).otherwise(carets).alias("carets"))
     blocks = fx.edits(spark, sf).select("doc_id", "block_id").distinct()
-    out = feeds.drain(live.presence(messages, blocks), "update")
-    newest = out.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
-    return out.join(newest, ["doc_id", "batch_id"], "left_semi").select("doc_id", "peer", "block_id")
+    return live.shown_peers(feeds.latest(feeds.drain(live.presence_sets(messages), "update"), ["doc_id"]), blocks)
 
 
 @query(fx.sql(rf"""
@@ -145,10 +152,17 @@ def live_counts(spark, sf):
     return feeds.latest(feeds.drain(live.live_counts(lines), "update"), ["doc_id"])
 
 
-@query(fx.sql("""
-SELECT * FROM (SELECT doc_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM fx_edits GROUP BY doc_id, date_trunc('hour', ts)) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM fx_edits) - INTERVAL 10 MINUTE""", "fx_edits"))
+@query(fx.sql("SELECT doc_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM fx_edits GROUP BY ALL", "fx_edits"))
 def hourly_counts(spark, sf):
-    return feeds.drain(live.hourly_counts(edit_stream(spark, sf))).drop("batch_id")
+    return feeds.latest(feeds.drain(live.hourly_counts(edit_files(spark, sf)), "update"), ["doc_id", "hour"])
+
+
+@query(fx.sql("SELECT doc_id, event_id, coalesce_key FROM fx_edits", "fx_edits"))
+def stored_table_feed(spark, sf):
+    """A table stored as a folder of part files, as a stream of two files a batch."""
+    folder = feeds.shared_folder(spark, "tables")
+    fx.edits(spark, sf).repartition(5, "event_id").write.parquet(f"{folder}/edits.parquet")
+    return feeds.drain(feeds.read_table_feed(spark, folder, "edits", files_per_trigger=2).select("doc_id", "event_id", "coalesce_key")).drop("batch_id")
 
 
 @query()

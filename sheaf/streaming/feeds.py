@@ -9,24 +9,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_change_feed(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+#: What a micro-batch takes at most, unless the caller says otherwise.
+BATCH_BYTES = 1 << 30
+
+
+def _bounded(reader, files_per_trigger: int | None):
+    return reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader.option("maxBytesPerTrigger", BATCH_BYTES)
+
+
+def read_change_feed(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of JSON lines as a stream. The schema is given, never inferred."""
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return _bounded(spark.readStream.schema(schema), files_per_trigger).json(path)
 
 
-def read_table_feed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stored table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+def read_table_feed(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stored table as a stream of its files: ``folder``/``name``.parquet may be a file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = _bounded(spark.readStream.schema(table.schema), files_per_trigger)
+    single = any(f.split("?")[0].endswith(f"/{name}.parquet") for f in table.inputFiles()[:1])
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if single else reader.parquet(path)
 
 
 def write_change_feed(stream: DataFrame, path: str, checkpoint: str):
@@ -47,16 +56,22 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = stream.schema.add("batch_id", "long")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).foreachBatch(save).start())
+    spark.createDataFrame([], schema).write.partitionBy("batch_id").parquet(f"{folder}/out")  # a feed may bring nothing
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True).foreachBatch(save).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch_id", "long")).parquet(f"{folder}/out")
+    return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -149,29 +149,41 @@ def undo_redo(ops: DataFrame, cap: int = 50) -> DataFrame:
         _UndoRedo(cap), f"doc_id {key}, event_id bigint, state string, undo_depth bigint, redo_depth bigint", "Append", "None")
 
 
+def _clock(m: dict) -> list[int]:
+    """Where a message stands in the order of events: time, then event id. Messages without a time come first."""
+    return [-1 if pd.isna(m["ts"]) else m["ts"].value, -1 if pd.isna(m["event_id"]) else int(m["event_id"])]
+
+
 class _LiveExtras(StatefulProcessor):
-    """The value of one extra. Geometry is merged field by field, everything else is replaced."""
+    """The value of one extra with the clock of the event that set it; geometry has a clock for each field.
+
+    An event older than the one a value comes from changes nothing, in whichever micro-batch it arrives.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value string")
+        self.value = handle.getValueState("value", "value string, clocks string")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.value.get()[0] if self.value.exists() else None
-        value = held
+        held, clocks = self.value.get() if self.value.exists() else (None, None)
+        value, clocks = held, json.loads(clocks) if clocks else {}
         for m in _in_order(rows):
+            clock = _clock(m)
             try:
                 if key[1] == "geometry":
+                    fields = {k: v for k, v in json.loads(m["value"]).items() if clock >= clocks.get(k, clock)}
+                    clocks.update(dict.fromkeys(fields, clock))
                     # Sorted keys, so that the same geometry always compares equal.
-                    value = json.dumps({**(json.loads(value) if value else {}), **json.loads(m["value"])}, sort_keys=True)
-                elif key[1] in ("note", "styles"):
+                    value = json.dumps({**(json.loads(value) if value else {}), **fields}, sort_keys=True)
+                    continue
+                if key[1] in ("note", "styles"):
                     json.loads(m["value"])
-                    value = m["value"]
-                else:
-                    value = m["value"]
-            except (TypeError, ValueError):
+            except (AttributeError, TypeError, ValueError):
                 continue  # unreadable: what is held stays
+            if clock >= clocks.get("", clock):
+                clocks[""] = clock
+                value = m["value"]
+        self.value.update((value, json.dumps(clocks)))
         if value != held:
-            self.value.update((value,))
             yield pd.DataFrame([(*key, value)], columns=["doc_id", "kind", "id", "value"])
 
     def close(self) -> None:
@@ -192,9 +204,14 @@ def live_extras(extras: DataFrame, known: DataFrame | None = None) -> DataFrame:
         _LiveExtras(), f"doc_id {key}, kind string, id string, value string", "Append", "None")
 
 
-def first_deliveries(edits: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Edits that count once (reactions, replies, deletions): redeliveries within ``delay`` of event time are dropped."""
-    return edits.filter(~F.col("kind").isin("done", "edited")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["doc_id", "kind", "edit_key"])
+def first_deliveries(edits: DataFrame, delay: str | None = None) -> DataFrame:
+    """Edits that count once (reactions, replies, deletions): redeliveries are dropped.
+
+    Keys are remembered for ever, in RocksDB. Where a feed bounds how late it redelivers, ``delay`` of event time bounds the
+    memory instead.
+    """
+    once, key = edits.filter(~F.col("kind").isin("done", "edited")), ["doc_id", "kind", "edit_key"]
+    return once.dropDuplicates(key) if delay is None else once.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
 
 
 def last_deliveries(edits: DataFrame) -> DataFrame:
@@ -203,14 +220,16 @@ def last_deliveries(edits: DataFrame) -> DataFrame:
     return live_extras(rows)
 
 
-def presence(messages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, peer, block_id): who is where. A message replaces the whole set; peers in unknown blocks are not shown.
+def presence_sets(messages: DataFrame) -> DataFrame:
+    """(doc_id, carets): the set of peers each document's newest message gave, which may be empty. For streams in update
+    mode and for batches: a message replaces the whole set."""
+    return messages.groupBy("doc_id").agg(F.max_by(F.coalesce("carets", F.array()), F.struct("ts", "event_id")).alias("carets"))
 
-    Works on a stream (update mode) and on a batch alike.
-    """
-    now = messages.groupBy("doc_id").agg(F.max_by("carets", F.struct("ts", "event_id")).alias("carets"))
-    return now.select("doc_id", F.explode("carets").alias("c")).select("doc_id", F.col("c.id").alias("peer"), F.col("c.block_id").alias("block_id")).join(
-        blocks.select("doc_id", "block_id"), ["doc_id", "block_id"], "left_semi")
+
+def shown_peers(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, peer, block_id): who is where. Peers in unknown blocks are not shown."""
+    peers = sets.select("doc_id", F.explode("carets").alias("c")).select("doc_id", F.col("c.id").alias("peer"), F.col("c.block_id").alias("block_id"))
+    return peers.join(blocks.select("doc_id", "block_id"), ["doc_id", "block_id"], "left_semi")
 
 
 def live_counts(blocks: DataFrame) -> DataFrame:
@@ -218,18 +237,64 @@ def live_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.sum(word_count(F.col("text"))).alias("words"), F.sum(char_count(F.col("text"))).alias("chars"))
 
 
-def hourly_counts(edits: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Edits per document and hour; an hour is final once the watermark has passed it."""
-    return edits.withWatermark("ts", delay).groupBy("doc_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(
+def hourly_counts(edits: DataFrame, delay: str | None = None) -> DataFrame:
+    """Edits per document and hour. In update mode an hour's row is its count so far; with a ``delay``, hours that the
+    watermark has passed are final, leave the state, and are what append mode puts out."""
+    timed = edits.withWatermark("ts", delay) if delay else edits
+    return timed.groupBy("doc_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(
         "doc_id", F.col("w.start").alias("hour"), "n")
 
 
+class _TypingSessions(StatefulProcessor):
+    """The edits of runs that a later arrival may still change. Rows of a batch are a document's runs since the last final
+    one, so the open runs of its newest batch are its open runs now."""
+
+    def __init__(self, idle: pd.Timedelta) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.edits = handle.getListState("edits", "ts timestamp, event_id bigint, coalesce_key string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = pd.DataFrame(list(self.edits.get()), columns=["ts", "event_id", "coalesce_key"])
+        held["ts"] = pd.to_datetime(held["ts"])
+        came = [f[["ts", "event_id", "coalesce_key"]] for f in rows if len(f)]
+        edits = pd.concat([f for f in (held, *came) if len(f)]).sort_values(["ts", "event_id"], ignore_index=True)
+        name = edits["coalesce_key"]
+        same = name.notna() & (name == name.shift()) & (edits["ts"] - edits["ts"].shift() <= self.idle)
+        run = (~same).cumsum()
+        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        ends = edits.groupby(run)["ts"].max()
+        final = (ends + self.idle < mark).cummin()  # nothing can come before or inside these any more
+        out = edits.groupby(run).agg(coalesce_key=("coalesce_key", "first"), started=("ts", "min"), ended=("ts", "max"), n=("ts", "size"))
+        out["final"], out["doc_id"] = final, key[0]
+        open_ = edits[~run.map(final).astype(bool)]
+        if len(open_):
+            self.edits.put([(r.ts.to_pydatetime(), int(r.event_id), r.coalesce_key if isinstance(r.coalesce_key, str) else None) for r in open_.itertuples()])
+        else:
+            self.edits.clear()
+        yield out[["doc_id", "coalesce_key", "started", "ended", "n", "final"]]
+
+    def close(self) -> None:
+        pass
+
+
 def typing_sessions(edits: DataFrame, idle: str = "400 milliseconds", delay: str = "10 minutes") -> DataFrame:
-    """Typing runs by idle time per (document, key): (doc_id, coalesce_key, started, ended, n).
+    """Typing runs as ``history.edit_runs`` cuts them: (doc_id, coalesce_key, started, ended, n, final).
 
-    Breaks at a change of key between two edits of one key need the order of all edits of the document; the batch
-    operator ``history.edit_runs`` has them.
+    A run ends after ``idle`` without an edit, at a change of key, and at every edit without key, which is a run of its
+    own. Final runs come out once; runs that an edit within ``delay`` may still change come out again whenever their
+    document gets edits. ``current_sessions`` reads both.
     """
-    typed = edits.filter(F.col("coalesce_key").isNotNull()).withWatermark("ts", delay)
-    return typed.groupBy("doc_id", "coalesce_key", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("n")).select(
-        "doc_id", "coalesce_key", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
+    key = edits.schema["doc_id"].dataType.simpleString()
+    timed = edits.select("doc_id", "ts", "event_id", "coalesce_key").withWatermark("ts", delay)
+    return timed.groupBy("doc_id").transformWithStateInPandas(
+        _TypingSessions(pd.Timedelta(idle)), f"doc_id {key}, coalesce_key string, started timestamp, ended timestamp, n bigint, final boolean",
+        "Append", "EventTime")
+
+
+def current_sessions(emitted: DataFrame) -> DataFrame:
+    """All runs so far, the last ones still open, out of what ``typing_sessions`` has emitted."""
+    newest = emitted.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
+    open_ = emitted.filter("not final").join(newest, ["doc_id", "batch_id"], "left_semi")
+    return emitted.filter("final").unionByName(open_).drop("batch_id", "final")
