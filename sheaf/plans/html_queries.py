@@ -123,12 +123,18 @@ def inline_pages(spark, sf):
     return html.inline_pages(html.html_blocks(plain))
 
 
-@query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
+@query("""
+WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN concat('changed', chr(10), text) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),
+b AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line FROM d)
+SELECT d.doc_id, lang, CAST(length(text) AS BIGINT) AS chars, n_blocks, block_chars
+FROM d JOIN (SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(line)) AS BIGINT) AS block_chars FROM b GROUP BY doc_id) USING (doc_id)""")
 def write_and_read_lake(spark, sf):
-    """Documents written partitioned, then loaded again: the second load finds nothing new."""
-    docs = fx.table(spark, sf, "documents").select(
-        F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_sha256"), F.lit("text").alias("format"), "text", "lang")
+    """A corpus is loaded, then one in which every seventh document changed and every eleventh is gone, and that again."""
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("format"), "text", "lang")
+    later = docs.filter(F.col("doc_id") % 11 != 0).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("changed\n"), "text")).otherwise(F.col("text")))
     folder = shared_folder(spark, "lake")
-    lake.load_increment(spark, docs, {"blocks": lake.read_text_documents(docs)}, folder, first=True)
-    lake.load_increment(spark, docs, {"blocks": lake.read_text_documents(docs)}, folder)
-    return spark.read.parquet(f"{folder}/docs").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    for corpus in (docs, later, later):
+        corpus = corpus.withColumn("content_sha256", F.sha2("text", 256))
+        lake.load_increment(spark, corpus, {"blocks": lake.read_text_documents(corpus)}, folder, whole=True)
+    blocks = lake.read_lake(spark, folder, "blocks").groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("block_chars"))
+    return lake.read_lake(spark, folder).select("doc_id", "lang", F.length("text").cast("long").alias("chars")).join(blocks, "doc_id")

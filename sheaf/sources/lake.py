@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +28,54 @@ def new_or_changed(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(stored.select("path", "content_sha256"), ["path", "content_sha256"], "left_anti")
 
 
-def write_lake(tables: Mapping[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Write each table to ``path``/<name>, partitioned by format where it has one."""
-    for name, df in tables.items():
-        writer = df.write.mode(mode)
-        if "format" in df.columns:
-            writer = writer.partitionBy("format")
-        writer.parquet(f"{path}/{name}")
+def _loads(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """All rows of a table with the load that wrote each; None before anything was loaded."""
+    try:
+        return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def load_increment(spark: SparkSession, docs: DataFrame, tables: Mapping[str, DataFrame], path: str, first: bool = False) -> DataFrame:
-    """Append the documents that are new or changed, and only their rows in the other tables; returns those documents."""
-    changed = docs if first else new_or_changed(docs, spark.read.parquet(f"{path}/docs"))
+def _newest(docs: DataFrame) -> DataFrame:
+    """The row of each path that the newest load wrote; a null content_sha256 says that the document is gone."""
+    rest = [c for c in docs.columns if c != "path"]
+    newest = docs.groupBy("path").agg(F.max_by(F.struct(*rest), "load").alias("_r"))
+    return newest.select("path", "_r.*").filter("content_sha256 is not null")
+
+
+def read_lake(spark: SparkSession, path: str, name: str = "docs") -> DataFrame:
+    """The current rows of a table: those of each document's newest version. ``load`` tells which load wrote them."""
+    docs = _newest(_loads(spark, path, "docs"))
+    if name == "docs":
+        return docs
+    return _loads(spark, path, name).join(docs.select("doc_id", "load"), ["doc_id", "load"], "left_semi")
+
+
+def load_increment(spark: SparkSession, docs: DataFrame, tables: Mapping[str, DataFrame], path: str, whole: bool = False) -> DataFrame:
+    """Store the documents that are new or changed, with only their rows of the other tables; returns those documents.
+
+    Every load writes folders of its own, named by its number and by what it loads, and its ``docs`` come last: readers see a
+    load completely or not at all, and a load that is repeated after a failure writes the same folders again. Earlier
+    versions stay on disk and out of sight. With ``whole``, ``docs`` is the whole corpus, and stored documents that it
+    lacks are marked as gone.
+    """
+    stored = _loads(spark, path, "docs")
+    number = 0 if stored is None else int(stored.agg(F.max("load")).first()[0].split("-")[0]) + 1
+    changed, gone = docs, None
+    if stored is not None:
+        current = _newest(stored)
+        changed = new_or_changed(docs, current)
+        if whole:
+            gone = current.join(docs.select("path"), "path", "left_anti").withColumn("content_sha256", F.lit(None).cast("string")).drop("load")
+    written = changed if gone is None else changed.unionByName(gone, allowMissingColumns=True)
+    what = written.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "content_sha256"))).first()
+    if not what[0]:
+        return docs.limit(0)
+    load = f"{number:09d}-{what[1] & (1 << 64) - 1:016x}"
     ids = changed.select("doc_id")
-    write_lake({name: t.join(ids, "doc_id", "left_semi") for name, t in tables.items()}, path)
-    write_lake({"docs": changed}, path)
-    return changed
+    for name, df in [*((n, t.join(ids, "doc_id", "left_semi")) for n, t in tables.items()), ("docs", written)]:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("format") if "format" in df.columns else writer).parquet(f"{path}/{name}/load={load}")
+    return spark.read.schema(written.schema).parquet(f"{path}/docs/load={load}").filter("content_sha256 is not null")

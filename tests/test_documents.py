@@ -191,9 +191,24 @@ def test_formats_can_be_registered(spark):
         packages._EXTRA_FORMATS.clear()
 
 
-def test_only_changed_documents_are_written_again(spark, tmp_path):
+def test_a_changed_document_replaces_the_old_one(spark, tmp_path, rows):
     table = lambda *rows_: spark.createDataFrame(list(rows_), "doc_id int, path string, content_sha256 string, format string, text string")
-    docs = table((1, "a", "h1", "text", "x"), (2, "b", "h2", "text", "y"))
-    lake.load_increment(spark, docs, {"blocks": lake.read_text_documents(docs)}, str(tmp_path), first=True)
-    again = table((1, "a", "h1", "text", "x"), (2, "b", "h3", "text", "y\nz\n"))
-    assert [r.doc_id for r in lake.load_increment(spark, again, {"blocks": lake.read_text_documents(again)}, str(tmp_path)).collect()] == [2]
+    load = lambda docs, **how: sorted(r.doc_id for r in lake.load_increment(spark, docs, {"blocks": lake.read_text_documents(docs)}, str(tmp_path), **how).collect())
+    docs = table((1, "a", "h1", "text", "x"), (2, "b", "h2", "text", "y"), (3, "c", "h3", "text", "w"))
+    assert load(docs) == [1, 2, 3]
+    again = table((1, "a", "h1", "text", "x"), (2, "b", "h4", "text", "y\nz\n"))
+    assert load(again) == [2] and load(again) == []
+    assert rows(lake.read_lake(spark, str(tmp_path)), "doc_id", "content_sha256") == [(1, "h1"), (2, "h4"), (3, "h3")]
+    assert rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text") == [(1, "x"), (2, "y"), (2, "z"), (3, "w")]
+    assert load(again, whole=True) == [] and rows(lake.read_lake(spark, str(tmp_path)), "doc_id") == [(1,), (2,)]
+    # A load that stopped before its docs were written is invisible, and repeating it leaves nothing twice.
+    newest = sorted((tmp_path / "docs").glob("load=*"))
+    third = table((1, "a", "h5", "text", "x2"), (2, "b", "h4", "text", "y\nz\n"))
+    assert load(third) == [1]
+    made = next(p for p in (tmp_path / "docs").glob("load=*") if p not in newest)
+    for f in sorted(made.rglob("*"), reverse=True):
+        f.rmdir() if f.is_dir() else f.unlink()
+    made.rmdir()
+    assert (1, "x") in rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text")
+    assert load(third) == [1]
+    assert rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text") == [(1, "x2"), (2, "y"), (2, "z")]
