@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
@@ -28,12 +28,10 @@ def vmerge_to_rowspan(placed: DataFrame, keys: tuple[str, ...] = ("table_no",))
     prev = scan(placed, keys, "row_no", longest=longest, _prev=last_row(inclusive=False))
     linked = (F.col("vmerge") == "cont") & (F.col("_prev.at") == F.col("row_no") - 1)
     islands = scan(prev.withColumn("_head", ~F.coalesce(linked, F.lit(False))), keys, "row_no", longest=longest, _top=last_row(F.col("_head")))
-    sizes = islands.groupBy(*keys, F.col("_top.at").alias("row_no")).agg(F.count("*").alias("_span"))
-    return (
-        placed.filter(~F.col("vmerge").eqNullSafe("cont")).join(sizes, [*keys, "row_no"], "left")
-        .withColumn("rowspan", F.when(F.col("vmerge") == "restart", F.coalesce("_span", F.lit(1))).otherwise(1).cast("long"))
-        .drop("_span").select(*placed.columns, "rowspan")
-    )
+    # Islands lie within a column, so this window needs no further shuffle.
+    size = F.count("*").over(Window.partitionBy(*keys, "_top.at"))
+    return islands.withColumn("_span", size).filter(~F.col("vmerge").eqNullSafe("cont")).select(
+        *placed.columns, F.when(F.col("vmerge") == "restart", F.col("_span")).otherwise(1).cast("long").alias("rowspan"))
 
 
 def place_spanned_cells(cells: DataFrame, keys: tuple[str, ...] = ("table_no",)) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +21,23 @@ def searchable(runs: DataFrame) -> DataFrame:
 
 
 def checked_pattern(spark, query: str, match_case: bool, whole_word: bool, regex: bool) -> str | None:
-    """The search pattern, or None when it is empty or Java rejects it. Only the pattern is checked, not the data."""
+    """The search pattern, or None when it is empty or Java rejects it."""
     pattern = search_pattern(query, match_case, whole_word, regex)
     if pattern is None:
         return None
     try:
-        spark.range(1).select(F.regexp_count(F.lit("x"), F.lit(pattern))).collect()
-    except Exception:  # noqa: BLE001 - any rejected pattern means "no matches"
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "PatternSyntaxException":
+            raise
         return None
     return pattern
 
 
+def _running_ends(sizes: pd.Series) -> pd.Series:
+    return sizes.map(lambda s: np.cumsum(s, dtype=np.int32))
+
+
 def find(
     runs: DataFrame, query: str, match_case: bool = False, whole_word: bool = False, regex: bool = False,
     keys: tuple[str, ...] = ("doc_id", "seq"),
@@ -48,18 +57,13 @@ def find(
     # The last piece is what follows the last match; it has no opening mark, hence no hit.
     cut = F.transform(F.split(marked, CLOSE, -1), lambda p: F.struct(
         F.substring_index(p, OPEN, 1).alias("before"), F.when(p.contains(OPEN), F.substring_index(p, OPEN, -1)).otherwise("").alias("hit")))
-    span = lambda s, p: F.struct(
-        (s["at"] + F.length(p["before"])).alias("start"), (s["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("end"), p["hit"].alias("text"))
-    walked = F.aggregate(
-        cut, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["before"]) + F.length(p["hit"])).alias("at"),
-            F.when(p["hit"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(span(s, p)))).alias("out")))["out"]
-    return (
-        runs.filter(text.rlike(pattern))
-        .select(*keys, F.posexplode(walked).alias("match_no", "m"))
-        .select(*keys, "match_no", F.col("m.start"), F.col("m.end"), F.col("m.text").alias("text"))
-    )
+    # Spark's higher-order functions would copy the list at every step; a running sum of the lengths is one pass in numpy.
+    ends = F.pandas_udf(_running_ends, "array<int>")
+    sized = runs.filter(text.rlike(pattern)).select(*keys, cut.alias("cut")).select(
+        *keys, "cut", ends(F.transform("cut", lambda p: F.length(p["before"]) + F.length(p["hit"]))).alias("ends"))
+    hits = F.filter(F.arrays_zip("cut", "ends"), lambda z: z["cut"]["hit"] != "")
+    return sized.select(*keys, F.posexplode(hits).alias("match_no", "z")).select(
+        *keys, "match_no", (F.col("z.ends") - F.length("z.cut.hit")).alias("start"), F.col("z.ends").alias("end"), F.col("z.cut.hit").alias("text"))
 
 
 def replace_all(

@@ -185,5 +185,5 @@ def sql(body: str, *views: str, recursive: bool = False) -> str:
         names += [v for v in [*NEEDS.get(view, []), view] if v not in names]
     if not names:
         return "WITH " + body.lstrip().removeprefix(",")
-    ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in names)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"

@@ -386,9 +386,8 @@ PLACED_SQL = """
 , placed AS (SELECT *, CAST(coalesce(sum(colspan) OVER (PARTITION BY table_no, row_no ORDER BY cell_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS col FROM fx_cells)
 , prev AS (SELECT *, NOT coalesce(vmerge = 'cont' AND lag(row_no) OVER (PARTITION BY table_no, col ORDER BY row_no) = row_no - 1, false) AS head FROM placed)
 , island AS (SELECT *, max(CASE WHEN head THEN row_no END) OVER (PARTITION BY table_no, col ORDER BY row_no) AS top FROM prev)
-, spans AS (SELECT table_no, col, top, count(*) AS n FROM island GROUP BY ALL)
-, spanned AS (SELECT p.*, CASE WHEN vmerge = 'restart' THEN s.n ELSE 1 END AS rowspan FROM placed p LEFT JOIN spans s ON s.table_no = p.table_no AND s.col = p.col AND s.top = p.row_no
-              WHERE vmerge IS DISTINCT FROM 'cont') """
+, counted AS (SELECT *, CASE WHEN vmerge = 'restart' THEN count(*) OVER (PARTITION BY table_no, col, top) ELSE 1 END AS rowspan FROM island)
+, spanned AS (SELECT * FROM counted WHERE vmerge IS DISTINCT FROM 'cont') """
 
 
 @query(fx.sql(PLACED_SQL + "SELECT table_no, row_no, CAST(cell_no AS BIGINT) AS cell_no, col FROM placed", "fx_cells"))
