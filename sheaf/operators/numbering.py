@@ -154,11 +154,11 @@ def attach_captions(blocks: DataFrame, keys: list[str], order: str = "seq") -> D
 
 
 def section_of_block(blocks: DataFrame, geometry: list[str], document: dict[str, int], trailing: bool = True, order: str = "pos",
-                     inherited: tuple[str, ...] = ("w", "h", "mt", "mr", "mb", "ml")) -> DataFrame:
+                     inherited: tuple[str, ...] = ("w", "h", "mt", "mr", "mb", "ml", "line_numbers", "line_interval", "line_restart", "line_start")) -> DataFrame:
     """Add the geometry in force at each block.
 
-    Trailing: the first boundary at or after the block; leading: the last boundary at or before it. Size and margins
-    missing there fall back to the document, other fields do not. Without a boundary the document applies whole.
+    Trailing: the first boundary at or after the block; leading: the last boundary at or before it. Size, margins and
+    line numbering missing there fall back to the document, other fields do not. Without a boundary the document applies whole.
     """
     fields = {g: F.col(f"b_{g}") for g in geometry}
     found = (next_row if trailing else last_row)(F.col("boundary"), **fields)

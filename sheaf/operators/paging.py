@@ -26,16 +26,21 @@ _FOLDED = "array<struct<seq:bigint,page:bigint,offset_px:double,spacer_px:double
 _CASES = "array<struct<top:double,bottom:double,forced:boolean,pages:bigint,leave:double>>"
 
 
-def _fold(items: Column, page: Column, offset: Column, step: float, content: float, reserve: Column | None) -> Column:
+def _px(value: float | str) -> Column:
+    """A length given as a number or as the name of a column."""
+    return F.col(value).cast("double") if isinstance(value, str) else F.lit(float(value))
+
+
+def _fold(items: Column, page: Column, offset: Column, step: float | str, content: float | str, reserve: Column | None) -> Column:
     """Fold sorted blocks STRUCT(seq, height, forced) from a state; ``reserve`` is MAP(page -> px) kept free below."""
 
     def place(s: Column, b: Column) -> Column:
-        room = F.lit(float(content)) - (F.coalesce(reserve[s["page"]], F.lit(0.0)) if reserve is not None else F.lit(0.0))
+        room = _px(content) - (F.coalesce(reserve[s["page"]], F.lit(0.0)) if reserve is not None else F.lit(0.0))
         turn = (s["offset"] > 0) & (b["forced"] | (s["offset"] + b["height"] > room + SLACK_PX))
-        ahead = F.greatest(F.lit(1).cast("long"), F.ceil(s["offset"] / F.lit(float(step))).cast("long"))
+        ahead = F.greatest(F.lit(1).cast("long"), F.ceil(s["offset"] / _px(step)).cast("long"))
         page_now = F.when(turn, s["page"] + ahead).otherwise(s["page"])
         offset_now = F.when(turn, F.lit(0.0)).otherwise(s["offset"])
-        gap = F.when(turn, F.nullif(ahead * F.lit(float(step)) - s["offset"], F.lit(0.0)))
+        gap = F.when(turn, F.nullif(ahead * _px(step) - s["offset"], F.lit(0.0)))
         return F.struct(
             page_now.alias("page"), (offset_now + b["height"]).alias("offset"),
             F.concat(s["out"], F.array(F.struct(
@@ -46,19 +51,20 @@ def _fold(items: Column, page: Column, offset: Column, step: float, content: flo
     return F.aggregate(items, start, place)
 
 
-def _chunked(blocks: DataFrame, keys: list[str], chunk_blocks: int) -> DataFrame:
+def _chunked(blocks: DataFrame, keys: list[str], chunk_blocks: int, step: float | str = 0, content: float | str = 0) -> DataFrame:
+    """Blocks in chunks, with the page step and content height of their key."""
     forced = F.col("forced") if "forced" in blocks.columns else F.lit(False)
     return (
         blocks.select(
-            *keys, F.floor(F.col("seq") / chunk_blocks).cast("long").alias("chunk"),
+            *keys, _px(step).alias("_step"), _px(content).alias("_content"), F.floor(F.col("seq") / chunk_blocks).cast("long").alias("chunk"),
             F.struct(F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("height_px"), F.lit(0)).cast("double").alias("height"),
                      F.coalesce(forced, F.lit(False)).alias("forced")).alias("b"))
-        .groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("b")).alias("items"))
+        .groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("b")).alias("items"), F.max("_step").alias("_step"), F.max("_content").alias("_content"))
     )
 
 
 def paginate(
-    blocks: DataFrame, page_step: float, content_height: float, keys: tuple[str, ...] = ("doc_id",),
+    blocks: DataFrame, page_step: float | str, content_height: float | str, keys: tuple[str, ...] = ("doc_id",),
     chunk_blocks: int = CHUNK_BLOCKS, map_fan: int = MAP_FAN,
 ) -> DataFrame:
     """(keys, seq, page, offset_px, spacer_px): the page of each block, its offset there and the gap put before it.
@@ -66,19 +72,20 @@ def paginate(
     ``blocks`` has keys, seq (dense from 0 within keys), height_px and optionally forced (start a new page here).
     A block is never split; it moves to the next page when it would overrun by more than one px. A block taller than a
     page overruns, and the next block continues at the following page boundary. ``seq`` must be unique within keys.
+    Step and content height are numbers, or names of columns that are constant within keys and positive.
     """
     keys = list(keys)
-    if page_step <= 0 or content_height <= 0:
+    if any(not isinstance(x, str) and x <= 0 for x in (page_step, content_height)):
         return blocks.select(*keys, F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("page"),
                              F.lit(0.0).alias("offset_px"), F.lit(None).cast("double").alias("spacer_px"))
-    chunks = _chunked(blocks, keys, chunk_blocks)
+    chunks = _chunked(blocks, keys, chunk_blocks, page_step, content_height)
     page, offset = F.lit(0), F.lit(0.0)
     longest = blocks.agg(F.max("seq")).first()[0]
     if longest is not None and longest >= chunk_blocks:
-        entry = _entry_states(chunks, keys, page_step, content_height, longest // chunk_blocks, map_fan)
+        entry = _entry_states(chunks, keys, longest // chunk_blocks, map_fan)
         chunks = chunks.join(entry, [*keys, "chunk"], "left")
         page, offset = F.coalesce("in_page", F.lit(0)), F.coalesce("in_offset", F.lit(0.0))
-    folded = _fold(F.col("items"), page, offset, page_step, content_height, None)["out"]
+    folded = _fold(F.col("items"), page, offset, "_step", "_content", None)["out"]
     return chunks.select(*keys, F.explode(folded).alias("o")).select(*keys, "o.*")
 
 
@@ -141,18 +148,18 @@ def compose(first, first_total: float, second, second_total: float, step: float,
     return cases, first_total + second_total
 
 
-def _entry_states(chunks: DataFrame, keys: list[str], step: float, content: float, last_chunk: int, fan: int) -> DataFrame:
+def _entry_states(chunks: DataFrame, keys: list[str], last_chunk: int, fan: int) -> DataFrame:
     """(keys, chunk, in_page, in_offset) for the chunks of documents that have more than one."""
     long_docs = chunks.filter(F.col("chunk") > 0).select(*keys).distinct()
     schema = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
     def summarise(batches):
         for pdf in batches:
-            out = pdf[[*keys, "chunk"]].copy()
+            out = pdf[[*keys, "chunk", "_step", "_content"]].copy()
             effects = [
                 chunk_effect(np.array([b["height"] for b in items], dtype=float),
                              np.array([b["forced"] for b in items], dtype=bool), step, content)
-                for items in pdf["items"]
+                for items, step, content in zip(pdf["items"], pdf["_step"], pdf["_content"])
             ]
             out["cases"] = [c for c, _ in effects]
             out["total"] = [t for _, t in effects]
@@ -160,12 +167,13 @@ def _entry_states(chunks: DataFrame, keys: list[str], step: float, content: floa
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
+        step, content = pdf["_step"].iloc[0], pdf["_content"].iloc[0]
         cases, total = None, 0.0
         for c, t in zip(pdf["cases"], pdf["total"]):
             c = list(c)
             cases, total = (c, t) if cases is None else compose(cases, total, c, t, step, content)
         head = pdf.iloc[0]
-        return pd.DataFrame([{**{k: head[k] for k in keys}, "chunk": int(head["chunk"]) // fan, "cases": cases, "total": total}])
+        return pd.DataFrame([{**{k: head[k] for k in keys}, "chunk": int(head["chunk"]) // fan, "_step": step, "_content": content, "cases": cases, "total": total}])
 
     def descend(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -173,10 +181,10 @@ def _entry_states(chunks: DataFrame, keys: list[str], step: float, content: floa
         rows = []
         for _, r in pdf.iterrows():
             rows.append({**{k: r[k] for k in keys}, "chunk": int(r["chunk"]), "in_page": page, "in_offset": offset})
-            page, offset = enter(r["cases"], r["total"], page, offset, step, content)
+            page, offset = enter(r["cases"], r["total"], page, offset, r["_step"], r["_content"])
         return pd.DataFrame(rows)
 
-    effect_type = f"{schema}, chunk bigint, cases {_CASES}, total double"
+    effect_type = f"{schema}, chunk bigint, _step double, _content double, cases {_CASES}, total double"
     levels = [settle(chunks.join(long_docs, keys, "left_semi").mapInPandas(summarise, effect_type))]
     top = last_chunk
     while top >= fan:
@@ -201,11 +209,11 @@ def doc_pages(paged: DataFrame) -> DataFrame:
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n_blocks"))
 
 
-def card_counts(paged: DataFrame, blocks: DataFrame, page_step: float, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def card_counts(paged: DataFrame, blocks: DataFrame, page_step: float | str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, cards): pages to draw. An oversized last block may need more than the page it starts on."""
     keys = list(keys)
-    sized = paged.join(blocks.select(*keys, "seq", "height_px"), [*keys, "seq"])
-    end = F.ceil((F.col("page") * page_step + F.col("offset_px") + F.col("height_px")) / page_step)
+    sized = paged.join(blocks.select(*keys, "seq", "height_px", _px(page_step).alias("_step")), [*keys, "seq"])
+    end = F.ceil((F.col("page") * F.col("_step") + F.col("offset_px") + F.col("height_px")) / F.col("_step"))
     last = F.max_by(F.struct((F.col("page") + 1).alias("a"), end.alias("b")), F.col("seq"))
     return sized.groupBy(*keys).agg(last.alias("_l")).select(
         *keys, F.greatest(F.col("_l.a"), F.col("_l.b").cast("long")).alias("cards"))
@@ -301,10 +309,11 @@ def section_numbers(blocks: DataFrame, leading: bool = False, order: str = "seq"
     return out.withColumn("section", F.col("_n") - F.col("_first.flag")).drop("_n", "_first")
 
 
-def paginate_sections(blocks: DataFrame, page_step: float, content_height: float) -> DataFrame:
+def paginate_sections(blocks: DataFrame, page_step: float | str, content_height: float | str) -> DataFrame:
     """Page each section on its own and number pages through the document: (doc_id, section, seq, page, page_in_section).
 
-    ``blocks`` has doc_id, section, seq, height_px. Sections restart the fold, so they are paged independently.
+    ``blocks`` has doc_id, section, seq, height_px. Sections restart the fold, so they are paged independently, each with
+    its own page step and content height where these are columns.
     """
     starts = blocks.groupBy("doc_id", "section").agg(F.min("seq").alias("_first"))
     local = blocks.join(starts, ["doc_id", "section"]).withColumn("seq", F.col("seq") - F.col("_first"))

@@ -144,12 +144,15 @@ def with_geometry(spark, sf):
 , g AS (SELECT doc_id, pos, CASE WHEN boundary THEN pos END AS b_at FROM fx_marks)
 , n AS (SELECT doc_id, pos, min(b_at) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM g)
 SELECT n.doc_id, n.pos, CAST(coalesce(600 + 10 * (m.quantity - 48), 794) AS BIGINT) AS w, CAST(1123 AS BIGINT) AS h,
-       CAST(CASE WHEN b IS NULL THEN 1 WHEN m.quantity = 49 THEN 2 END AS BIGINT) AS cols
+       CAST(CASE WHEN b IS NULL THEN 1 WHEN m.quantity = 49 THEN 2 END AS BIGINT) AS cols,
+       CAST(CASE WHEN m.quantity = 50 THEN 5 ELSE 2 END AS BIGINT) AS line_interval, CASE WHEN m.quantity = 48 THEN 'page' ELSE 'document' END AS line_restart
 FROM n LEFT JOIN fx_marks m ON m.doc_id = n.doc_id AND m.pos = n.b""", "fx_marks"))
 def section_geometry_trailing(spark, sf):
-    marks = with_geometry(spark, sf).withColumn("b_h", F.lit(None).cast("int"))
-    out = numbering.section_of_block(marks, ["w", "h", "cols"], {"w": 794, "h": 1123, "cols": 1})
-    return longs(out.select("doc_id", "pos", "w", "h", "cols"), "w", "h", "cols")
+    at = F.col("boundary")
+    marks = with_geometry(spark, sf).withColumns({
+        "b_h": F.lit(None).cast("int"), "b_line_interval": F.when(at & (F.col("quantity") == 50), 5), "b_line_restart": F.when(at & (F.col("quantity") == 48), "page")})
+    out = numbering.section_of_block(marks, ["w", "h", "cols", "line_interval", "line_restart"], {"w": 794, "h": 1123, "cols": 1, "line_interval": 2, "line_restart": "document"})
+    return longs(out.select("doc_id", "pos", "w", "h", "cols", "line_interval", "line_restart"), "w", "h", "cols", "line_interval")
 
 
 @query(fx.sql("""
@@ -283,13 +286,16 @@ def footnote_reserve(spark, sf):
 @query(fx.sql(f"""
 , s AS (SELECT doc_id, pos, coalesce(sum(boundary::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section FROM fx_marks)
 , l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) - 1 AS i FROM s)
-, p AS (SELECT *, CAST(floor(i / {CONTENT // 20}) AS BIGINT) AS page_in_section FROM l)
+, p AS (SELECT *, CAST(floor(i / (floor(({CONTENT} - 200 * (section % 4)) / 20))) AS BIGINT) AS page_in_section FROM l)
 , c AS (SELECT doc_id, section, max(page_in_section) + 1 AS cards FROM p GROUP BY ALL)
 , o AS (SELECT *, coalesce(sum(cards) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT p.doc_id, CAST(p.section AS BIGINT) AS section, p.pos - 1 AS seq, CAST(p.page_in_section + o.before AS BIGINT) AS page, p.page_in_section
 FROM p JOIN o USING (doc_id, section)""", "fx_marks"))
 def paginate_sections(spark, sf):
-    return paging.paginate_sections(paging.section_numbers(mark_blocks(spark, sf)), STEP, CONTENT)
+    """Four page sizes take turns over the sections of a document."""
+    less = 200 * (F.col("section") % 4)
+    sized = paging.section_numbers(mark_blocks(spark, sf)).withColumns({"step": STEP - less, "content": CONTENT - less})
+    return paging.paginate_sections(sized, "step", "content")
 
 
 @query(fx.sql("""

@@ -101,11 +101,14 @@ UNION ALL SELECT doc_id, i, r, false, true, true, 'super', NULL, 'yellow', NULL,
 UNION ALL SELECT doc_id, i, f, false, false, false, NULL, NULL, NULL, NULL, NULL, NULL, 'ins', concat('a', doc_id % 3) FROM l WHERE k = 3 AND f <> ''
 UNION ALL SELECT doc_id, i, r, false, false, false, NULL, NULL, NULL, NULL, NULL, NULL, 'del', 'b' FROM l WHERE k = 3 AND r <> ''
 UNION ALL SELECT doc_id, i, 'x', true, false, false, NULL, NULL, NULL, NULL, NULL, NULL, 'fmt', 'c' FROM l WHERE k = 3
-UNION ALL SELECT doc_id, i, t, false, false, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l WHERE k = 0 AND t <> ''""")
+UNION ALL SELECT doc_id, i, u.x, false, false, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l, unnest(CASE k WHEN 0 THEN [t] WHEN 1 THEN [concat(t, chr(9), chr(10))] WHEN 4 THEN [f, r, 'go', concat('see ', f), CAST(i AS VARCHAR), concat('r', i), f] END) AS u(x) WHERE u.x <> ''
+UNION ALL SELECT doc_id, NULL, u.x, false, false, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l, unnest(CASE k WHEN 4 THEN [concat('note ', f)] WHEN 5 THEN [f, r, concat('z', i)] END) AS u(x) WHERE u.x <> ''
+UNION ALL SELECT DISTINCT doc_id, NULL::BIGINT, concat('header ', doc_id), false, false, false, NULL, NULL, NULL, NULL::BIGINT, NULL, NULL, NULL, NULL FROM l""")
 def docx_runs(spark, sf):
+    """Every run of a package; i is null for those of cells, notes and headers."""
     nodes = docx_nodes(spark, sf)
     return numbered(
-        docx.runs(nodes).withColumnRenamed("i", "it").join(line_of(nodes), ["doc_id", "block_pos"]).filter("i % 6 in (0, 2, 3)").select(
+        docx.runs(nodes).withColumnRenamed("i", "it").join(line_of(nodes), ["doc_id", "block_pos"], "left").select(
             "doc_id", "i", "text", "b", "it", "u", F.col("vert_align").alias("vert"), "color", "highlight", F.col("size_half_pt").cast("long").alias("size"), "font", "char_style", "rev_kind", "rev_author"))
 
 
@@ -278,12 +281,13 @@ def doc_summary(spark, sf):
 
 
 @query(ALL_LINES + """
-SELECT doc_id, i, list_sort(list_filter([CASE WHEN f <> '' THEN 'b=true,color=FF0000,font=Arial,size=28' END, CASE WHEN r <> '' THEN 'i=true,u=true,highlight=yellow,vert=super' END], lambda x: x IS NOT NULL)) AS formats FROM l WHERE k = 2 AND t <> ''""")
+SELECT doc_id, i, CASE k WHEN 2 THEN list_sort(list_filter([CASE WHEN f <> '' THEN 'b=true,color=FF0000,font=Arial,size=28' END, CASE WHEN r <> '' THEN 'i=true,u=true,highlight=yellow,vert=super' END], lambda x: x IS NOT NULL))
+  WHEN 3 THEN list_sort(list_filter([CASE WHEN f <> '' OR r <> '' THEN '' END, 'b=true'], lambda x: x IS NOT NULL)) ELSE [''] END AS formats
+FROM l WHERE k IN (1, 3, 4) OR k IN (0, 2) AND t <> ''""")
 def run_format_set(spark, sf):
     nodes = docx_nodes(spark, sf)
-    runs = docx.runs(nodes).filter("part = 'word/document.xml'")
-    out = summaries.run_format_set(runs, ["doc_id", "block_pos"]).join(line_of(nodes), ["doc_id", "block_pos"]).filter("i % 6 = 2")
-    return numbered(out.select("doc_id", "i", "formats"))
+    out = summaries.run_format_set(docx.runs(nodes).filter("part = 'word/document.xml'"), ["doc_id", "block_pos"]).join(line_of(nodes), ["doc_id", "block_pos"])
+    return numbered(out.select("doc_id", "i", F.array_sort("formats").alias("formats")))
 
 
 @query(ALL_LINES + "SELECT doc_id, kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, ['p', 'li', 'p', 'p', 'p', 'table'][k + 1] AS kind, k FROM l) WHERE k <> 0 GROUP BY ALL UNION ALL SELECT doc_id, 'h', count(*) FROM l WHERE k = 0 GROUP BY ALL UNION ALL SELECT page_id, 'page', CAST(1 AS BIGINT) FROM pages")
@@ -324,10 +328,12 @@ def odt_list_items(spark, sf):
 SELECT doc_id, i, f AS text, true AS b, false AS it, 'super' AS vert, '00FF00' AS color, CAST(12.3 AS DOUBLE) AS size FROM ol WHERE k = 2 AND f <> ''
 UNION ALL SELECT doc_id, i, 'a', false, false, NULL, NULL, NULL FROM ol WHERE k = 2 UNION ALL SELECT doc_id, i, '   ', false, false, NULL, NULL, NULL FROM ol WHERE k = 2
 UNION ALL SELECT doc_id, i, chr(9), false, false, NULL, NULL, NULL FROM ol WHERE k = 2 UNION ALL SELECT doc_id, i, chr(10), false, false, NULL, NULL, NULL FROM ol WHERE k = 2
-UNION ALL SELECT doc_id, i, r, false, true, NULL, NULL, NULL FROM ol WHERE k = 2 AND r <> '' UNION ALL SELECT doc_id, i, '!', true, true, 'super', '00FF00', 12.3 FROM ol WHERE k = 2""")
+UNION ALL SELECT doc_id, i, r, false, true, NULL, NULL, NULL FROM ol WHERE k = 2 AND r <> '' UNION ALL SELECT doc_id, i, '!', true, true, 'super', '00FF00', 12.3 FROM ol WHERE k = 2
+UNION ALL SELECT doc_id, i, u.x, false, false, NULL, NULL, NULL FROM ol, unnest(CASE k WHEN 0 THEN [t] WHEN 3 THEN [f, r] WHEN 4 THEN [f, r, f] END) AS u(x) WHERE u.x <> ''
+UNION ALL SELECT doc_id, NULL, u.x, false, false, NULL, NULL, NULL FROM ol, unnest(CASE k WHEN 1 THEN [f, r, concat('z', i)] WHEN 4 THEN [f, 'two', concat('note ', f)] WHEN 5 THEN [f, r, concat('z', i)] END) AS u(x) WHERE u.x <> ''""")
 def odt_runs(spark, sf):
     nodes = odt_nodes(spark, sf)
-    r = odt.runs(nodes).withColumnRenamed("i", "it").drop("pos").withColumnRenamed("block_pos", "pos").join(odt_lines(nodes), ["doc_id", "pos"]).filter("i % 6 = 2")
+    r = odt.runs(nodes).withColumnRenamed("i", "it").drop("pos").withColumnRenamed("block_pos", "pos").join(odt_lines(nodes), ["doc_id", "pos"], "left")
     return numbered(r.select("doc_id", "i", "text", "b", "it", F.col("vert_align").alias("vert"), "color", F.col("size_pt").alias("size")))
 
 
