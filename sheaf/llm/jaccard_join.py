@@ -179,7 +179,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
 
     Tokens are packed into arrays before they are shuffled. A token is its range and 40 bits of its hash there.
     """
-    parts = max(1, n_parts(docs) // 3)
+    parts = n_parts(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, tokens, nodes, held = Shingler(), [], [], 0
@@ -214,7 +214,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
                 if part >= parts:
                     yield from rows(token, node, np.full(len(token), HOT + 1, np.int64))
                 else:
-                    held.append((token, node, np.frombuffer(weight, np.uint8).astype(np.int64)))
+                    held.append((token, node, np.frombuffer(weight, np.uint8)))
         if not held:
             return
         token, node, weight = (np.concatenate(x) for x in zip(*held))
@@ -225,7 +225,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
         last[:-1] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         token, node, weight = token[last], node[last], weight[last]
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        df = np.minimum(np.add.reduceat(weight, starts), HOT + 1)
+        df = np.minimum(np.add.reduceat(weight, starts, dtype=np.int64), HOT + 1)
         df = np.repeat(df, np.diff(np.r_[starts, len(token)]))
         keep = (df > 1) & (weight == 1)  # rows of weight HOT + 1 have been passed on already
         yield from rows(token[keep], node[keep], df[keep])
