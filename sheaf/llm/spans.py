@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded
+from .common import batch_of, bounded, shared_folder, stored
 
 RUN = 3
 RUN_WORDS = 12
@@ -85,7 +85,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     The first place of each run is found by a combining aggregate; a run that many documents share is one row per task
     there, and the join that follows can be split where it is skewed.
     """
-    rows = run_rows(docs)
+    rows = stored(run_rows(docs), f"{shared_folder(docs.sparkSession, 'spans')}/runs")  # read twice below
     place = F.struct("doc_id", "pos")
     ends = rows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     again = ends.where("first < last").select("key", "first")
