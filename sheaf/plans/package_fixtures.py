@@ -48,7 +48,7 @@ DRAWING = (
     '<a:graphic><a:blip r:embed="rId3"/></a:graphic></wp:anchor></w:drawing></w:r>')
 STYLES = (
     '<w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/><w:rPr><w:sz w:val="22"/></w:rPr></w:style>'
-    '<w:style w:type="paragraph" w:styleId="Base"><w:name w:val="Base Text"/><w:basedOn w:val="Normal"/><w:pPr><w:jc w:val="both"/><w:spacing w:before="240"/></w:pPr><w:rPr><w:b/></w:rPr></w:style>'
+    '<w:style w:type="paragraph" w:styleId="Base"><w:name w:val="Base Text"/><w:basedOn w:val="Normal"/><w:pPr><w:pBdr><w:left w:val="double" w:sz="12" w:color="C0FFEE"/><w:top w:val="none"/></w:pBdr><w:jc w:val="both"/><w:spacing w:before="240"/></w:pPr><w:rPr><w:b/></w:rPr></w:style>'
     '<w:style w:type="paragraph" w:styleId="Quote"><w:name w:val="Quote"/><w:basedOn w:val="Base"/><w:pPr><w:ind w:left="720"/><w:tabs><w:tab w:val="right" w:pos="2880"/></w:tabs></w:pPr>'
     '<w:rPr><w:b w:val="0"/><w:i/><w:color w:val="336699"/></w:rPr></w:style>'
     '<w:style w:type="character" w:styleId="Strong"><w:name w:val="Strong"/><w:rPr><w:b/><w:u w:val="single"/><w:strike/></w:rPr></w:style>'
@@ -72,7 +72,7 @@ def docx_parts(spark: SparkSession, sf: str) -> DataFrame:
         heading = fill('<w:p><w:pPr><w:pStyle w:val="Heading{h}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>', h=1 + n % 3, **v)
         item = fill('<w:p><w:pPr><w:numPr><w:ilvl w:val="{lvl}"/><w:numId w:val="{num}"/></w:numPr></w:pPr><w:r><w:t>{text}</w:t><w:tab/><w:br/></w:r></w:p>', lvl=n % 3, num=1 + n % 3, **v)
         styled = fill(
-            '<w:p><w:pPr><w:pStyle w:val="Quote"/><w:keepNext/>{brk}<w:spacing w:before="240" w:after="120" w:line="360" w:lineRule="auto"/><w:ind w:left="720"/><w:jc w:val="both"/>'
+            '<w:p><w:pPr><w:pStyle w:val="Quote"/><w:keepNext/>{brk}<w:pBdr><w:top w:val="dashed" w:sz="8" w:color="auto"/><w:bottom w:val="nil"/><w:right w:color="12ab34"/></w:pBdr><w:spacing w:before="240" w:after="120" w:line="360" w:lineRule="auto"/><w:ind w:left="720"/><w:jc w:val="both"/>'
             '<w:shd w:val="clear" w:fill="FFEE00"/><w:tabs>{tabs}<w:tab w:val="clear" w:pos="720"/></w:tabs></w:pPr>'
             '<w:r><w:rPr><w:rStyle w:val="Strong"/><w:b/><w:i w:val="0"/><w:color w:val="ff0000"/><w:sz w:val="28"/><w:rFonts w:ascii="Arial"/><w:smallCaps/></w:rPr><w:t>{first}</w:t></w:r>'
             '<w:r><w:rPr><w:i/><w:u w:val="single"/><w:highlight w:val="yellow"/><w:vertAlign w:val="superscript"/></w:rPr><w:t>{rest}</w:t></w:r></w:p>',
@@ -122,6 +122,7 @@ def docx_parts(spark: SparkSession, sf: str) -> DataFrame:
         part("word/_rels/document.xml.rels", F.lit("<Relationships>" + rel.format("rId1", "https://example.org/a?b=1&amp;c=2") + rel.format("rId2", "header1.xml") + rel.format("rId3", "./media/image1.png") + "</Relationships>")),
         part("word/comments.xml", xml("w:comments", each(comment))), part("word/commentsExtended.xml", xml("w15:commentsEx", each(extended))),
         part("word/footnotes.xml", xml("w:footnotes", F.concat(F.lit('<w:footnote w:id="0" w:type="separator"><w:p/></w:footnote>'), each(note)))),
+        part("word/settings.xml", xml("w:settings", F.when(d % 3 == 0, "<w:evenAndOddHeaders/>").when(d % 3 == 1, '<w:evenAndOddHeaders w:val="0"/>').otherwise(""))),
         part("word/styles.xml", xml("w:styles", F.lit(STYLES))), part("word/numbering.xml", xml("w:numbering", F.lit(NUMBERING))),
         part("word/header1.xml", xml("w:hdr", fill("<w:p><w:r><w:t>header {n}</w:t></w:r></w:p>", n=d))),
         part("word/media/image1.png", F.concat(F.lit("png"), d % 5))).alias("parts"))

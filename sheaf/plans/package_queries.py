@@ -84,15 +84,27 @@ SELECT doc_id, i AS seq, ['h', 'li', 'p', 'p', 'p', 'table'][k + 1] AS kind, CAS
   CASE WHEN k = 2 THEN CAST(48 AS BIGINT) END AS indent_px, CASE WHEN k = 2 THEN CAST(1.5 AS DOUBLE) END AS line_height, CASE WHEN k = 2 THEN CAST(16 AS BIGINT) END AS before_px,
   CASE WHEN k = 2 THEN CAST(8 AS BIGINT) END AS after_px, CASE WHEN k = 2 THEN '#ffee00' END AS shading,
   CASE WHEN k = 2 AND n % 3 = 1 THEN 'manual' WHEN k = 3 AND n % 4 = 0 THEN 'auto' END AS page_break, CASE WHEN k = 3 THEN 'ins' END AS rev_para, CASE WHEN k = 3 THEN concat('a', doc_id % 3) END AS rev_author,
+  CASE WHEN k = 2 THEN '1 dashed 000000' END AS border_top, CASE WHEN k = 2 THEN '1 solid 12ab34' END AS border_right, CASE WHEN false THEN '' END AS border_bottom, CASE WHEN k = 4 THEN 'figure' END AS caption_kind,
   CASE k WHEN 0 THEN t WHEN 1 THEN concat(t, chr(9), chr(10)) WHEN 2 THEN t WHEN 3 THEN concat(t, 'x') WHEN 4 THEN concat(t, 'go', 'see ', f, i, 'r', i, f) END AS text
 FROM l"""
 
 
+@query(ALL_LINES + """
+SELECT doc_id, i AS seq, CASE WHEN k = 4 THEN 'figure' END AS caption_kind, CAST(NULL AS BIGINT) AS caption_at FROM l WHERE k = 4
+UNION ALL SELECT doc_id, i, NULL, NULL FROM l WHERE k = 5""")
+def docx_captions(spark, sf):
+    """Tables are followed by headings here, captions by tables: each caption is seen and none is attached to the wrong kind."""
+    b = body_blocks(docx_nodes(spark, sf))
+    out = numbering.attach_captions(b, ["doc_id"]).filter("kind = 'table' or caption_kind is not null")
+    return numbered(out.select("doc_id", "seq", "caption_kind", "caption_at"))
+
+
 @query(BLOCKS_SQL)
 def docx_blocks(spark, sf):
     b = body_blocks(docx_nodes(spark, sf))
+    line = lambda s: F.when(F.col(f"borders.{s}").isNotNull(), F.concat_ws(" ", *[F.col(f"borders.{s}.{x}").cast("string") for x in ("px", "style", "hex")])).alias(f"border_{s}")
     return numbered(b.select("doc_id", "seq", "kind", F.col("level").cast("long").alias("level"), "style_id", "num_id", "align", "indent_px", "line_height", "before_px",
-                             "after_px", "shading", "page_break", "rev_para", "rev_author", "text"))
+                             "after_px", "shading", "page_break", "rev_para", "rev_author", line("top"), line("right"), line("bottom"), "caption_kind", "text"))
 
 
 @query(ALL_LINES + """
@@ -186,7 +198,8 @@ def docx_sections(spark, sf):
     return numbered(s.select("doc_id", "i", "type", "w", "h", "m_right", F.col("cols").cast("long").alias("cols"), "rtl", F.col("page_start").cast("long").alias("page_start"), "line_restart", F.col("border.hex").alias("hex")))
 
 
-STYLE_ROWS = """(VALUES ('Normal', 'font-size', '11pt', 0), ('Base', 'text-align', 'justify', 0), ('Base', 'margin-top', '16px', 0), ('Base', 'font-weight', 'bold', 0), ('Base', 'font-size', '11pt', 1),
+STYLE_ROWS = """(VALUES ('Normal', 'font-size', '11pt', 0), ('Base', 'text-align', 'justify', 0), ('Base', 'margin-top', '16px', 0), ('Base', 'font-weight', 'bold', 0), ('Base', 'font-size', '11pt', 1), ('Base', 'border-left', '2px double #C0FFEE', 0), ('Base', 'padding', '2px 6px', 0),
+ ('Quote', 'border-left', '2px double #C0FFEE', 1), ('Quote', 'padding', '2px 6px', 1),
  ('Quote', 'margin-left', '48px', 0), ('Quote', 'font-weight', 'normal', 0), ('Quote', 'font-style', 'italic', 0), ('Quote', 'color', '#336699', 0), ('Quote', 'text-align', 'justify', 1), ('Quote', 'margin-top', '16px', 1), ('Quote', 'font-size', '11pt', 2),
  ('Strong', 'font-weight', 'bold', 0), ('Strong', 'text-decoration', 'underline line-through', 0), ('Heading1', 'font-size', '11pt', 1)) AS v(style_id, prop, value, distance)"""
 
@@ -221,9 +234,9 @@ def docx_relationships(spark, sf):
     return numbered(references.resolve_rels(rels.select("doc_id", "part", "rid"), rels))
 
 
-@query("SELECT doc_id, 'header' AS role, 'default' AS variant, 'word/header1.xml' AS band_part, concat('header ', doc_id) AS text FROM documents WHERE doc_id % 50 > 1")
+@query("SELECT doc_id, 'header' AS role, 'default' AS variant, 'word/header1.xml' AS band_part, doc_id % 3 = 0 AS even_odd, concat('header ', doc_id) AS text FROM documents WHERE doc_id % 50 > 1")
 def docx_bands(spark, sf):
-    return numbered(docx.bands(docx_nodes(spark, sf)).select("doc_id", "role", "variant", "band_part", "text"))
+    return numbered(docx.bands(docx_nodes(spark, sf)).select("doc_id", "role", "variant", "band_part", "even_odd", "text"))
 
 
 @query(ALL_LINES + "SELECT doc_id, f AS base, concat('r', i) AS reading FROM l WHERE k = 4")
@@ -272,12 +285,12 @@ def map_symbols(spark, sf):
 
 
 @query(ALL_LINES + """
-, s AS (SELECT doc_id, CAST(count(*) FILTER (k IN (1, 2, 3, 4)) AS BIGINT) AS paragraphs, CAST(count(*) FILTER (k = 0) AS BIGINT) AS headings, CAST(count(*) FILTER (k = 5) AS BIGINT) AS tables, CAST(5 * count(*) FILTER (k = 5) AS BIGINT) AS cells,
+, s AS (SELECT doc_id, CAST(count(*) FILTER (k IN (2, 3, 4)) AS BIGINT) AS paragraphs, CAST(count(*) FILTER (k = 1) AS BIGINT) AS list_items, CAST(2 * count(*) FILTER (k = 5) AS BIGINT) AS rows, CAST(count(*) FILTER (k = 5) AS BIGINT) AS header_rows, CAST(1 AS BIGINT) AS bands, CAST(count(*) FILTER (k = 0) AS BIGINT) AS headings, CAST(count(*) FILTER (k = 5) AS BIGINT) AS tables, CAST(5 * count(*) FILTER (k = 5) AS BIGINT) AS cells,
    CAST(count(*) FILTER (k = 4) AS BIGINT) AS notes, CAST(count(*) FILTER (k = 4) AS BIGINT) AS images, CAST(2 * count(*) FILTER (k = 4) AS BIGINT) AS links, CAST(count(*) FILTER (k = 4) AS BIGINT) AS bookmarks FROM l GROUP BY doc_id)
-SELECT *, CAST(6 AS BIGINT) AS styles, CAST(10 AS BIGINT) AS parts FROM s""")
+SELECT *, CAST(6 AS BIGINT) AS styles, CAST(11 AS BIGINT) AS parts FROM s""")
 def doc_summary(spark, sf):
     _, parts, nodes = opened(spark, sf)
-    return numbered(summaries.doc_summary(body_blocks(nodes), docx.table_cells(nodes), docx.note_refs(nodes), docx.images(nodes, parts), docx.links(nodes), docx.bookmarks(nodes), docx.styles(nodes), parts))
+    return numbered(summaries.doc_summary(body_blocks(nodes), docx.table_cells(nodes), docx.note_refs(nodes), docx.images(nodes, parts), docx.links(nodes), docx.bookmarks(nodes), docx.styles(nodes), parts, docx.bands(nodes)))
 
 
 @query(ALL_LINES + """

@@ -66,7 +66,13 @@ def blocks(nodes: DataFrame) -> DataFrame:
     mark = at("w:p", "w:pPr", "w:rPr", "w:ins") | at("w:p", "w:pPr", "w:rPr", "w:del")
     section = prop("w:sectPr")
     level = F.least(F.lit(8), F.greatest(F.lit(0), F.coalesce(val("w:numPr", "w:ilvl").try_cast("int"), F.lit(0))))
-    wanted = (F.col("tag") == "w:p") | _is_run_text() | F.array_contains("trail", "w:pPr")
+    # Field codes: in an attribute, or as text between field characters, which keep neighbouring fields apart.
+    code = F.col("tag").isin("w:fldSimple", "w:fldChar") | (F.col("tag") == "#text") & (up(1) == "w:instrText")
+    code_text = F.when(F.col("tag") == "#text", F.col("text")).otherwise(F.concat(F.lit("\n"), F.coalesce(attr("w:instr"), F.lit(""))))
+    sequences = F.transform(F.regexp_extract_all("_codes", F.lit(r"(?m)\bSEQ\s+(\w+)"), F.lit(1)), F.lower)
+    side = lambda s: units.docx_paragraph_border(val("w:pBdr", s), val("w:pBdr", s, a="w:sz"), val("w:pBdr", s, a="w:color"))
+    border = lambda s: F.when(present(prop("w:pBdr", s)), side(s))
+    wanted = (F.col("tag") == "w:p") | _is_run_text() | F.array_contains("trail", "w:pPr") | code
     paras = n.filter(F.col("p").isNotNull() & wanted).groupBy(*KEY, "p").agg(
         pick(F.col("node_id") == F.col("p"), F.struct(up(1).alias("tag"), id_up(1).alias("id"))).alias("_holder"),
         present(prop("w:numPr")).alias("_list"), heading.alias("_heading"), style.alias("_style"), level.alias("_level"),
@@ -79,7 +85,8 @@ def blocks(nodes: DataFrame) -> DataFrame:
         pick(mark, F.when(F.col("tag") == "w:del", "del").otherwise("ins")).alias("rev_para"),
         pick(mark, attr("w:author")).alias("rev_author"), pick(mark, attr("w:date")).alias("rev_date"),
         present(section).alias("_section"), val("w:sectPr", "w:type").alias("_section_type"),
-        joined_text(_is_run_text(), _run_text_of()).alias("text"),
+        F.struct(*[border(f"w:{x}").alias(x) for x in ("top", "right", "bottom", "left")]).alias("borders"),
+        joined_text(F.coalesce(code, F.lit(False)), code_text).alias("_codes"), joined_text(_is_run_text(), _run_text_of()).alias("text"),
     ).filter(F.col("_holder.tag").isin(*HOLDERS)).select(
         *KEY, F.col("p").alias("pos"), F.col("_holder.id").alias("container_id"), F.col("_holder.tag").alias("container"),
         F.when(F.col("_list"), "li").when(F.col("_heading").isNotNull(), "h").otherwise("p").alias("kind"),
@@ -89,7 +96,10 @@ def blocks(nodes: DataFrame) -> DataFrame:
         F.when(F.col("_fill").rlike("^[0-9a-fA-F]{6}$"), F.lower(F.concat(F.lit("#"), "_fill"))).alias("shading"),
         F.when(F.col("_break") & ~F.col("_list"), "manual").when(
             F.col("_section") & ~F.col("_section_type").eqNullSafe("continuous") & ~F.col("_list"), "auto").alias("page_break"),
-        F.col("_section").alias("boundary"), "rev_para", "rev_author", "rev_date", "text")
+        F.col("_section").alias("boundary"), "rev_para", "rev_author", "rev_date", "borders",
+        # A plain paragraph with a sequence field is a caption; what it captions follows from the sequence's name.
+        F.when(~F.col("_list") & F.col("_heading").isNull() & (F.size(sequences) > 0), F.when(F.array_contains(sequences, "table"), "table")
+               .when(F.array_contains(sequences, "equation"), "equation").otherwise("figure")).alias("caption_kind"), "text")
     others = n.filter(up(1).isin(*HOLDERS) & ~F.col("tag").isin("w:p", "w:sectPr", "w:tcPr", "#text")).select(
         *KEY, F.col("node_id").alias("pos"), id_up(1).alias("container_id"), up(1).alias("container"),
         F.when(F.col("tag") == "w:tbl", "table").otherwise("pass").alias("kind"))
@@ -332,6 +342,11 @@ def styles(nodes: DataFrame) -> DataFrame:
         "font-size": F.when(size > 0, F.concat(F.regexp_replace((size / 2).cast("string"), r"\.0$", ""), F.lit("pt"))),
         "font-family": F.concat(F.lit("'"), F.replace(F.nullif(val(r("w:rFonts"), "w:ascii"), F.lit("")), F.lit("'"), F.lit("")), F.lit("'")),
     }
+    side = lambda s: units.docx_paragraph_border(*[val(at("w:style", "w:pPr", "w:pBdr", f"w:{s}"), f"w:{a}") for a in ("val", "sz", "color")])
+    borders = {s: F.when(present(at("w:style", "w:pPr", "w:pBdr", f"w:{s}")), side(s)) for s in ("top", "right", "bottom", "left")}
+    for s, b in borders.items():
+        props[f"border-{s}"] = F.when(b.isNotNull(), F.concat(b["px"].cast("string"), F.lit("px "), b["style"], F.lit(" #"), b["hex"]))
+    props["padding"] = F.when(F.coalesce(*borders.values()).isNotNull(), "2px 6px")
     entries = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in props.items()]), lambda e: e["value"].isNotNull())
     grouped = n.filter(F.col("s").isNotNull()).groupBy("doc_id", "s").agg(
         pick(head, F.struct(attr("w:styleId").alias("style_id"), F.coalesce(attr("w:type"), F.lit("paragraph")).alias("kind"), (F.coalesce(attr("w:default"), F.lit("0")) == "1").alias("is_default"))).alias("_h"),
@@ -398,15 +413,22 @@ def links(nodes: DataFrame) -> DataFrame:
             F.coalesce(F.concat(F.lit("#"), "anchor"), F.lit(""))).alias("href"), "text")
 
 
+def even_odd(nodes: DataFrame) -> DataFrame:
+    """(doc_id, even_odd): whether even and odd pages have bands of their own, of the documents with settings."""
+    switch = F.col("tag") == "w:evenAndOddHeaders"
+    return part_nodes(nodes, r"word/settings\.xml").groupBy("doc_id").agg(
+        (F.coalesce(present(switch), F.lit(False)) & ~F.coalesce(pick(switch, attr("w:val")), F.lit("1")).eqNullSafe("0")).alias("even_odd"))
+
+
 def bands(nodes: DataFrame) -> DataFrame:
-    """(doc_id, section_pos, role, variant, rid, band_part, text): headers and footers each section refers to."""
+    """(doc_id, section_pos, role, variant, rid, band_part, even_odd, text): headers and footers each section refers to."""
     refs = part_nodes(nodes, BODY).filter(F.col("tag").isin("w:headerReference", "w:footerReference")).select(
         *KEY, inside("w:sectPr").alias("section_pos"), F.regexp_extract("tag", "^w:(header|footer)", 1).alias("role"),
         F.coalesce(attr("w:type"), F.lit("default")).alias("variant"), attr("r:id").alias("rid"))
     rels = relationships(nodes).select(*KEY, "rid", normalise_target(F.col("target")).alias("band_part"))
     texts = part_nodes(nodes, BANDS).filter(_is_run_text()).groupBy("doc_id", F.col("part").alias("band_part")).agg(joined_text(F.lit(True), _run_text_of()).alias("text"))
-    return refs.join(rels, [*KEY, "rid"]).join(texts, ["doc_id", "band_part"], "left").select(
-        "doc_id", "section_pos", "role", "variant", "rid", "band_part", "text")
+    return refs.join(rels, [*KEY, "rid"]).join(texts, ["doc_id", "band_part"], "left").join(even_odd(nodes), "doc_id", "left").select(
+        "doc_id", "section_pos", "role", "variant", "rid", "band_part", F.coalesce("even_odd", F.lit(False)).alias("even_odd"), "text")
 
 
 def ruby(nodes: DataFrame) -> DataFrame:
