@@ -133,6 +133,12 @@ def html_runs(pages: DataFrame) -> DataFrame:
     White space collapses to one space except in pre; no-break spaces stay. Unsafe links lose their address but keep
     their text. ``block_at`` is the token that opened the block: the list item inside lists, else the last block tag.
     """
+    return _rows(pages).filter("not shape").drop("shape", "tag")
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    """The rows of ``html_runs``, and those that shape blocks without being text (``shape``): pictures, and the tags of
+    outermost tables and of rows in tables, as rows of a block of kind ``table`` where the outermost table opens."""
     c = html_context(pages)
     href = attribute(F.col("link.token"), "href")
     in_link = F.coalesce(~F.col("link.closing"), F.lit(False))
@@ -148,8 +154,14 @@ def html_runs(pages: DataFrame) -> DataFrame:
     # A block inside a list item or a heading starts on a new line of it.
     inner = in_item & F.col("tag").isin(*BLOCK_TAGS) & ~F.col("tag").isin("li", "ul", "ol")
     keep = F.col("tag").isNull() | (((F.col("tag") == "br") | inner) & ~F.col("closing"))
-    return c.filter(keep).select(
-        "page_id", block_at.cast("long").alias("block_at"), F.col("tok_no").cast("long").alias("tok_no"), text.alias("text"),
+    opens = (F.col("tag") == "table") & ~F.col("closing") & (F.col("n_table") == 1)
+    of_table = opens | (F.col("tag") == "tr") & ~F.col("closing") & (F.col("n_table") > 0)
+    shape = F.coalesce(of_table | (F.col("tag") == "img") & (F.col("n_table") == 0), F.lit(False))
+    c = scan(c, ["page_id"], "tok_no", longest=0, _table=last_row(opens))
+    block_at = F.when(of_table, F.col("_table.at")).otherwise(block_at)
+    kind = F.when(of_table, "table").otherwise(kind)
+    return c.filter(keep | shape).select(
+        "page_id", block_at.cast("long").alias("block_at"), F.col("tok_no").cast("long").alias("tok_no"), F.when(shape, "").otherwise(text).alias("text"), shape.alias("shape"), "tag",
         (F.col("n_bold") > 0).alias("b"), *[(F.col(f"n_{k}") > 0).alias(k) for k in INLINE_TAGS if k != "b"],
         F.when(in_link & href.rlike(SAFE_LINK), href).alias("href"), in_pre.alias("in_pre"), kind.alias("kind"),
         F.when(kind == "h", F.substr(F.col("block.tag"), F.lit(2)).cast("int")).when(
@@ -160,17 +172,20 @@ def html_runs(pages: DataFrame) -> DataFrame:
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, seq, kind, level, ordered, indent_px, text): the non-blank blocks of a page outside its tables.
+    """(page_id, seq, kind, level, ordered, indent_px, text): the blocks of a page that hold text or a picture, and its tables.
 
     Blocks in a quote are indented unless they bring their own indent. Preformatted text becomes one block per line,
-    blank lines kept and one trailing line break dropped.
+    blank lines kept and one trailing line break dropped. A table with rows is one block of kind ``table`` without text;
+    ``html_cells`` has what is in it.
     """
-    runs = html_runs(pages).filter(~F.col("in_table"))
+    runs = _rows(pages).filter(~F.col("in_table") | F.col("shape"))
     joined = runs.groupBy("page_id", "block_at").agg(
         F.min_by(F.struct("kind", "level", "ordered", "quoted", "style"), "tok_no").alias("_k"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "text"))), lambda r: r["text"]), "").alias("text"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "text"))), lambda r: r["text"]), "").alias("text"),
+        F.bool_or(F.col("tag").eqNullSafe("tr")).alias("_rowed"), F.bool_or(F.col("tag").eqNullSafe("img")).alias("_picture"))
     margin = F.regexp_extract("_k.style", r"(?i)margin-left\s*:\s*([0-9.]+)px", 1)
-    rows = joined.filter((F.col("_k.kind") == "pre") | ~is_blank(F.col("text"))).select(
+    shown = F.when(F.col("_k.kind") == "table", F.col("_rowed")).otherwise((F.col("_k.kind") == "pre") | F.col("_picture") | ~is_blank(F.col("text")))
+    rows = joined.filter(shown).select(
         "page_id", "block_at", F.col("_k.kind").alias("kind"), F.col("_k.level").alias("level"), F.col("_k.ordered").alias("ordered"),
         F.coalesce(margin.try_cast("double").cast("int"), F.when(F.col("_k.quoted"), QUOTE_INDENT_PX).otherwise(0)).alias("indent_px"),
         F.posexplode(F.when(F.col("_k.kind") == "pre", F.split(F.regexp_replace("text", "\n$", ""), "\n")).otherwise(

@@ -70,17 +70,22 @@ def html_links(spark, sf):
     return links.join(kept, ["page_id", "tok_no"])
 
 
-@query("""
-SELECT page_id, off, kind, level, indent_px, ordered, text FROM (
-  SELECT page_id, CAST(v.off AS BIGINT) AS off, v.kind, CAST(v.level AS BIGINT) AS level, CAST(v.indent AS BIGINT) AS indent_px, v.ordered, replace(v.text, '{id}', CAST(page_id AS VARCHAR)) AS text
-  FROM pages CROSS JOIN (VALUES (1, 'p', 0, 40, NULL, 'q{id}'), (2, 'pre', 0, 0, NULL, 'a{id}'), (3, 'pre', 0, 0, NULL, ''), (4, 'pre', 0, 0, NULL, ' b'), (5, 'p', 0, 0, NULL, 's w x{id} y'), (6, 'p', 0, 0, NULL, 'bad mail'),
-    (7, 'li', 0, 0, true, 'one'), (8, 'li', 1, 0, false, 'sub{id}'), (9, 'li', 0, 0, true, 'two' || chr(10) || 'more')) AS v(off, kind, level, indent, ordered, text))""")
+DECORATION = """(VALUES (1, 'p', 0, 40, NULL, 'q{id}'), (2, 'pre', 0, 0, NULL, 'a{id}'), (3, 'pre', 0, 0, NULL, ''), (4, 'pre', 0, 0, NULL, ' b'), (5, 'p', 0, 0, NULL, 's w x{id} y'),
+  (6, 'table', 0, 0, NULL, ''), (7, 'p', 0, 0, NULL, 'bad mail'), (8, 'li', 0, 0, true, 'one'), (9, 'li', 1, 0, false, 'sub{id}'), (10, 'li', 0, 0, true, 'two' || chr(10) || 'more')) AS v(off, kind, level, indent, ordered, text)"""
+
+
+@query(PAGES_SQL + rf"""
+, g AS (SELECT page_id, block_at, arg_min(kind, n) AS kind, arg_min(lists, n) AS lists, string_agg(text, '' ORDER BY n) AS text FROM r GROUP BY ALL)
+, o AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_at) - 1 AS seq, kind, CAST(CASE kind WHEN 'h' THEN 1 WHEN 'li' THEN lists - 1 ELSE 0 END AS BIGINT) AS level, CAST(0 AS BIGINT) AS indent_px,
+   CASE WHEN kind = 'li' THEN false END AS ordered, regexp_replace(regexp_replace(trim(text, ' '), ' *\n *', chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text
+   FROM g WHERE regexp_replace(text, '[\s\x{{00A0}}]', '', 'g') <> '')
+, h AS (SELECT page_id, seq AS head FROM o WHERE kind = 'h')
+SELECT page_id, CAST(seq + CASE WHEN seq > head THEN 10 ELSE 0 END AS BIGINT) AS seq, kind, level, indent_px, ordered, text FROM o JOIN h USING (page_id)
+UNION ALL SELECT page_id, CAST(head + v.off AS BIGINT), v.kind, CAST(v.level AS BIGINT), CAST(v.indent AS BIGINT), v.ordered, replace(v.text, '{{id}}', CAST(page_id AS VARCHAR)) FROM h CROSS JOIN {DECORATION}""")
 def html_block_kinds(spark, sf):
-    """The nine blocks after the heading: a quote, three preformatted lines, two paragraphs, three list items."""
-    b = html.html_blocks(decorated(spark, sf))
-    head = b.filter("kind = 'h'").select("page_id", F.col("seq").alias("h"))
-    return b.join(head, "page_id").withColumn("off", F.col("seq") - F.col("h")).filter("off between 1 and 9").select(
-        "page_id", "off", "kind", F.col("level").cast("long").alias("level"), F.col("indent_px").cast("long").alias("indent_px"), "ordered", "text")
+    """Whole decorated pages: their own blocks around a quote, preformatted lines, a table, pictures and nested lists."""
+    return html.html_blocks(decorated(spark, sf)).select(
+        "page_id", "seq", "kind", F.col("level").cast("long").alias("level"), F.col("indent_px").cast("long").alias("indent_px"), "ordered", "text")
 
 
 @query("SELECT page_id, v.text || CASE WHEN v.text = 'x' THEN CAST(page_id AS VARCHAR) ELSE '' END AS text, v.b FROM pages CROSS JOIN (VALUES ('s ', false), ('w ', false), ('x', true), (' ', false), ('y', false)) AS v(text, b)")

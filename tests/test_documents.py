@@ -212,3 +212,9 @@ def test_a_changed_document_replaces_the_old_one(spark, tmp_path, rows):
     assert (1, "x") in rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text")
     assert load(third) == [1]
     assert rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text") == [(1, "x2"), (2, "y"), (2, "z")]
+
+
+def test_tables_and_pictures_are_blocks(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p><table><tr><td>x<table><tr><td>in</table></table><p><img src='u'></p><table></table><p> </p><p>b <img src='v'></p>")], "page_id bigint, html string")
+    got = [(r.kind, r.text) for r in html.html_blocks(pages).orderBy("seq").collect()]
+    assert got == [("p", "a"), ("table", ""), ("p", ""), ("p", "b")]
