@@ -47,11 +47,22 @@ def resolve_styles(styles: DataFrame, keys: tuple[str, ...] = (), own_only: bool
     own = styles.select(*keys, F.col("style_id").alias("ancestor"), F.explode("props").alias("prop", "value")).filter(F.col("value").isNotNull())
     if own_only:
         return own.withColumnRenamed("ancestor", "style_id").withColumn("distance", F.lit(0).cast("long"))
-    return (
-        ancestors(styles, tuple(keys)).join(own, [*keys, "ancestor"])
-        .groupBy(*keys, "style_id", "prop").agg(F.min_by(F.struct("value", "distance"), F.col("distance")).alias("_v"))
-        .select(*keys, "style_id", "prop", F.col("_v.value").alias("value"), F.col("_v.distance").alias("distance"))
-    )
+    # Pointer doubling over values: each round a style takes what the ancestor 2**k steps up has found by then, and keeps the
+    # nearest value of each property, so there are never more rows than styles times properties. A chain cannot be longer
+    # than its document has styles, which also ends the rounds of a cycle.
+    known = styles.select(*keys, F.col("style_id").alias("ancestor"))
+    jump = settle(styles.select(*keys, "style_id", F.col("based_on").alias("ancestor")).join(known, [*keys, "ancestor"], "left_semi").select(*keys, "style_id", "ancestor"))
+    found = own.withColumnRenamed("ancestor", "style_id").withColumn("distance", F.lit(0).cast("long"))
+    longest, step = styles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0, 1
+    while step < longest and not jump.isEmpty():
+        taken = jump.join(found.withColumnRenamed("style_id", "ancestor"), [*keys, "ancestor"]).select(
+            *keys, "style_id", "prop", "value", (F.col("distance") + step).alias("distance"))
+        found = settle(found.unionByName(taken).groupBy(*keys, "style_id", "prop").agg(F.min_by(F.struct("value", "distance"), "distance").alias("_v")).select(
+            *keys, "style_id", "prop", F.col("_v.value").alias("value"), F.col("_v.distance").alias("distance")))
+        jump = settle(jump.withColumnRenamed("ancestor", "_mid").join(
+            jump.select(*keys, F.col("style_id").alias("_mid"), "ancestor"), [*keys, "_mid"]).select(*keys, "style_id", "ancestor"))
+        step *= 2
+    return found
 
 
 def style_picker(styles: DataFrame) -> DataFrame:

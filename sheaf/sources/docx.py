@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..functions.fields import field_kind, normalise_target, reference_format, reference_target, sequence_name
 from ..functions.text import round_half_up
-from ..operators.scan import running_sum, scan
+from ..operators.scan import next_row, running_sum, scan
 from .nodes import at, attr, id_up, inside, joined_text, part_nodes, pick, present, up
 
 # Part names, and the elements that hold blocks.
@@ -252,12 +252,10 @@ def fields(nodes: DataFrame) -> DataFrame:
 def bookmarks(nodes: DataFrame) -> DataFrame:
     """(doc_id, part, name, id, start_pos, end_pos); the editor's transient bookmark is dropped."""
     n = part_nodes(nodes, BODY, NOTES)
-    starts = n.filter((F.col("tag") == "w:bookmarkStart") & (attr("w:name") != "") & (attr("w:name") != "_GoBack")).select(
-        *KEY, attr("w:id").alias("id"), attr("w:name").alias("name"), F.col("node_id").alias("start_pos"))
-    ends = n.filter("tag = 'w:bookmarkEnd'").select(*KEY, attr("w:id").alias("id"), F.col("node_id").alias("end_pos"))
-    paired = starts.join(ends, [*KEY, "id"], "left").filter(F.col("end_pos").isNull() | (F.col("end_pos") > F.col("start_pos")))
-    nearest = paired.groupBy(*KEY, "id", "start_pos").agg(F.min("end_pos").alias("end_pos"))
-    return starts.join(nearest, [*KEY, "id", "start_pos"], "left").select(*KEY, "name", "id", "start_pos", "end_pos")
+    start = (F.col("tag") == "w:bookmarkStart") & (attr("w:name") != "") & (attr("w:name") != "_GoBack")
+    edges = n.filter(start | (F.col("tag") == "w:bookmarkEnd")).select(*KEY, attr("w:id").alias("id"), attr("w:name").alias("name"), "tag", F.col("node_id").alias("start_pos"))
+    paired = scan(edges, [*KEY, "id"], "start_pos", longest=0, _end=next_row(F.col("tag") == "w:bookmarkEnd", inclusive=False))
+    return paired.filter("tag = 'w:bookmarkStart'").select(*KEY, "name", "id", "start_pos", F.when(F.col("id").isNotNull(), F.col("_end.at")).alias("end_pos"))
 
 
 def notes(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import units
 from ..functions.fields import caption_kind_odt
 from ..functions.text import round_half_up
 from ..operators.references import in_ranges
-from ..operators.scan import running_sum, scan
+from ..operators.scan import next_row, running_sum, scan
 from ..operators.styles import ancestors, prefer
 from .nodes import at, attr, id_up, inside, joined_text, part_nodes, pick, present, up
 
@@ -239,11 +239,11 @@ def fields(nodes: DataFrame) -> DataFrame:
 def bookmarks(nodes: DataFrame) -> DataFrame:
     """(doc_id, part, name, start_pos, end_pos): ranges pair by name; a point bookmark is an empty range."""
     n = part_nodes(nodes, CONTENT).filter(attr("text:name") != "")
-    starts = n.filter("tag = 'text:bookmark-start'").select(*KEY, attr("text:name").alias("name"), F.col("node_id").alias("start_pos"))
-    ends = n.filter("tag = 'text:bookmark-end'").select(*KEY, attr("text:name").alias("name"), F.col("node_id").alias("end_pos"))
-    near = starts.join(ends, [*KEY, "name"]).filter("end_pos > start_pos").groupBy(*KEY, "name", "start_pos").agg(F.min("end_pos").alias("end_pos"))
-    points = n.filter("tag = 'text:bookmark'").select(*KEY, attr("text:name").alias("name"), F.col("node_id").alias("start_pos"), F.col("node_id").alias("end_pos"))
-    return starts.join(near, [*KEY, "name", "start_pos"], "left").unionByName(points)
+    edges = n.filter(F.col("tag").isin("text:bookmark-start", "text:bookmark-end", "text:bookmark")).select(
+        *KEY, attr("text:name").alias("name"), "tag", F.col("node_id").alias("start_pos"))
+    paired = scan(edges, [*KEY, "name"], "start_pos", longest=0, _end=next_row(F.col("tag") == "text:bookmark-end", inclusive=False))
+    end = F.when(F.col("tag") == "text:bookmark", F.col("start_pos")).otherwise(F.col("_end.at"))
+    return paired.filter("tag <> 'text:bookmark-end'").select(*KEY, "name", "start_pos", end.alias("end_pos"))
 
 
 def notes(nodes: DataFrame) -> DataFrame:
