@@ -8,12 +8,13 @@ order all tokens are put in, as long as both sets use the same. Candidates have
    (less one) of them: those that most other sets have. How many sets have a token is counted exactly up to HOT; beyond, the
    order among common tokens is that of their hashes. Tokens of one set only match nothing, so a text that merely quotes a
    popular passage drops out here.
-2. *Another order of hashes:* the first fifth (and one) must meet again.
-3. *Sizes:* the smaller set must have 80 in 100 of the larger one's tokens.
+2. *Another order of hashes:* the first fifths (and one) must share as many tokens as follows from the sizes.
+3. *Sizes:* the smaller set must have 80 in 100 of the larger one's tokens. They also tell how much of both windows must be left
+   behind a first common token.
 
 Pairs that pass are verified on the whole sets. Equal sets are one node from the start. Within each group of nodes that share
 a token the nodes are first compared with two of them only; links found so far give components, and then every pair of
-nodes of different components that share a token is compared. Pairs within a component need no comparison, so components
+nodes of different components that still may meet is compared. Pairs within a component need no comparison, so components
 are exact and large groups of near copies cost no more than their size.
 
 Sets are of 64-bit hashes of n-grams. A null text and one without words are empty and linked with nothing. Rows without a
@@ -27,14 +28,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, n_parts, shared_folder, stored
 
 WORDS = 5
 THRESHOLD = 80  # in 100
-WINDOW = 0.3
+WINDOW = 0.5
 #: Sets of a token are counted exactly up to this; commoner tokens are ordered by hash.
 HOT = 32
 FLUSH = 1_500_000
@@ -112,7 +113,7 @@ def other_prefix(tokens: np.ndarray) -> np.ndarray:
     """The prefix under the second order, as 32-bit values."""
     order = _mixed(tokens, 0xD6E8FEB86659FD93)
     k = prefix_size(len(tokens))
-    return (np.partition(order, k - 1)[:k] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return np.unique((np.partition(order, k - 1)[:k] & _U(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -235,28 +236,51 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
 
 
 def rarest(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """token, node, n: of each set the tokens by which it has to meet any similar set. The tokens that no other set has come
-    first and meet nothing; of the others, need - 1 may be left out."""
-    per_node = F.struct("df", "token")
-    grouped = tokens.groupBy("node").agg(F.array_sort(F.collect_set(per_node)).alias("held"))
-    kept = grouped.join(nodes.select("node", "n", "need"), "node").where(F.size("held") >= F.col("need"))
-    first = F.slice("held", F.lit(1), (F.size("held") - F.col("need") + 1).cast("int"))
-    return kept.select("node", "n", F.explode(first["token"]).alias("token"))
+    """token, node, n, alone, pos: of each set the tokens by which it has to meet any similar set, with their place in its
+    window, rarest first. The ``alone`` tokens that no other set has come first and meet nothing; of all, need - 1 may be
+    left out."""
+    grouped = tokens.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("held"))
+    size = F.size("held")
+    kept = (grouped.join(nodes.select("node", "n", "need"), "node").where(size >= F.col("need"))
+            .withColumn("alone", (window(F.col("n")) - size).cast("int"))
+            .select("node", "n", "alone", F.slice("held", F.lit(1), F.greatest(F.lit(0), size - F.col("need") + 1).cast("int")).alias("held")))
+    return kept.select("node", "n", "alone", F.posexplode("held").alias("i", "h")).select(
+        F.col("h.token").alias("token"), "node", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("pos"))
 
 
 # --- Pairs, verification, components ---
 
 
-def similar_size(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+def prefix(n: Column) -> Column:
+    return n - F.ceil(n * THRESHOLD / 100) + 1
+
+
+def window(n: Column) -> Column:
+    return F.greatest(F.ceil(n * WINDOW), prefix(n))
+
+
+def shared_least(a: Column, b: Column) -> Column:
+    return F.ceil((a + b) * THRESHOLD / (100 + THRESHOLD))
+
+
+def may_meet(a: str, b: str) -> Column:
+    """Whether two sets may be similar and this token the first of the rarest-first order that both windows have: sizes, and
+    enough window left behind it on both sides."""
+    n = {s: F.col(f"{s}.n") for s in (a, b)}
+    need = F.greatest(F.lit(1), shared_least(n[a], n[b]) - F.greatest(*[x - window(x) for x in n.values()]))
+    near = F.least(*n.values()) * 100 >= F.greatest(*n.values()) * THRESHOLD
+    return near & (F.col(f"{a}.pos") <= window(n[a]) - need + 1) & (F.col(f"{b}.pos") <= window(n[b]) - need + 1)
 
 
 def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar: sizes and second order first, then the whole sets."""
+    """Those of ``pairs`` (a, b) that are similar: by the second order first, then on the whole sets."""
     side = {s: members.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "ab"}
     text = {s: members.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"}
-    likely = (pairs.join(side["a"], "a").join(side["b"], "b")
-              .where(similar_size("n_a", "n_b") & F.arrays_overlap("prefix_a", "prefix_b")).select("a", "b"))
+    # Tokens that the prefixes must share; those that fell together as 32-bit values are allowed for.
+    n = [F.col(f"n_{s}") for s in "ab"]
+    lost = sum((prefix(x) - F.size(f"prefix_{s}") for x, s in zip(n, "ab")), F.lit(0))
+    need = F.greatest(F.lit(1), shared_least(*n) - F.greatest(*[x - prefix(x) for x in n]) - lost)
+    likely = pairs.join(side["a"], "a").join(side["b"], "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= need).select("a", "b")
     both = likely.join(text["a"], "a").join(text["b"], "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,25 +325,31 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     return label.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a <> b").distinct()
+
+
 def _pairs_with_pivots(held: DataFrame) -> DataFrame:
-    """Each node with the smallest and the largest node of each of its tokens."""
-    ends = held.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = held.join(ends, "token").select(F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("low").alias("b")),
-                                                            F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("p"))
-    return met.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a <> b").distinct()
+    """Each node with two nodes of each of its tokens: the one with the smallest share of tokens of its own, which is likest to
+    what a group of near copies was made from, and the smallest one."""
+    row = F.struct("node", "n", "pos")
+    ends = held.groupBy("token").agg(F.min_by(row, F.struct(F.col("alone") / window(F.col("n")), "node")).alias("plain"),
+                                     F.min_by(row, "node").alias("low"), F.max("node").alias("high")).where("low.node < high")
+    pivots = ends.select("token", F.explode(F.array_distinct(F.array("plain", "low"))).alias("p")).select("token", "p.*")
+    return _ordered(held.alias("x").join(pivots.alias("y"), "token").where(may_meet("x", "y")))
 
 
 def _pairs_between(held: DataFrame, label: DataFrame) -> DataFrame:
-    """All pairs of nodes of like size that share a token and lie in different components so far."""
-    known = held.join(label, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    """All pairs of nodes that may meet in a token and lie in different components so far."""
+    known = held.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    step = F.floor(F.ln(F.col("n").cast("double")) / F.ln(F.lit(100 / THRESHOLD))).cast("int")
+    # Sizes of a pair differ by a factor of 1.25 at most: they lie in the same step or in neighbouring ones.
+    step = F.floor(F.ln(F.col("n").cast("double")) / F.ln(F.lit(1.01 * 100 / THRESHOLD))).cast("int")
     rows = known.join(mixed, "token", "left_semi").withColumn("step", step)
-    one = rows.select("token", "step", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    near = rows.select("token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"),
-                       F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return (one.join(near, ["token", "step"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & similar_size("n_a", "n_b"))
-            .select("a", "b").distinct())
+    near = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("step", F.col("step") + F.col("up"))
+    x, y = rows.alias("x"), near.alias("y")
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.up") == 1) | (F.col("x.node") < F.col("y.node")))
+    return _ordered(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.step") == F.col("y.step")) & apart & may_meet("x", "y")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
