@@ -308,7 +308,11 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     until nothing changes; rounds grow with the logarithm of the longest path. Every round is written down.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/edges")
-    turn = 0
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+    turn, now = 0, state(edges)
     while True:
         turn += 1
         both = edges.union(edges.select("v", "u"))
@@ -317,9 +321,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = stored(small.select("e.u", "e.v").where("u <> v").distinct(), f"{folder}/edges{turn}")
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges, before, now = new, now, state(new)
+        if now == before:
             break
     label = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return label.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
