@@ -3,7 +3,7 @@
 Two sets with a similarity of 80 in 100 or more share a token among the first fifth (and one) of their tokens, whatever
 order all tokens are put in, as long as both sets use the same. Candidates have to pass three orders:
 
-1. *Rarest first within a sample.* Of each set the WINDOW share that comes first in the order of hashes is looked at. A
+1. *Rarest first.* Of each set the WINDOW share (all of it by default) that comes first in the order of hashes is looked at. A
    similar pair shares at least a number of tokens there that follows from its sizes, so each set may leave out that many
    (less one) of them: those that most other sets have. How many sets have a token is counted exactly up to HOT; beyond, the
    order among common tokens is that of their hashes. Tokens of one set only match nothing, so a text that merely quotes a
@@ -35,7 +35,8 @@ from .common import bounded, n_parts, shared_folder, stored
 
 WORDS = 5
 THRESHOLD = 80  # in 100
-WINDOW = 0.5
+#: Share of a set that is looked at; less of it costs less to shuffle and lets more pairs through.
+WINDOW = 1.0
 #: Sets of a token are counted exactly up to this; commoner tokens are ordered by hash.
 HOT = 32
 FLUSH = 1_500_000
@@ -180,7 +181,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
 
     Tokens are packed into arrays before they are shuffled. A token is its range and 40 bits of its hash there.
     """
-    parts = n_parts(docs)
+    parts = 2 * n_parts(docs)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, tokens, nodes, held = Shingler(), [], [], 0
