@@ -1,13 +1,13 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences; every run of three consecutive sentences with at least 12 words together is hashed, and so is
-every run of one or two with at least 25 words. A passage of more than 50 words holds such runs whatever its sentences
-are, and they cover it. Runs are joined over all documents; a sentence goes if a run that covers it occurs at an earlier
+A text is cut into sentences; a run is one or two consecutive sentences with at least 25 words, or three and more with at
+least 12. From each sentence on, the shortest run is hashed, however many sentences it takes. Runs are joined over all documents; a sentence goes if a run that covers it occurs at an earlier
 place, places being ordered by doc_id and then by position. Runs are compared by their words, lower-cased, without regard
 to white space.
 
 Sentences end behind . ! ? or an ellipsis followed by white space, at line feeds, behind the full stops of Chinese and
-Japanese, and before a capitalised word, since a passage pasted into a sentence mostly starts with one.
+Japanese, and before a capitalised word, since a passage pasted into a sentence mostly starts with one. Copies that differ
+in where their capitals stand are cut differently and seldom share a run.
 
 Rows without a doc_id or text are kept as they are. Rows with the same doc_id count as one document: only another place
 in it, or an earlier document, makes a run a repeated one. Text between removed sentences is kept to the character.
@@ -46,17 +46,19 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
     """The sentences, and the runs as (first sentence, number of sentences, digest)."""
     cuts = sentences(text)
-    words = [text[a:b].lower().split() for a, b in cuts]
-    keys, sizes = [" ".join(w) for w in words], [len(w) for w in words]
-    found = []
+    words, at = [], [0]  # words before each sentence
+    for a, b in cuts:
+        words += text[a:b].lower().split()
+        at.append(len(words))
+    found, end = [], 0
     for i in range(len(cuts)):
-        total = 0
-        for n in range(1, min(RUN, len(cuts) - i) + 1):
-            total += sizes[i + n - 1]
-            if total >= (RUN_WORDS if n == RUN else SHORT_RUN_WORDS):
-                found.append((i, n, md5(" ".join(keys[i:i + n]).encode()).digest()))
-                if n < RUN:
-                    break  # longer runs from here say nothing new
+        short = next((e for e in range(i + 1, min(i + RUN, len(at))) if at[e] - at[i] >= SHORT_RUN_WORDS), None)
+        end = max(end, i + RUN)
+        while end < len(at) and at[end] - at[i] < RUN_WORDS:
+            end += 1
+        e = short or end
+        if e < len(at):
+            found.append((i, e - i, md5(" ".join(words[at[i]:at[e]]).encode()).digest()))
     return cuts, found
 
 

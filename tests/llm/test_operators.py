@@ -233,6 +233,15 @@ def test_spans(spark):
         assert sum(x.end - x.start for x in r.removed) == r.n_removed
 
 
+@pytest.mark.parametrize("passage", [
+    " ".join(f"WORD{i}" for i in range(60)), " ".join(f"Anna Berg{i}, Carl Dorn{i}," for i in range(20)),
+    "\n".join(f"line {i}" for i in range(40))], ids=["capitals", "names", "short lines"])
+def test_spans_of_short_sentences(spark, passage):
+    docs = spark.createDataFrame([(1, "before it\n" + passage + "\nbehind it"), (2, "elsewhere\n" + passage + "\nan end")], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in spans.dedup_spans(docs).collect()}
+    assert got == {1: docs.first().text, 2: "elsewhere\nan end"}
+
+
 # --- 7 Quality ---
 
 
