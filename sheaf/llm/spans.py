@@ -1,7 +1,9 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences; a run is one or two consecutive sentences with at least 25 words, or three and more with at
-least 12. From each sentence on, the shortest run is hashed, however many sentences it takes. Runs are joined over all documents; a sentence goes if a run that covers it occurs at an earlier
+least 12. The shortest run that starts with each sentence and the shortest one that ends with it are hashed, however many
+sentences they take: of a passage cut alike, they cover all that any longer runs would, and all of one of more than 50 words
+whatever its sentences are. Runs are joined over all documents; a sentence goes if a run that covers it occurs at an earlier
 place, places being ordered by doc_id and then by position. Runs are compared by their words, lower-cased, without regard
 to white space.
 
@@ -50,15 +52,20 @@ def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]
     for a, b in cuts:
         words += text[a:b].lower().split()
         at.append(len(words))
-    found, end = [], 0
-    for i in range(len(cuts)):
-        short = next((e for e in range(i + 1, min(i + RUN, len(at))) if at[e] - at[i] >= SHORT_RUN_WORDS), None)
-        end = max(end, i + RUN)
-        while end < len(at) and at[end] - at[i] < RUN_WORDS:
+    spans, last, end, start = set(), len(cuts), 0, 0
+    for i in range(last):
+        end = max(end, i + RUN)  # of the shortest run of three and more from here
+        while end < last and at[end] - at[i] < RUN_WORDS:
             end += 1
-        e = short or end
-        if e < len(at):
-            found.append((i, e - i, md5(" ".join(words[at[i]:at[e]]).encode()).digest()))
+        e = next((e for e in range(i + 1, min(i + RUN, last + 1)) if at[e] - at[i] >= SHORT_RUN_WORDS), end)
+        if e <= last and (e - i < RUN or at[e] - at[i] >= RUN_WORDS):
+            spans.add((i, e))
+        while start + RUN <= i and at[i + 1] - at[start + 1] >= RUN_WORDS:
+            start += 1  # of the shortest run of three and more up to here
+        b = next((b for b in range(i, max(i - RUN + 1, -1), -1) if at[i + 1] - at[b] >= SHORT_RUN_WORDS), start)
+        if i + 1 - b < RUN and at[i + 1] - at[b] >= SHORT_RUN_WORDS or i + 1 - b >= RUN and at[i + 1] - at[b] >= RUN_WORDS:
+            spans.add((b, i + 1))
+    found = [(a, b - a, md5(" ".join(words[at[a]:at[b]]).encode()).digest()) for a, b in sorted(spans)]
     return cuts, found
 
 

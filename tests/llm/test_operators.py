@@ -242,6 +242,28 @@ def test_spans_of_short_sentences(spark, passage):
     assert got == {1: docs.first().text, 2: "elsewhere\nan end"}
 
 
+@pytest.mark.parametrize("sizes", [(15, 12, 14, 13, 10), (30, 21), (30, 5, 1, 1, 20), (26, 20, 1, 1, 1, 1, 1), (1, 1, 1, 1, 1, 20, 26)])
+def test_spans_cover_a_passage_to_its_ends(spark, sizes):
+    passage = " ".join(" ".join(f"p{k}q{j}" for j in range(n)) + "." for k, n in enumerate(sizes))
+    docs = spark.createDataFrame([(i, f"{a} stands before it.\n{passage}\n{b} comes behind it.") for i, a, b in ((1, "one", "two"), (2, "other", "more"))],
+                                 "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in spans.dedup_spans(docs).collect()}[2] == "other stands before it.\nmore comes behind it."
+
+
+def test_shortest_runs_cover_what_all_runs_cover():
+    sizes = np.random.default_rng(5).choice([1, 2, 3, 8, 11, 13, 24, 26], (400, 9)).tolist()
+    for i, row in enumerate(sizes):
+        text = " ".join(" ".join(f"w{i}" for _ in range(n)) + "." for n in row)
+        cuts, found = spans.runs(text)
+        assert len(cuts) == 9 and all(sum(row[a:a + n]) >= (12 if n > 2 else 25) for a, n, _ in found)
+        for a in range(9):
+            for b in range(a + 1, 10):
+                inside = [{*range(x, x + n)} for x, n, _ in found if a <= x and x + n <= b]
+                longer = [{*range(x, y)} for x in range(a, b) for y in range(x + 1, b + 1) if sum(row[x:y]) >= (12 if y - x > 2 else 25)]
+                assert set().union(*inside) == set().union(*longer)
+                assert sum(row[a:b]) <= 50 or set().union(*inside) == {*range(a, b)}
+
+
 # --- 7 Quality ---
 
 
