@@ -370,7 +370,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = held.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
     met = held.join(alone, "token", "left_semi").select("node").distinct()
     chosen = nodes.join(met, "node", "left_semi").select("node", "one.doc_id", "one.told")
-    prefixes = sets.where("node is not null").join(chosen.select("node", "doc_id", "told"), ["node", "doc_id", "told"], "left_semi").dropDuplicates(["node"])
+    x, y = sets.where("node is not null").alias("x"), chosen.alias("y")
+    one = (F.col("x.node") == F.col("y.node")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.told") == F.col("y.told"))
+    prefixes = x.join(y, one, "left_semi").dropDuplicates(["node"])
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("told"))
     same = (texts["doc_id"].eqNullSafe(prefixes["doc_id"])) & (texts["told"] == prefixes["told"])
     members = stored(texts.join(prefixes, same).select("node", "n", "prefix", "text").dropDuplicates(["node"]), f"{folder}/members")

@@ -424,6 +424,14 @@ def test_jaccard_finds_every_component(spark, rows):
     assert rows(jaccard_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == components_by_hand(docs)
 
 
+def test_jaccard_links_sets_that_a_row_without_id_has(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, far = " ".join(words), " ".join(words[:58] + ["other", "end"]), " ".join(["new"] + words[:56] + ["other", "end"])
+    docs = spark.createDataFrame([(5, text), (None, text), (9, near), (12, far), (None, far.upper()), (20, "of its own")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.component_id, r.n_copies) for r in jaccard_join.near_duplicates(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(5, 5, 2), (None, 5, 2), (9, 5, 1), (12, 5, 2), (None, 5, 2), (20, 20, 1)], key=repr)
+
+
 def test_window_need_is_a_lower_bound():
     """Random similar sets share at least as many window tokens as ``window_need`` promises."""
     rng = np.random.default_rng(3)
