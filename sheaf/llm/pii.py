@@ -8,9 +8,12 @@ the same check:
 * IBANs (mod 97): the digits of the account part, then new check digits;
 * social security numbers (valid areas, groups and serials): within the valid ones;
 * phone numbers: the last ten digits; IPv4 addresses: the four octets;
-* dates of the years 1000 to 2999: among the days of their century.
+* dates of the years 1000 to 2999, in figures or with an English month name: among the days of their century, so the same day
+  in two forms stays the same day. With slashes the month stands first where it can, with dots the day, with dashes the day
+  where it can. Two-digit years, years first with dots and month names of other languages are left alone.
 
-E-mail addresses and hexadecimal secrets are no numbers; they get keyed digests in their own format. The rest of a text is
+E-mail addresses and hexadecimal secrets, in small letters or capitals, are no numbers; they get keyed digests in their own
+format. The rest of a text is
 unchanged: numbers that fail their check, and texts without personal data. A null text stays null.
 
 The round function is SHA-256 over key, kind, round and the other residue. The key is a parameter: keep it secret.
@@ -25,14 +28,19 @@ ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}\d)[0-9a-f]{32,64}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?=[0-9A-Fa-f]{0,63}[A-Fa-f])(?=[0-9A-Fa-f]{0,63}\d)[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
 IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
-DATE = r"(?<![\d./\-])(?:[12]\d{3}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/[12]\d{3}|\d{1,2}\.\d{1,2}\.[12]\d{3})(?![\d/\-]|\.\d)"
+DATE = r"(?<![\d./\-])(?:[12]\d{3}-\d{2}-\d{2}|[12]\d{3}/\d{1,2}/\d{1,2}|\d{1,2}-\d{1,2}-[12]\d{3}|\d{1,2}/\d{1,2}/[12]\d{3}|\d{1,2}\.\d{1,2}\.[12]\d{3})(?![\d/\-]|\.\d)"
+MONTH = (r"(?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?"
+         r"|Dec(?:ember)?)(?![A-Za-z])")
+_DAY = r"\d{1,2}(?i:st|nd|rd|th)?"
+NAMED_DATE = (rf"(?<![\w./\-]){_DAY}(?:\s{{1,3}}of)?[\s\-]{{1,3}}{MONTH}\.?,?[\s\-]{{1,3}}[12]\d{{3}}(?!\w)"
+              rf"|(?<![A-Za-z]){MONTH}\.?\s{{1,3}}{_DAY},?\s{{1,3}}[12]\d{{3}}(?!\w)")
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = (r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)"
          r"|(?<![\d)])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}([.\-])\d{3}\1\d{4}(?![\d\-]|\.\d)")
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\2\d{4}\2\d{4}|\d{4}([ \-])\d{6}\3\d{5})(?!\d)"
-ANY = "|".join((EMAIL, IBAN, SECRET, IPV4, DATE, SSN, PHONE, CARD))
+ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, NAMED_DATE, SSN, PHONE, CARD))
 
 
 def let(value: Column, body) -> Column:
@@ -169,38 +177,65 @@ def new_ipv4(m: Column, key: str) -> Column:
     return let(F.split(m, r"\."), body)
 
 
+def new_day(year: Column, month: Column, day: Column, key: str) -> Column:
+    """Permuted among the 36,524 or 36,525 days of its century; 92 * 397 and 75 * 487 are the residues. Null if there is no such day."""
+    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    century = F.floor(year.cast("int") / 100)
+    first = F.try_to_date(F.concat(F.lpad(century.cast("string"), 2, "0"), F.lit("00-01-01")), "yyyy-MM-dd")
+    size_x = F.when(century % 4 == 0, 75).otherwise(92).cast("bigint")
+    size_y = F.when(century % 4 == 0, 487).otherwise(397).cast("bigint")
+    index = F.datediff(date, first)
+    new = feistel(F.floor(index / size_y), index % size_y, size_x, size_y, F.concat(F.lit("date"), century.cast("string")), key)
+    return F.when(date.isNotNull(), let(new, lambda s: F.date_add(first, (s["x"] * size_y + s["y"]).cast("int"))))
+
+
 def new_date(m: Column, key: str) -> Column:
-    """Permuted among the 36,524 or 36,525 days of its century; 92 * 397 and 75 * 487 are the residues."""
     sep = F.regexp_extract(m, r"[-/.]", 0)
 
     def body(p: Column) -> Column:
-        iso = sep == "-"
-        day_first = (sep == ".") | (number(p[0]) > 12)
-        year = F.when(iso, p[0]).otherwise(p[2])
-        month = F.when(iso, p[1]).when(day_first, p[1]).otherwise(p[0])
-        day = F.when(iso, p[2]).when(day_first, p[0]).otherwise(p[1])
-        date = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
-        century = F.floor(year.cast("int") / 100)
-        first = F.try_to_date(F.concat(F.lpad(century.cast("string"), 2, "0"), F.lit("00-01-01")), "yyyy-MM-dd")
-        size_x = F.when(century % 4 == 0, 75).otherwise(92).cast("bigint")
-        size_y = F.when(century % 4 == 0, 487).otherwise(397).cast("bigint")
-        index = F.datediff(date, first)
-        new = feistel(F.floor(index / size_y), index % size_y, size_x, size_y, F.concat(F.lit("date"), century.cast("string")), key)
-        moved = let(new, lambda s: F.date_add(first, (s["x"] * size_y + s["y"]).cast("int")))
+        year_first = F.length(p[0]) == 4
+        day_first = (sep == ".") | (sep == "-") & (number(p[1]) <= 12) | (number(p[0]) > 12)
+        year = F.when(year_first, p[0]).otherwise(p[2])
+        month = F.when(year_first, p[1]).when(day_first, p[1]).otherwise(p[0])
+        day = F.when(year_first, p[2]).when(day_first, p[0]).otherwise(p[1])
 
         def text(d: Column) -> Column:
-            dd, mm = F.date_format(d, "dd"), F.date_format(d, "MM")
-            short = F.length(p[0]) == 1
-            a, b = F.when(day_first, dd).otherwise(mm), F.when(day_first, mm).otherwise(dd)
-            plain = F.concat(F.when(short, F.ltrim(a, F.lit("0"))).otherwise(a), sep,
-                             F.when(F.length(p[1]) == 1, F.ltrim(b, F.lit("0"))).otherwise(b), sep, F.date_format(d, "yyyy"))
-            return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(plain)
+            def like(old: Column, form: str) -> Column:
+                new = F.date_format(d, form)
+                return F.when(F.length(old) == 1, F.ltrim(new, F.lit("0"))).otherwise(new)
+
+            def joined(*parts: Column) -> Column:
+                return F.concat(parts[0], sep, parts[1], sep, parts[2])
+
+            yyyy = F.date_format(d, "yyyy")
+            return (F.when(year_first, joined(yyyy, like(p[1], "MM"), like(p[2], "dd")))
+                    .when(day_first, joined(like(p[0], "dd"), like(p[1], "MM"), yyyy)).otherwise(joined(like(p[0], "MM"), like(p[1], "dd"), yyyy)))
 
-        return F.when(date.isNotNull(), let(moved, text)).otherwise(m)
+        return let(new_day(year, month, day, key), lambda d: F.when(d.isNotNull(), text(d)).otherwise(m))
 
     return let(F.split(m, r"[-/.]"), body)
 
 
+def new_named_date(m: Column, key: str) -> Column:
+    """Long or short month name, letter case, leading zero and ordinal ending follow the original."""
+    name, day, year = (F.regexp_extract(m, x, 1) for x in (rf"({MONTH})", r"(?<!\d)(\d{1,2})(?!\d)", r"(\d{4})$"))
+    month = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3))) + 2) / 3).cast("int").cast("string")
+
+    def text(d: Column) -> Column:
+        short = (F.length(name) < 5) & ~F.lower(name).isin("may", "june", "july")
+        new = F.when(short, F.date_format(d, "MMM")).otherwise(F.date_format(d, "MMMM"))
+        new = F.when(name == F.upper(name), F.upper(new)).when(name == F.lower(name), F.lower(new)).otherwise(new)
+        n, suffix = F.dayofmonth(d), F.regexp_extract(m, r"(?<!\d)\d{1,2}((?i:st|nd|rd|th))", 1)
+        ending = F.when(n.isin(1, 21, 31), "st").when(n.isin(2, 22), "nd").when(n.isin(3, 23), "rd").otherwise("th")
+        ending = F.when(suffix == "", "").when(suffix == F.upper(suffix), F.upper(ending)).otherwise(ending)
+        figures = F.when(day.startswith("0"), F.date_format(d, "dd")).otherwise(n.cast("string"))
+        out = F.regexp_replace(m, F.lit(MONTH), new)
+        out = F.regexp_replace(out, F.lit(r"(?<!\d)\d{1,2}(?!\d)(?i:st|nd|rd|th)?"), F.concat(figures, ending))
+        return F.regexp_replace(out, F.lit(r"\d{4}$"), F.date_format(d, "yyyy"))
+
+    return let(new_day(year, month, day, key), lambda d: F.when(d.isNotNull(), text(d)).otherwise(m))
+
+
 def keyed_digest(kind: str, m: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), m).cast("binary"), 256)
 
@@ -212,13 +247,14 @@ def new_email(m: Column, key: str) -> Column:
 
 
 def new_secret(m: Column, key: str) -> Column:
-    return F.substr(keyed_digest("secret", m, key), F.lit(1), F.length(m))
+    new = F.substr(keyed_digest("secret", F.lower(m), key), F.lit(1), F.length(m))
+    return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a string that matched ANY, or the string itself where it fails its check."""
-    kinds = ((EMAIL, new_email), (IBAN, new_iban), (SECRET, new_secret), (IPV4, new_ipv4), (DATE, new_date), (SSN, new_ssn),
-             (PHONE, new_phone))
+    kinds = ((EMAIL, new_email), (SECRET, new_secret), (IBAN, new_iban), (IPV4, new_ipv4), (DATE, new_date), (NAMED_DATE, new_named_date),
+             (SSN, new_ssn), (PHONE, new_phone))
     out = None
     for pattern, new in kinds:
         whole = m.rlike(f"^(?:{pattern})$")

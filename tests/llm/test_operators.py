@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -329,6 +330,20 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_secrets_and_dates_in_other_forms(spark):
+    secret = "ab12" + "9c3de0f4" * 4
+    forms = [("2024-03-05", "%Y-%m-%d"), ("2024/03/05", "%Y/%m/%d"), ("05-03-2024", "%d-%m-%Y"), ("03/05/2024", "%m/%d/%Y"), ("March 5, 2024", "%B %d, %Y"),
+             ("5 MAR 2024", "%d %b %Y"), ("5th of march 2024", None)]
+    texts = [secret, secret.upper(), secret[:32].upper(), *[f for f, _ in forms], "31-02-2024", "February 30, 2024"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id int, text string")
+    got = [r.text[2:-2] for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    assert got[0] != secret and got[1] == got[0].upper() and got[2] != texts[2] and re.fullmatch("[0-9A-F]{32}", got[2])
+    days = {datetime.strptime(g, f) for g, (_, f) in zip(got[3:9], forms)}
+    assert len(days) == 1 and days != {datetime(2024, 3, 5)}
+    day = days.pop()
+    assert re.fullmatch(rf"{day.day}(st|nd|rd|th) of {day:%B} {day:%Y}".lower(), got[9]) and got[10:] == texts[10:]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(75 * 48).select(pii.feistel(F.floor(F.col("id") / 48), F.col("id") % 48, F.lit(75), F.lit(48), "t", "k").alias("s"))
     assert df.select("s.x", "s.y").distinct().count() == 75 * 48
