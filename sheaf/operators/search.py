@@ -5,14 +5,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_count, literal_replacement, search_pattern, word_count
 
 
 # Noncharacters that mark where a match begins and ends.
-OPEN, CLOSE = "\ufdd0", "\ufdd1"
+FILL, OPEN, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def _fill(text: Column) -> Column:
+    """More of FILL in a row than ``text`` has anywhere, so that FILL and a mark stand nowhere in it."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"{FILL}+"), F.lit(0)), F.length))
+    return F.when(text.contains(FILL), F.repeat(F.lit(FILL), longest + 1)).otherwise(FILL)
 
 
 def searchable(runs: DataFrame) -> DataFrame:
@@ -27,7 +34,9 @@ def checked_pattern(spark, query: str, match_case: bool, whole_word: bool, regex
         return None
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as error:
+    except IllegalArgumentException:  # as PySpark gives Java's PatternSyntaxException
+        return None
+    except Py4JJavaError as error:  # as it gives it where it has not wrapped the gateway
         if error.java_exception.getClass().getSimpleName() != "PatternSyntaxException":
             raise
         return None
@@ -52,14 +61,17 @@ def find(
         empty = runs.limit(0)
         return empty.select(*keys, F.lit(0).alias("match_no"), F.lit(0).alias("start"), F.lit(0).alias("end"), "text")
     text = F.col("text")
-    # Every match is wrapped in two noncharacters, which no text contains, and the text is cut after each match.
-    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    # Every match is wrapped in two marks that the text does not contain, and the text is cut after each match.
+    fill = _fill(text)
+    marked = F.regexp_replace(text, F.lit(pattern), F.concat(fill, F.lit(f"{OPEN}$0"), fill, F.lit(CLOSE)))
     # The last piece is what follows the last match; it has no opening mark, hence no hit.
-    cut = F.transform(F.split(marked, CLOSE, -1), lambda p: F.struct(
-        F.substring_index(p, OPEN, 1).alias("before"), F.when(p.contains(OPEN), F.substring_index(p, OPEN, -1)).otherwise("").alias("hit")))
+    cut = F.transform(F.split("marked", F.concat("fill", F.lit(CLOSE)), -1), lambda p: F.struct(
+        F.call_function("substring_index", p, F.concat("fill", F.lit(OPEN)), F.lit(1)).alias("before"),
+        F.when(p.contains(F.concat("fill", F.lit(OPEN))), F.call_function("substring_index", p, F.concat("fill", F.lit(OPEN)), F.lit(-1))).otherwise("").alias("hit")))
     # Spark's higher-order functions would copy the list at every step; a running sum of the lengths is one pass in numpy.
     ends = F.pandas_udf(_running_ends, "array<int>")
-    sized = runs.filter(text.rlike(pattern)).select(*keys, cut.alias("cut")).select(
+    found = runs.filter(text.rlike(pattern)).select(*keys, marked.alias("marked"), fill.alias("fill"))
+    sized = found.select(*keys, cut.alias("cut")).select(
         *keys, "cut", ends(F.transform("cut", lambda p: F.length(p["before"]) + F.length(p["hit"]))).alias("ends"))
     hits = F.filter(F.arrays_zip("cut", "ends"), lambda z: z["cut"]["hit"] != "")
     return sized.select(*keys, F.posexplode(hits).alias("match_no", "z")).select(

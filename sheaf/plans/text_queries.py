@@ -57,7 +57,8 @@ def find_literal(spark, sf):
 
 @query(fx.sql(FIND_SQL.format(p="[aeiou]{3,}"), "fx_blocks"))
 def find_regex(spark, sf):
-    return _found(spark, sf, "[aeiou]{3,}", match_case=True, regex=True)
+    """Matches of a pattern; a pattern that cannot be read adds none."""
+    return _found(spark, sf, "[aeiou]{3,}", match_case=True, regex=True).unionByName(_found(spark, sf, "[aeiou", regex=True))
 
 
 @query(fx.sql(r"""

@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -72,6 +73,18 @@ def test_search_rules(spark, rows):
     assert spans("a.b") == [(17, 20)] and spans("(", regex=True) == [] and spans("") == []
     assert spans("c*", regex=True) == [(5, 6), (10, 11), (13, 14)]  # empty matches are skipped
     assert rows(search.replace_all(runs, "cat", "$1\\"), "text", "replaced") == [("x", 0), ("Éa a $1\\, con$1\\ a.b A", 2)]
+    for bad in ("(", "[a", "*", "a{2"):
+        assert spans(bad, regex=True) == []
+        assert rows(search.replace_all(runs, bad, "y", regex=True), "text", "replaced") == [("x", 0), ("Éa a cat, concat a.b A", 0)]
+
+
+def test_search_in_text_with_noncharacters(spark):
+    fill, open_, close = search.FILL, search.OPEN, search.CLOSE
+    for text in (f"{fill}cat{fill}{fill}cat", f"{open_}cat{close}cat", f"{fill}{open_}cat{fill}{close}", f"cat{fill}{fill}{open_}cat"):
+        for pattern in ("cat", f"cat{fill}", f"{fill}cat"):
+            runs = spark.createDataFrame([(1, 0, text)], "doc_id int, seq long, text string")
+            got = [(r.start, r.end, r.text) for r in search.find(runs, pattern, match_case=True).orderBy("start").collect()]
+            assert got == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, text)], (text, pattern)
 
 
 # --- tables and styles
