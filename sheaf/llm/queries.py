@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard_join, line_dedup, packing, pii, quality, site_tree, spans
+from . import bpe, chat, fingerprints, jaccard_join, line_dedup, mixing, packing, periodic, pii, quality, site_tree, spans
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -140,3 +142,50 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FRO
 """)
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("n_copies")
+
+
+def repeat_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's edit: one text in ten, by its id, repeats the words from some place on."""
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+@query()
+def op11_square_catching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse_runs(table(spark, sf_dir, "documents"), edit=repeat_tail)
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    s = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), s["start"].alias("start"), s["length"].alias("length"), s["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), digest("text").alias("collapsed_sha256"))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+sized AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)) AS place FROM d),
+s AS (SELECT source, count(*) FILTER (size > 0) AS n, sum(size)::DOUBLE AS total, coalesce('s' || source, 'none') AS told FROM sized GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s),
+l AS (SELECT *, 2 * total / weight <= (1.5 * sum(total) OVER () - sum(2 * total) OVER o + 2 * total) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS is_full
+      FROM w WINDOW o AS (ORDER BY 2 * total / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, CASE WHEN is_full THEN 2 * total ELSE weight * ((1.5 * sum(total) OVER () - coalesce(sum(2 * total) FILTER (is_full) OVER (), 0))
+             / sum(weight) FILTER (NOT is_full) OVER ()) END AS target FROM l),
+r AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / total * 1048576 + 0.5) AS BIGINT) ELSE 0 END AS rate,
+             CAST('0x' || substr(md5('mix|' || told), 1, 5) AS BIGINT) AS random FROM t),
+p AS (SELECT doc_id, sized.source, size, total, target, CASE WHEN size > 0 THEN rate ELSE 0 END AS e, random,
+             sum(CASE WHEN size > 0 THEN rate ELSE 0 END) OVER (PARTITION BY told
+               ORDER BY CAST('0x' || substr(place, 1, 15) AS BIGINT) % greatest(1, CAST(ceil(n / 5000) AS BIGINT)), size, doc_id NULLS FIRST, place ROWS UNBOUNDED PRECEDING) + random AS until
+      FROM sized JOIN r ON sized.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, source, size, CAST(total AS BIGINT) AS source_size, target, CAST(until // 1048576 - (until - e) // 1048576 AS BIGINT) AS copies,
+       CAST(size * (until // 1048576 - (until - e) // 1048576) AS BIGINT) AS taken FROM p
+""")
+def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
