@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, jaccard_join, line_dedup, mixing, packing, periodic, pii, quality, site_tree, spans
+from . import bpe, chat, fingerprints, jaccard_join, line_dedup, mixing, packing, periodic, pii, quality, repair, site_tree, spans
 from .common import digest, table
 
 QUERIES: dict = {}
@@ -166,6 +166,28 @@ def op11_square_catching(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), digest("text").alias("collapsed_sha256"))
 
 
+def damaged(told: DataFrame) -> DataFrame:
+    """The contract's damage: by its id and turn a row is dropped, emptied, robbed of its stops, repeated, or made a user's."""
+    space = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = told.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(name.cast("binary")) % 20).alias("harm"))
+    harm = F.col("harm")
+    hurt = rows.where(harm != 0).select(
+        "conv_id", "turn", F.when(harm == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"), F.when(harm == 3, 2).otherwise(1).alias("times"))
+    return hurt.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("col")
+
+
+@query()
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    found = repair.report(damaged(told)).withColumnRenamed("conv_id", "_id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return told.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 @query(r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
