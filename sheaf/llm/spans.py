@@ -17,11 +17,13 @@ in it, or an earlier document, makes a run a repeated one. Text between removed
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import md5
+from unicodedata import category
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,23 @@ from .common import batch_of, bounded, shared_folder, stored
 RUN = 3
 RUN_WORDS = 12
 SHORT_RUN_WORDS = 25
-_END = regex.compile(r"(?<=[.!?…][\"'”’)\]]?)\s+(?=\S)|\n\s*|(?<=[。！？])|\s+(?=\p{Lu})")
+#: Where a sentence may end: behind its stop, at a line feed, behind a full stop without white space, before a capital.
+_END = re.compile(r"[.!?…][\"'”’)\]]?(\s++)(?=\S)|(\n\s*+)|[。！？]|(\s++)(?=[A-Z\x80-\U0010ffff])")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each sentence, without the white space between them."""
     out, start = [], 0
     for m in _END.finditer(text):
-        if m.start() > start:
-            out.append((start, m.start()))
-        start = m.end()
+        k, end = m.lastindex, m.end()
+        at = m.start(k) if k else end
+        if k == 3 and (c := text[end]) > "Z" and category(c) != "Lu":
+            at = text.find("\n", at, end)
+            if at < 0:
+                continue
+        if at > start:
+            out.append((start, at))
+        start = end
     if start < len(text):
         out.append((start, len(text)))
     return out
@@ -48,73 +57,97 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
     """The sentences, and the runs as (first sentence, number of sentences, digest)."""
     cuts = sentences(text)
-    words, at = [], [0]  # words before each sentence
+    said, at, ends = [], [0], [0]  # the words, joined by one space; words and bytes before each sentence
+    n_words = n_bytes = 0
     for a, b in cuts:
-        words += text[a:b].lower().split()
-        at.append(len(words))
+        words = text[a:b].lower().split()
+        if words:
+            part = " ".join(words).encode()
+            said.append(part)
+            n_words += len(words)
+            n_bytes += len(part) + 1
+        at.append(n_words)
+        ends.append(n_bytes)
+    flat = b" ".join(said)
     spans, last, end, start = set(), len(cuts), 0, 0
     for i in range(last):
+        here, behind = at[i], at[i + 1]
         end = max(end, i + RUN)  # of the shortest run of three and more from here
-        while end < last and at[end] - at[i] < RUN_WORDS:
+        while end < last and at[end] - here < RUN_WORDS:
             end += 1
-        e = next((e for e in range(i + 1, min(i + RUN, last + 1)) if at[e] - at[i] >= SHORT_RUN_WORDS), end)
-        if e <= last and (e - i < RUN or at[e] - at[i] >= RUN_WORDS):
+        e, short = i + 1, min(i + RUN, last + 1)
+        while e < short and at[e] - here < SHORT_RUN_WORDS:
+            e += 1
+        if e < short:
             spans.add((i, e))
-        while start + RUN <= i and at[i + 1] - at[start + 1] >= RUN_WORDS:
+        elif end <= last and at[end] - here >= RUN_WORDS:
+            spans.add((i, end))
+        while start + RUN <= i and behind - at[start + 1] >= RUN_WORDS:
             start += 1  # of the shortest run of three and more up to here
-        b = next((b for b in range(i, max(i - RUN + 1, -1), -1) if at[i + 1] - at[b] >= SHORT_RUN_WORDS), start)
-        if i + 1 - b < RUN and at[i + 1] - at[b] >= SHORT_RUN_WORDS or i + 1 - b >= RUN and at[i + 1] - at[b] >= RUN_WORDS:
+        b, short = i, max(i - RUN + 1, -1)
+        while b > short and behind - at[b] < SHORT_RUN_WORDS:
+            b -= 1
+        if b > short:
             spans.add((b, i + 1))
-    found = [(a, b - a, md5(" ".join(words[at[a]:at[b]]).encode()).digest()) for a, b in sorted(spans)]
-    return cuts, found
+        elif i + 1 - start >= RUN and behind - at[start] >= RUN_WORDS:
+            spans.add((start, i + 1))
+    return cuts, [(a, b - a, md5(flat[ends[a]:ends[b] - 1]).digest()) for a, b in sorted(spans)]
 
 
-_RUN = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("key", pa.binary())])
+_RUN = pa.schema([("doc_id", pa.int64()), ("told", pa.int64()), ("span", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("again", pa.bool_())])
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
+    """A row per run: doc_id, told (a hash of the text, as ids may repeat), span (its start << 32 | the start of the sentence
+    behind it), its digest, and whether the same text holds it at an earlier place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for small in bounded(batch, 4_000_000):
-                ids, pos, keys = [], [], []
-                for doc_id, text in zip(small.column(0).to_pylist(), small.column(1).to_pylist()):
-                    _, found = runs(text)
+                ids, hashes, spans, keys, again = [], [], [], [], []
+                for doc_id, text, told in zip(*(c.to_pylist() for c in small.columns)):
+                    cuts, found = runs(text)
+                    starts = [a for a, _ in cuts] + [len(text)]
                     ids += [doc_id] * len(found)
-                    pos += [i for i, _, _ in found]
-                    keys += [k for *_, k in found]
-                yield batch_of(_RUN, ids, pos, keys)
+                    hashes += [told] * len(found)
+                    spans += [starts[i] << 32 | starts[i + n] for i, n, _ in found]
+                    seen: set[bytes] = set()
+                    for *_, k in found:
+                        again.append(k in seen)
+                        seen.add(k)
+                        keys.append(k)
+                two = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                yield batch_of(_RUN, ids, hashes, spans, two[:, 0], two[:, 1], again)
 
-    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "doc_id bigint, pos int, key binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("told")).where("doc_id is not null and text is not null")
+    return rows.mapInArrow(run, "doc_id bigint, told bigint, span bigint, k1 bigint, k2 bigint, again boolean")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Per document, the position and digest of each run that is not the first of its kind.
+    """Per document and text, the spans of the runs that are not the first of their kind.
 
-    The first place of each run is found by a combining aggregate; a run that many documents share is one row per task
-    there, and the join that follows can be split where it is skewed.
+    A text's own repeats are known as it is read. The first place of each other run is found by a combining aggregate. The runs
+    found more than once are written down before they meet the rows: a run that very many documents share then is a skewed side
+    of a plain join, which Spark splits, beside one row.
     """
-    rows = stored(run_rows(docs), f"{shared_folder(docs.sparkSession, 'spans')}/runs")  # read twice below
-    place = F.struct("doc_id", "pos")
-    ends = rows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = ends.where("first < last").select("key", "first")
-    later = rows.join(again, "key").where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("again"))
-
-
-def covered(text: str, again: list[dict]) -> list[tuple[int, int]]:
-    """The stretches of text to remove: from a covered sentence to the start of the next sentence."""
-    cuts, found = runs(text)
-    marked = {(a["pos"], a["key"]) for a in again}
-    gone = set()
-    for i, n, key in found:
-        if (i, key) in marked:
-            gone.update(range(i, i + n))
-    out = []
-    for i in sorted(gone):
-        a, b = cuts[i][0], cuts[i + 1][0] if i + 1 < len(cuts) else len(text)
-        if out and out[-1][1] == a:
-            out[-1] = out[-1][0], b
+    folder = shared_folder(docs.sparkSession, "spans")
+    rows = stored(run_rows(docs), f"{folder}/runs")  # read twice below
+    place = F.struct("doc_id", "span")
+    once = rows.where("not again").select("k1", "k2", "doc_id", "told", "span")
+    ends = once.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    shared = stored(ends.where("n > 1").select("k1", "k2", "first"), f"{folder}/shared")
+    later = once.join(shared, ["k1", "k2"]).where(place > F.col("first")).select("doc_id", "told", "span")
+    gone = later.union(rows.where("again").select("doc_id", "told", "span"))
+    return gone.groupBy("doc_id", "told").agg(F.collect_set("span").alias("spans"))
+
+
+def stretches(spans: list[int]) -> list[tuple[int, int]]:
+    """The stretches of text that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for span in sorted(spans):
+        a, b = span >> 32, span & 0xFFFFFFFF
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
             out.append((a, b))
     return out
@@ -122,14 +155,14 @@ def covered(text: str, again: list[dict]) -> list[tuple[int, int]]:
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated passages, n_removed (code points), removed (start and end of each stretch)."""
-    joined = docs.select("doc_id", "text").join(repeated_runs(docs), "doc_id", "left")
+    joined = docs.select("doc_id", "text", F.xxhash64("text").alias("told")).join(repeated_runs(docs), ["doc_id", "told"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for small in bounded(batch):
                 texts, sizes, cut = [], [], []
-                for text, again in zip(small.column("text").to_pylist(), small.column("again").to_pylist()):
-                    out = covered(text, again) if again and text else []
+                for text, spans in zip(small.column("text").to_pylist(), small.column("spans").to_pylist()):
+                    out = stretches(spans) if spans else []
                     at, kept = 0, []
                     for a, b in out:
                         kept.append(text[at:a])
