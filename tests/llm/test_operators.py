@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import re
 from datetime import datetime
@@ -377,6 +378,88 @@ def test_pages(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+BODY = "".join(f"<p>Paragraph {i} says what the article has to say.</p>" for i in range(6))
+SAID = "\n\n".join(f"Paragraph {i} says what the article has to say." for i in range(6))
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<article class="post has-comments">{BODY}</article>', SAID), (f'<div id="page" class="no-sidebar">{BODY}</div>', SAID),
+    (f'<div class="content-sidebar-wrap"><main>{BODY}</main><div class="sidebar">aside</div></div>', SAID),
+    (f'<div class="long-form">{BODY}</div>', SAID), (f'<form action="/x"><div>{BODY}</div></form>', SAID),
+    (f'<form action="/x"><main>{BODY}</main><form>search</form></form>', SAID),
+    (f'<article><div class="entry-header"><h1>Head</h1></div><div class="form-body">{BODY}</div></article>', "Head\n\n" + SAID),
+    (f'<article><h1>Head</h1><p>Short.</p><section class="comments">{BODY}</section></article>', "Head\n\nShort."),
+    (f'<article class="card"><p>A card.</p></article><div>{BODY}</div>', "A card.\n\n" + SAID),
+    (f'<article><h1>Head</h1><p>Short.</p></article><div>{BODY}</div>', "Head\n\nShort."),
+    (f'<div class="wrap js-menu">{BODY}</div><div class="share">Share it</div><form>Name <input></form>', SAID),
+    ('<div class="comments">Only readers speak here.</div>', "Only readers speak here."), ("<nav>Home</nav>", "")])
+def test_names_do_not_take_the_article(html, text):
+    assert "\n\n".join(site_tree.Extractor().blocks("h", f"<html><body><nav>Home</nav>{html}<footer>foot</footer></body></html>", set())) == text
+
+
+def test_tree_decides_where_names_say_nothing(spark):
+    rows = []
+    for host, n in [("a.com", 12), ("b.com", 12), ("c.com", 9), ("small.com", 2)]:
+        for i in range(n):
+            own = "".join(f"<p>{host} {i} tells {k} things of its own.</p>" for k in range(1 + i % 4))
+            rows.append((len(rows), f"http://{host}/{i}", page(f"<div class='k'>{own}</div>", f"<div class='q'><p>Read {host} daily.</p></div>")))
+    # Copies of one page on one host: all of it looks like its frame, and stays.
+    rows += [(1000 + i, f"http://copies.com/{i}", page(f"<div class='z'><h1>Head</h1><div>{BODY}</div></div>")) for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    on = {r.page_id: r.text for r in site_tree.extract(pages).collect()}
+    off = {r.page_id: r.text for r in site_tree.extract(pages, threshold=0.0).collect()}
+    for i, url, _ in rows:
+        if i >= 1000:
+            assert on[i] == off[i] == "Head\n\n" + SAID
+        else:
+            assert "daily" in off[i] and "daily" not in on[i] and on[i] == off[i].rsplit("\n\n", 1)[0], url
+
+
+def test_importance_by_hand(spark):
+    rng, rows = np.random.default_rng(3), []
+    for host in ("x.org", "y.org", "z.org", "w.org"):
+        for i in range(int(rng.integers(1, 9))):
+            parts = "".join(rng.choice([f"<p>{c}</p>", f"<b>{c}</b>", f"<div>{c}<br></div>", f"<i>{c}</i>"], 1)[0] for c in rng.choice(list("abc"), int(rng.integers(0, 4))))
+            rows.append((host, parts))
+    seen = collections.defaultdict(lambda: [0, collections.Counter(), collections.Counter()])
+    for host, parts in rows:
+        nodes = collections.defaultdict(lambda: [set(), set()])
+        found = re.findall(r"<(p|b|i|div)>(.)", parts)
+        nodes["div"][0].add(",".join(t for t, _ in found))
+        nodes["div"][1] |= {a for _, a in found}
+        for t, a in found:
+            if t in ("p", "div"):
+                nodes[f"div/{t}"][0].add("br" if t == "div" else "")
+                nodes[f"div/{t}"][1].add(a)
+        for path, (looks, says) in nodes.items():
+            entry = seen[host, path]
+            entry[0] += 1
+            entry[1].update(looks)
+            entry[2].update(says)
+
+    def own(m, looks, says):
+        if m == 1:
+            return 1.0
+
+        def spread(c):
+            total = sum(c.values())
+            return -sum(n / total * math.log(n / total, m) for n in c.values())
+
+        rest = site_tree.DECAY ** len(looks)
+        told = 1 - sum(n * math.log(n) for n in says.values()) / sum(says.values()) / math.log(m) if says else 0.0
+        return (1 - rest) * min(1.0, spread(looks)) + rest * told
+
+    alone = {k: (m, own(m, looks, says)) for k, (m, looks, says) in seen.items()}
+    want = []
+    for (host, path), (m, x) in alone.items():
+        others = [v for (_, p), v in alone.items() if p == path]
+        prior = sum(a * b for a, b in others) / sum(a for a, _ in others) if len(others) >= site_tree.PRIOR_HOSTS else None
+        want.append((host, m, round(x if prior is None else (x * m + prior * site_tree.PRIOR_PAGES) / (m + site_tree.PRIOR_PAGES), 9)))
+    pages = spark.createDataFrame([(f"http://{h}/", f"<div class=a>{x}</div>") for h, x in rows], "url string, html string")
+    got = [(r.host, r.n_pages, round(r.importance, 9)) for r in site_tree.site_trees(pages).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # --- 10 Jaccard join ---
 
 
