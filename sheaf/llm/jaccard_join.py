@@ -358,6 +358,12 @@ def _pairs_between(held: DataFrame, label: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_copies (documents with the same set)."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with told (xxhash64 of the text) and component, which rows with equal ids need to be told apart; the
+    component of a document without words is null."""
     folder = shared_folder(docs.sparkSession, "jaccard")
     sets = stored(document_sets(docs), f"{folder}/sets")
     # Two sets with the same 64-bit node but different check would be taken for one: never seen, but not left to chance.
@@ -382,6 +388,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = stored(components(links.union(more), f"{folder}/second"), f"{folder}/labels")
     named = nodes.select("node", "first", "n_copies").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component"))
-    found = named.join(smallest, "label").select("node", "component", "n_copies")
-    return sets.select("doc_id", "n", "node").join(found, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    found = named.join(smallest, "label").select("node", "label", "component", "n_copies")
+    return sets.select("doc_id", "told", "n", "node").join(found, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        "told", F.col("label").alias("component"))

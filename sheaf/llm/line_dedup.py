@@ -22,10 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, bounded, map_rows, n_parts, shared_folder, stored
+from .common import SPACE, bounded, free_name, map_rows, n_parts, shared_folder, stored
 
 MIN_CHARS = 10
+#: Keys that a shard should hold, about: a bound on what one task keeps of them.
+SHARD_KEYS = 250_000
+#: Portions in which ``dedup_all`` inserts a corpus.
+PORTIONS = 2
 SLOTS = 4
 LOAD = 0.85
 HOLDERS = "key binary, doc_id bigint"
@@ -42,7 +47,7 @@ class LineIndex:
 
 
 def empty_index(spark: SparkSession, shards: int) -> LineIndex:
-    """``shards`` should leave about a million keys to a shard."""
+    """``shards`` should leave about SHARD_KEYS keys to a shard."""
     return LineIndex(shards, *(spark.createDataFrame([], s) for s in (HOLDERS, COUNTS, FILTERS)))
 
 
@@ -224,7 +229,12 @@ def _changed_filters(old: DataFrame, answer: DataFrame, folder: str) -> DataFram
 def insert(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineIndex:
     """The index with ``docs`` in it. Their ids must be new to it: delete a changed document first."""
     folder = shared_folder(docs.sparkSession, "lines")
-    new = stored(holders(docs, min_chars), f"{folder}/holders")
+    return insert_holders(index, stored(holders(docs, min_chars), f"{folder}/holders"))
+
+
+def insert_holders(index: LineIndex, new: DataFrame) -> LineIndex:
+    """``insert`` for documents whose ``holders`` have been written down."""
+    folder = shared_folder(new.sparkSession, "lines")
     delta = stored(_counted(new, index.shards), f"{folder}/delta")
     perhaps = stored(_per_shard(_probe, delta, index.filters).select("key"), f"{folder}/perhaps")
     known = index.counts.join(perhaps, "key", "left_semi")  # the filter's answers, made exact
@@ -261,7 +271,8 @@ def dedup(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
     drop = (index.holders.join(shared, "key").where("doc_id > first_doc")
             .groupBy("doc_id").agg(F.collect_list("key").alias("drop")))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_none"), *rest).alias("rest"))
+    none = F.lit(0).alias(free_name(rest, "_none"))  # a struct needs a field
+    packed = docs.select("doc_id", "text", F.struct(none, *[F.col(f"`{c}`") for c in rest]).alias("rest"))
     joined = packed.join(drop, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +291,19 @@ def dedup(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
                                        pa.array(n_dropped, pa.int64()), small.column("rest")],
                                       names=["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    kind = packed.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id bigint, text string, n_lines bigint, n_dropped bigint, rest {kind}")
+    return joined.mapInArrow(run, T.StructType([*[T.StructField(n, T.StringType() if n == "text" else T.LongType()) for n in
+                                                  ("doc_id", "text", "n_lines", "n_dropped")], packed.schema["rest"]]))
 
 
-def dedup_all(docs: DataFrame, shards: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` inserted into a new index and deduplicated against it; columns as of ``dedup``."""
-    index = insert(empty_index(docs.sparkSession, shards or n_parts(docs)), docs, min_chars)
+def dedup_all(docs: DataFrame, shards: int | None = None, min_chars: int = MIN_CHARS, portions: int = PORTIONS) -> DataFrame:
+    """``docs`` inserted into a new index and deduplicated against it; columns as of ``dedup``.
+
+    The corpus goes in by ``portions``, dealt by doc_id, as it would arrive: from the second on, the filters tell which keys may
+    be known. The number of shards follows from the number of keys.
+    """
+    spark = docs.sparkSession
+    new = stored(holders(docs, min_chars), f"{shared_folder(spark, 'lines')}/holders")
+    index = empty_index(spark, shards or max(8, -(-new.count() // SHARD_KEYS)))
+    for k in range(portions):
+        index = insert_holders(index, new.where(F.pmod(F.xxhash64("doc_id"), F.lit(portions)) == k))
     return dedup(index, docs, min_chars)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_parts, shared_folder, stored
+from .packing import word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -34,11 +35,6 @@ BUCKET_ROWS = 5_000
 UNIT_BITS = 20
 
 
-def n_words(text: str = "text") -> Column:
-    """Words of a text, between runs of the six ASCII white-space characters."""
-    return (F.size(F.split(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+")) - 1).cast("bigint")
-
-
 def _number(digest: Column, digits: int) -> Column:
     """The first hexadecimal digits of a digest as a number."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
@@ -47,7 +43,7 @@ def _number(digest: Column, digits: int) -> Column:
 def sized(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), doc_id, source, size (words) and place (a digest of id and text)."""
     place = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", n_words().alias("size"), place.alias("place"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count().alias("size"), place.alias("place"))
 
 
 def _running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], folder: str) -> DataFrame:

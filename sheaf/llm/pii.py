@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\w.+\-])[A-Za-z0-9][\w.+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -263,13 +265,15 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced, and how many values were, as the last column ``count``."""
+    """``docs`` with personal data in ``text`` replaced, and how many values were, as the last column ``count``; a column of
+    ``docs`` that has this name already gives way to it."""
+    name = free_name(docs.columns, "_pii")
     found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), 0))
     kept = F.when(F.col(text).rlike("[0-9@]"), F.split(text, ANY, -1))
     new = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    work = docs.select("*", F.struct(kept.alias("kept"), new.alias("new")).alias("_pii"))
-    whole = F.array_join(F.transform(F.col("_pii.kept"), lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("_pii.new"), i)["new"], F.lit("")))), "")
-    changed = F.size(F.filter(F.col("_pii.new"), lambda p: p["old"] != p["new"]))
-    done = F.when(F.size("_pii.new") > 0, whole).otherwise(F.col(text))
-    others = [done.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return work.select(*others, F.when(F.size("_pii.new") > 0, changed).otherwise(0).cast("bigint").alias(count))
+    work = docs.select("*", F.struct(kept.alias("kept"), new.alias("new")).alias(name))
+    whole = F.array_join(F.transform(F.col(f"{name}.kept"), lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(f"{name}.new"), i)["new"], F.lit("")))), "")
+    changed = F.size(F.filter(F.col(f"{name}.new"), lambda p: p["old"] != p["new"]))
+    done = F.when(F.size(f"{name}.new") > 0, whole).otherwise(F.col(text))
+    others = [done.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() != count.lower()]
+    return work.select(*others, F.when(F.size(f"{name}.new") > 0, changed).otherwise(0).cast("bigint").alias(count))

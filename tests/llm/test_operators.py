@@ -30,7 +30,8 @@ def hostile(spark):
              (None, "a shared line here\nlonely"), (None, None), (11, "Before it came this: " + PASSAGE + " and after."),
              (12, "Others wrote, " + PASSAGE + " So it goes."), (13, LONG), (14, words.upper()), (15, "x" * 70_000), (16, " \n \t\n"),
              (17, "tie tie tie tie tie tie tie tie tie tie tie tie")]
-    return spark.createDataFrame([(i, t, 5, None, "x", "y", 3) for i, t in texts], SCHEMA)
+    docs = spark.createDataFrame([(i, t, 5, None, "x", "y", 3) for i, t in texts], SCHEMA)
+    return docs.withColumns({c: F.lit(c) for c in ("_none", "_pii", "n_replaced", "a.b", "_NONE_")})
 
 
 def empty(spark):
@@ -63,6 +64,19 @@ def test_line_dedup(spark, rows):
     got = rows(line_dedup.dedup_all(docs, 3), "doc_id", "n_lines", "n_dropped", "text")
     assert got == lines_by_hand([(r.doc_id, r.text) for r in docs.collect()])
     assert line_dedup.dedup_all(empty(spark), 3).count() == 0
+    for portions in (1, 3):
+        assert rows(line_dedup.dedup_all(docs, portions=portions), "doc_id", "n_lines", "n_dropped", "text") == got
+    assert line_dedup.dedup_all(docs).select("rest.`a.b`", "rest._none").first() == ("a.b", "_none")
+
+
+def test_filters_answer_for_later_portions(spark, rows, monkeypatch):
+    """The verdicts come through the filters: where they deny what they hold, lines of earlier portions are taken for new."""
+    docs = hostile(spark)
+    want = rows(line_dedup.dedup_all(docs, 3), "doc_id", "text")
+    asked = []
+    monkeypatch.setattr(line_dedup, "_per_shard", lambda change, *a, f=line_dedup._per_shard, **k: asked.append(change.__name__) or f(
+        (lambda slots, n, live, keys: (None, 0, np.zeros(len(keys), bool))) if change.__name__ == "_probe" else change, *a, **k))
+    assert rows(line_dedup.dedup_all(docs, 3), "doc_id", "text") != want and asked.count("_probe") == 2
 
 
 def test_line_index_undoes_what_it_did(spark, rows):
@@ -134,6 +148,50 @@ def test_best_fit_takes_the_fullest_bin_and_the_cheapest_sizes():
     assert sorted(sizes) == [4, 8] and packing.pack([4, 4], (4, 8), packing.Cost(attention=1))[1] == [4, 4]
 
 
+def partitions(n):
+    if not n:
+        yield []
+        return
+    for rest in partitions(n - 1):
+        yield [*rest, [n - 1]]
+        for k in range(len(rest)):
+            yield [*rest[:k], [*rest[k], n - 1], *rest[k + 1:]]
+
+
+def test_packing_is_near_the_best_of_all_packings():
+    rng, permitted, ratios = np.random.default_rng(11), (4, 8, 16), []
+    for attention in (0.0, 0.05, 0.5):
+        cost = packing.Cost(attention)
+        for _ in range(60):
+            lengths = sorted(rng.integers(0, 17, int(rng.integers(1, 8))).tolist(), reverse=True)
+            where, sizes = packing.pack(lengths, permitted, cost)
+            held = [sum(n for n, k in zip(lengths, where) if k == b) for b in range(len(sizes))]
+            assert all(n <= size == next(c for c in permitted if c >= n) for n, size in zip(held, sizes))
+            best = min(sum(cost(next(c for c in permitted if c >= t)) for t in totals)
+                       for p in partitions(len(lengths)) if max(totals := [sum(lengths[i] for i in part) for part in p]) <= 16)
+            ratios.append(sum(map(cost, sizes)) / best)
+            fixed = min(sum(cost(next(c for c in permitted if c >= n)) for n in packing.best_fit(lengths, o, permitted)[1]) for o in permitted)
+            assert sum(map(cost, sizes)) <= fixed
+    assert min(ratios) >= 1 - 1e-12 and np.mean(ratios) < 1.02 and max(ratios) < 1.35
+
+
+def test_lengths_are_chosen_for_each_bin():
+    # Two pieces of 9 want a bin of 16 with small ones, the pieces of 4 bins of their own.
+    assert packing.cheapest_opening([9, 7, 4, 4], 0, (4, 8, 16), packing.Cost(0)) == 16
+    assert packing.cheapest_opening([4, 4, 4, 3], 0, (4, 8, 16), packing.Cost(0.5)) == 4
+    assert sorted(packing.best_fit([9, 7, 4, 4], None, (4, 8, 16), packing.Cost(0.5))[1]) == [4, 4, 16]
+
+
+def test_few_very_long_documents_are_many_groups(spark):
+    docs = spark.range(8).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(600_000).alias("n"))
+    got = packing.pack_documents(docs, (512, 1024), F.col("n"), group_rows=500)
+    assert got.selectExpr("sum(length)").first()[0] == 8 * 600_000
+    groups = got.groupBy("group").count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 700
+    same = spark.range(3000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b").alias("text"))
+    assert max(r["count"] for r in packing.pack_documents(same, group_rows=500).groupBy("group").count().collect()) < 700
+
+
 # --- 3 Fingerprints ---
 
 

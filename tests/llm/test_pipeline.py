@@ -5,6 +5,7 @@ import re
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheaf.llm import jaccard_join, line_dedup, packing, queries, quality
@@ -65,6 +66,17 @@ def test_stages_take_effect(spark):
     assert {i: n for i, n in want.items() if n} == {i: n for i, n in total.items() if n} and want.keys() == total.keys()
 
 
+def test_copies_go_by_row(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = words(1) + " end"
+    rows = [(1, words(1)), (2, near), (2, words(2)), (3, words(3)), (3, words(3)), (None, words(1)), (None, words(4)), (4, ""), (4, ""), (5, None), (6, words(2))]
+    docs = spark.createDataFrame([(i, t, f"c{k}") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, told string").withColumn("a.b", F.lit(1))
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, words(1)), (2, words(2)), (3, words(3)), (None, words(4)), (4, ""), (4, ""), (5, None)], key=repr)
+
+
 def test_pipeline_takes_hostile_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, None, "s", None), (3, "a " * 50_000, "x", "s", 7)],
                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
