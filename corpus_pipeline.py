@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import jaccard_join, line_dedup, packing, pii, quality
-from sheaf.llm.common import shared_folder, stored
+from sheaf.llm.common import free_name, shared_folder, stored
 from sheaf.session import ship_package
 
 ship_package()
@@ -39,15 +39,28 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Rows with equal ids stay or go together."""
-    found = jaccard_join.near_duplicates(docs)
-    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: the one with the smallest doc_id, and of several of that id the one whose text has
+    the smallest hash. Rows are told apart by id and text, so rows with equal ids may go their own ways. Documents without
+    words stay."""
+    found = stored(jaccard_join.grouped(docs).where("component is not null").select("doc_id", "told", "component"), f"{shared_folder(spark, 'pipeline')}/groups")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "told")
+    one = found.groupBy("component").agg(F.min(row).alias("one"))
+    places = found.join(one, "component").withColumn("stays", row == F.col("one")).groupBy("doc_id", "told").agg(
+        F.first("stays").alias("stays"), F.count("*").alias("times"))
+    others = stored(places.where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("told").alias("_told"), "stays"),
+                    f"{shared_folder(spark, 'pipeline')}/others")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("told"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("told") == F.col("_told"))
+    left = rows.join(others, same, "left_anti")
+    if not others.where("stays").isEmpty():  # repeated rows: one of them stays
+        left = left.union(rows.join(others.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "told"]))
+    return left.select("row.*")
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by keyed pseudonyms."""
-    return _with_chars(pii.pseudonymise(docs, PII_KEY, count="_n_replaced").drop("_n_replaced"))
+    count = free_name(docs.columns, "_n_replaced")
+    return _with_chars(pii.pseudonymise(docs, PII_KEY, count=count).drop(count))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
