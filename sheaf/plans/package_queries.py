@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layout, numbering, references, styles, summaries, threads
-from ..session import settle
 from ..sources import docx, lake, odt, packages
 from ..sources.nodes import inside
 from . import fixtures as fx
@@ -20,7 +19,7 @@ def opened(spark, sf, kind="docx"):
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _OPENED:
         files = px.docx_files(spark, sf) if kind == "docx" else px.odt_files(spark, sf)
-        _OPENED[key] = settle(packages.open_packages(files))
+        _OPENED[key] = packages.store_packages(packages.open_packages(files))
     return packages.split_rows(_OPENED[key])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame, name: str, by: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
+    """``df`` written as Parquet, in folders by the columns ``by``, and read again: later reads take the columns and folders they
+    need. The table lies in ``folder`` or in a new one beside the checkpoints."""
+    folder = folder or f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(folder) if by else df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def ship_package() -> None:
     """Send this package's functions to Python workers as code, so that it need not be installed or on their path.
 

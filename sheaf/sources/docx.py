@@ -17,9 +17,9 @@ from ..operators.scan import next_row, running_sum, scan
 from .nodes import at, attr, id_up, inside, joined_text, part_nodes, pick, present, up
 
 # Part names, and the elements that hold blocks.
-BODY = r"word/document\.xml"
-NOTES = r"word/(?:foot|end)notes\.xml"
-BANDS = r"word/(?:header|footer)[0-9]*\.xml"
+BODY = "body"
+NOTES = "notes"
+BANDS = "bands"
 HOLDERS = ["w:body", "w:tc", "w:footnote", "w:endnote", "w:hdr", "w:ftr"]
 RUN_TEXT = ["w:t", "w:delText"]
 KEY = ["doc_id", "part"]
@@ -192,7 +192,7 @@ def comments(nodes: DataFrame) -> DataFrame:
 
     The last paragraph's id is the thread key. ``ref_ord`` is the position of the first reference in the body.
     """
-    c = part_nodes(nodes, r"word/comments\.xml").withColumn("c", inside("w:comment")).withColumn("p", inside("w:p"))
+    c = part_nodes(nodes, "comments").withColumn("c", inside("w:comment")).withColumn("p", inside("w:p"))
     paras = c.filter(F.col("p").isNotNull()).groupBy("doc_id", "c", "p").agg(
         joined_text((F.col("tag") == "#text") & (up(1) == "w:t"), F.col("text")).alias("text"),
         pick(F.col("node_id") == F.col("p"), attr("w14:paraId")).alias("para_id"))
@@ -201,7 +201,7 @@ def comments(nodes: DataFrame) -> DataFrame:
         F.max_by("para_id", F.when(F.col("para_id").isNotNull(), F.col("p"))).alias("para_id"))
     heads = c.filter("tag = 'w:comment'").select(
         "doc_id", "c", attr("w:id").try_cast("long").alias("comment_id"), F.coalesce(attr("w:author"), F.lit("")).alias("author"), attr("w:date").alias("date"))
-    extended = part_nodes(nodes, r"word/commentsExtended\.xml").filter("tag = 'w15:commentEx'").groupBy("doc_id", attr("w15:paraId").alias("para_id")).agg(
+    extended = part_nodes(nodes, "comment_threads").filter("tag = 'w15:commentEx'").groupBy("doc_id", attr("w15:paraId").alias("para_id")).agg(
         F.max_by(attr("w15:paraIdParent"), "node_id").alias("parent_para_id"), F.bool_or(F.coalesce(attr("w15:done").isin("1", "true"), F.lit(False))).alias("done"))
     refs = part_nodes(nodes, BODY).filter("tag = 'w:commentReference'").groupBy("doc_id", attr("w:id").try_cast("long").alias("comment_id")).agg(
         F.min("node_id").alias("ref_ord"))
@@ -320,7 +320,7 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 def styles(nodes: DataFrame) -> DataFrame:
     """(doc_id, style_id, kind, name, based_on, is_default, hidden, props): styles with their own properties as CSS."""
-    n = part_nodes(nodes, r"word/styles\.xml").withColumn("s", inside("w:style"))
+    n = part_nodes(nodes, "styles").withColumn("s", inside("w:style"))
     head = F.col("node_id") == F.col("s")
     r, p = (lambda tag: at("w:style", "w:rPr", tag)), (lambda tag: at("w:style", "w:pPr", tag))
     val = lambda where, a="w:val": pick(where, attr(a))
@@ -357,7 +357,7 @@ def styles(nodes: DataFrame) -> DataFrame:
 def relationships(nodes: DataFrame) -> DataFrame:
     """(doc_id, part, rid, target): ``part`` is the part the relationships belong to."""
     source = F.regexp_replace(F.regexp_replace("part", r"_rels/", ""), r"\.rels$", "")
-    return nodes.filter((F.col("tag") == "Relationship") & F.col("part").endswith(".rels")).select(
+    return part_nodes(nodes, "links").filter(F.col("tag") == "Relationship").select(
         "doc_id", source.alias("part"), attr("Id").alias("rid"), attr("Target").alias("target")).filter(
         F.col("rid").isNotNull() & F.col("target").isNotNull())
 
@@ -414,7 +414,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def even_odd(nodes: DataFrame) -> DataFrame:
     """(doc_id, even_odd): whether even and odd pages have bands of their own, of the documents with settings."""
     switch = F.col("tag") == "w:evenAndOddHeaders"
-    return part_nodes(nodes, r"word/settings\.xml").groupBy("doc_id").agg(
+    return part_nodes(nodes, "settings").groupBy("doc_id").agg(
         (F.coalesce(present(switch), F.lit(False)) & ~F.coalesce(pick(switch, attr("w:val")), F.lit("1")).eqNullSafe("0")).alias("even_odd"))
 
 
@@ -466,7 +466,7 @@ def passthrough_census(rows: DataFrame) -> DataFrame:
 
 def numbering(nodes: DataFrame) -> DataFrame:
     """(doc_id, num_id, abstract_id, ordered, start): a num's own level-0 start wins over its abstract definition's."""
-    n = part_nodes(nodes, r"word/numbering\.xml")
+    n = part_nodes(nodes, "numbering")
     a = n.withColumn("a", inside("w:abstractNum")).filter(F.col("a").isNotNull())
     lvl = inside("w:lvl")
     # Level 0 of each definition: the level elements whose ilvl is 0 or absent.
@@ -491,8 +491,8 @@ def numbering(nodes: DataFrame) -> DataFrame:
 
 def tab_stops(nodes: DataFrame) -> DataFrame:
     """(doc_id, part, owner, owner_id, stop_px, align, leader): stops of paragraphs (position) and styles (id)."""
-    n = part_nodes(nodes, BODY, NOTES, BANDS, r"word/styles\.xml").filter(at("w:pPr", "w:tabs", "w:tab") & up(3).isin("w:p", "w:style"))
-    style_id = part_nodes(nodes, r"word/styles\.xml").filter("tag = 'w:style'").select(*KEY, F.col("node_id").alias("_owner"), attr("w:styleId").alias("_style"))
+    n = part_nodes(nodes, BODY, NOTES, BANDS, "styles").filter(at("w:pPr", "w:tabs", "w:tab") & up(3).isin("w:p", "w:style"))
+    style_id = part_nodes(nodes, "styles").filter("tag = 'w:style'").select(*KEY, F.col("node_id").alias("_owner"), attr("w:styleId").alias("_style"))
     stops = n.filter(F.coalesce(attr("w:val"), F.lit("left")) != "clear").select(
         *KEY, id_up(3).alias("_owner"), F.substr(up(3), F.lit(3)).alias("owner"), _px(attr("w:pos")).alias("stop_px"),
         F.coalesce(attr("w:val"), F.lit("left")).alias("align"), attr("w:leader").alias("leader")).filter("stop_px > 0")

@@ -52,6 +52,23 @@ def joined_text(where: Column, text: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["t"]), "")
 
 
-def part_nodes(nodes: DataFrame, *patterns: str) -> DataFrame:
-    """Nodes of the parts matching one of the regular expressions."""
-    return nodes.filter(F.col("part").rlike("^(" + "|".join(patterns) + ")$"))
+#: Parts of one kind in a package: the folders of the node store. Names the formats prescribe.
+PART_CLASSES = {
+    "body": r"word/document\.xml", "notes": r"word/(?:foot|end)notes\.xml", "bands": r"word/(?:header|footer)[0-9]*\.xml",
+    "comments": r"word/comments\.xml", "comment_threads": r"word/commentsExtended\.xml", "styles": r"word/styles\.xml",
+    "numbering": r"word/numbering\.xml", "settings": r"word/settings\.xml", "links": r".*\.rels", "content": r"content\.xml",
+    "odt_styles": r"styles\.xml",
+}
+
+
+def part_class(part: Column) -> Column:
+    """The class of a part by its name; other where it has none, none where there is no part."""
+    out = F.when(part.isNull(), "none")
+    for name, pattern in PART_CLASSES.items():
+        out = out.when(part.rlike(f"^{pattern}$"), name)
+    return out.otherwise("other")
+
+
+def part_nodes(nodes: DataFrame, *classes: str) -> DataFrame:
+    """Nodes of the parts of one of ``classes``. In a node store each class is a folder of its own, so no other is read."""
+    return nodes.filter(F.col("part_class").isin(*classes))

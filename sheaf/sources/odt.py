@@ -14,8 +14,8 @@ from ..operators.styles import ancestors, prefer
 from .nodes import at, attr, id_up, inside, joined_text, part_nodes, pick, present, up
 
 # Part names and element roles.
-CONTENT = r"content\.xml"
-STYLE_PARTS = r"(?:content|styles)\.xml"
+CONTENT = "content"
+STYLE_PARTS = ("content", "odt_styles")
 HOLDERS = ["office:text", "table:table-cell", "text:note-body", "style:header", "style:footer", "style:header-left", "style:footer-left",
            "style:header-first", "style:footer-first"]
 HIDDEN = ["office:annotation", "draw:frame", "text:note", "text:tracked-changes", "text:ruby-text", "text:bookmark-ref"]
@@ -58,7 +58,7 @@ def _is_text(holder: Column) -> Column:
 
 def style_rows(nodes: DataFrame) -> DataFrame:
     """(doc_id, part, pos, style_id, family, based_on, master, automatic, class): every named or automatic style."""
-    n = part_nodes(nodes, STYLE_PARTS).filter("tag = 'style:style'")
+    n = part_nodes(nodes, *STYLE_PARTS).filter("tag = 'style:style'")
     return n.select(*KEY, F.col("node_id").alias("pos"), attr("style:name").alias("style_id"), attr("style:family").alias("family"),
                     attr("style:parent-style-name").alias("based_on"), attr("style:master-page-name").alias("master"),
                     (up(1) == "office:automatic-styles").alias("automatic"), attr("style:class").alias("class"),
@@ -67,7 +67,7 @@ def style_rows(nodes: DataFrame) -> DataFrame:
 
 def _properties(nodes: DataFrame, family: str, element: str) -> DataFrame:
     """(doc_id, style_id, attrs, part): the properties element of each style of a family; content wins over styles."""
-    props = part_nodes(nodes, STYLE_PARTS).filter(at("style:style", element)).select(*KEY, id_up(1).alias("pos"), F.col("attrs").alias("props"))
+    props = part_nodes(nodes, *STYLE_PARTS).filter(at("style:style", element)).select(*KEY, id_up(1).alias("pos"), F.col("attrs").alias("props"))
     mine = style_rows(nodes).filter(F.col("family") == family).join(props, [*KEY, "pos"], "left").select("doc_id", "style_id", "props", "part")
     return prefer(mine.filter("part = 'content.xml'"), mine.filter("part <> 'content.xml'"), ["doc_id", "style_id"])
 
@@ -274,7 +274,7 @@ def revisions(nodes: DataFrame) -> DataFrame:
 
 def master_pages(nodes: DataFrame) -> DataFrame:
     """(doc_id, master, is_default, w, h, margins, cols, col_gap, vertical, rtl): page geometry of each master page."""
-    n = part_nodes(nodes, r"styles\.xml")
+    n = part_nodes(nodes, "odt_styles")
     px = lambda c: round_half_up(units.length_to_px(c))
     layout = n.withColumn("l", inside("style:page-layout")).filter(F.col("l").isNotNull()).groupBy("doc_id", "l").agg(
         pick(F.col("node_id") == F.col("l"), attr("style:name")).alias("layout"),
@@ -292,7 +292,7 @@ def master_pages(nodes: DataFrame) -> DataFrame:
 
 def bands(nodes: DataFrame) -> DataFrame:
     """(doc_id, master, role, variant, text): headers and footers of each master page; left is the even variant."""
-    n = part_nodes(nodes, r"styles\.xml").withColumn("m", inside("style:master-page")).filter(F.col("m").isNotNull())
+    n = part_nodes(nodes, "odt_styles").withColumn("m", inside("style:master-page")).filter(F.col("m").isNotNull())
     band = F.element_at("trail", F.array_position("trail", "style:master-page").cast("int") + 1)
     in_band = n.withColumn("_band", F.when(F.size("trail") > F.array_position("trail", "style:master-page"), band)).filter(F.col("_band").rlike("^style:(header|footer)"))
     names = n.filter("tag = 'style:master-page'").select("doc_id", "m", attr("style:name").alias("master"))
@@ -345,8 +345,8 @@ def ruby(nodes: DataFrame) -> DataFrame:
 
 def list_levels(nodes: DataFrame) -> DataFrame:
     """(doc_id, list_style, level, ordered, start): levels of list styles, 1-based; only level 1 has a start above 1."""
-    n = part_nodes(nodes, STYLE_PARTS).filter((up(1) == "text:list-style") & (F.col("tag") != "#text"))
-    style = part_nodes(nodes, STYLE_PARTS).filter("tag = 'text:list-style'").select(*KEY, F.col("node_id").alias("_s"), attr("style:name").alias("list_style"))
+    n = part_nodes(nodes, *STYLE_PARTS).filter((up(1) == "text:list-style") & (F.col("tag") != "#text"))
+    style = part_nodes(nodes, *STYLE_PARTS).filter("tag = 'text:list-style'").select(*KEY, F.col("node_id").alias("_s"), attr("style:name").alias("list_style"))
     ordered = F.col("tag") == "text:list-level-style-number"
     level = F.coalesce(attr("text:level").try_cast("int"), F.col("ord") + 1)
     start = F.when(ordered & (level == 1) & (attr("text:start-value").try_cast("long") > 1), attr("text:start-value").try_cast("long")).otherwise(1)
@@ -369,7 +369,7 @@ def lists(nodes: DataFrame) -> DataFrame:
 
 def tab_stops(nodes: DataFrame) -> DataFrame:
     """(doc_id, style_id, stop_px, align, leader) of paragraph styles; stops at or before the margin are dropped."""
-    n = part_nodes(nodes, STYLE_PARTS).filter(at("style:paragraph-properties", "style:tab-stops", "style:tab-stop")).select(*KEY, id_up(3).alias("pos"), "attrs")
+    n = part_nodes(nodes, *STYLE_PARTS).filter(at("style:paragraph-properties", "style:tab-stops", "style:tab-stop")).select(*KEY, id_up(3).alias("pos"), "attrs")
     leader = attr("style:leader-style")
     rows = n.join(style_rows(nodes).filter("family = 'paragraph'").select(*KEY, "pos", "style_id"), [*KEY, "pos"]).select(
         "doc_id", "part", "style_id", round_half_up(units.length_to_px(attr("style:position"))).alias("stop_px"),

@@ -2,6 +2,9 @@
 
 Only this step runs in Python workers: the standard zip and XML readers turn one file into rows of documents, parts and
 nodes, streamed in Arrow batches. A file that cannot be read becomes a document row with a status, never a failed job.
+
+The rows are written once, as a node store: Parquet in folders by kind of row and class of part (``nodes.PART_CLASSES``). The
+tables derived from it read the folders of their parts only, the columns they use, and the row groups that hold their tags.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import keep
+from .nodes import part_class
 
 # What the container formats start with or contain.
 COMPOUND_FILE_MAGIC = "D0CF11E0A1B11AE1"
@@ -189,18 +193,29 @@ def open_packages(files: DataFrame) -> DataFrame:
         if rows.size:
             yield rows.take()
 
-    return files.select(doc_id.alias("doc_id"), "path", sniff_format(F.col("content")).alias("format"), "content").mapInArrow(flatten, _DDL)
+    opened = files.select(doc_id.alias("doc_id"), "path", sniff_format(F.col("content")).alias("format"), "content").mapInArrow(flatten, _DDL)
+    return opened.withColumn("part_class", part_class(F.col("part")))
+
+
+def store_packages(opened: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows of ``open_packages`` as a node store, in ``folder`` or in the shared folder of the session."""
+    return keep(opened, "packages", ("row", "part_class"), folder)
+
+
+def load_store(spark: SparkSession, folder: str) -> DataFrame:
+    """A node store written before, for ``split_rows``."""
+    return spark.read.schema(f"{_DDL}, part_class string").parquet(folder)
 
 
 def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs, parts, nodes) out of ``open_packages``."""
     docs = rows.filter("row = 'doc'").select("doc_id", "path", "format", "status", "error", "n_bytes", F.col("sha256").alias("content_sha256"))
     parts = rows.filter("row = 'part'").select("doc_id", "part", "n_bytes", "sha256", "is_xml", "error")
-    nodes = rows.filter("row = 'node'").select("doc_id", "part", "node_id", "parent_id", "depth", "ord", "tag", "attrs", "text", "trail", "ids")
+    nodes = rows.filter("row = 'node'").select("doc_id", "part", "node_id", "parent_id", "depth", "ord", "tag", "attrs", "text", "trail", "ids", "part_class")
     return docs, parts, nodes
 
 
-def read_packages(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs, parts, nodes) of all files matching ``glob``. The rows are written once; the three tables filter them."""
+def read_packages(spark: SparkSession, glob: str, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(docs, parts, nodes) of all files matching ``glob``, out of a node store written to ``folder`` (or the shared folder)."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return split_rows(settle(open_packages(files)))
+    return split_rows(store_packages(open_packages(files), folder))

@@ -231,3 +231,27 @@ def test_tables_and_pictures_are_blocks(spark):
     pages = spark.createDataFrame([(1, "<p>a</p><table><tr><td>x<table><tr><td>in</table></table><p><img src='u'></p><table></table><p> </p><p>b <img src='v'></p>")], "page_id bigint, html string")
     got = [(r.kind, r.text) for r in html.html_blocks(pages).orderBy("seq").collect()]
     assert got == [("p", "a"), ("table", ""), ("p", ""), ("p", "b")]
+
+
+# --- the node store
+
+def test_node_store_reads_what_a_table_needs(spark, tmp_path, capsys):
+    from sheaf.plans import package_fixtures as px
+    from sheaf.sources import docx, packages
+
+    made = px.docx_files(spark, "/root/testdata/sf0.001").limit(20)
+    files = spark.createDataFrame(made.collect(), made.schema)  # archives carry the time they were made
+    opened = packages.open_packages(files)
+    store = packages.store_packages(opened, str(tmp_path / "store"))
+    again = packages.load_store(spark, str(tmp_path / "store"))
+    for a, b in zip(packages.split_rows(store), packages.split_rows(opened)):
+        key = lambda df: sorted(map(repr, df.collect()))
+        assert key(a) == key(b) != []
+    nodes = packages.split_rows(again)[2]
+    plan = docx.relationships(nodes)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scan = next(p for p in plan.split("\n\n") if "ReadSchema" in p)
+    assert "part_class" in scan.split("PartitionFilters")[1].split("\n")[0] and "EqualTo(tag,Relationship)" in scan
+    assert "trail" not in scan.split("ReadSchema")[1] and "text" not in scan.split("ReadSchema")[1]
+    classes = {r.part_class for r in nodes.select("part_class").distinct().collect()}
+    assert {"body", "styles", "links"} <= classes and {r.part_class for r in nodes.where("part = 'word/document.xml'").collect()} == {"body"}
