@@ -1,9 +1,8 @@
-"""HTML pages as document tables: cut into tokens once, then windows, filters and joins.
+"""HTML pages as document tables: cut into tokens once, then filters, groups and joins.
 
-A page is cut into tags and text by one regular expression, so everything after that is ordinary rows (page_id,
-tok_no). Pages are shuffled by page_id while they are still one row each; the windows over their tokens then find the
-partitioning they need (``longest=0``: the tokens of a page come from one value of one row). End tags that HTML lets authors omit (p, li, td, tr) are not needed: a new element of the kind
-ends the old one because positions are looked up, not nested.
+A page is cut into tags and text in one pass that also knows what encloses each token (``html_tokens``), so everything after
+that is ordinary rows (page_id, tok_no) without a window. End tags that HTML lets authors omit (p, li, td, tr) are not needed: a
+new element of the kind ends the old one because positions are looked up, not nested.
 """
 
 from __future__ import annotations
@@ -14,19 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space, is_blank, round_half_up
-from .scan import last_row, running_sum, scan
+from .html_tokens import BLOCK_TAGS, INLINE_TAGS, read_context, read_pages
+from .scan import running_sum, scan
 
-# The vocabulary pasted pages are reduced to.
-BLOCK_TAGS = [
-    "address", "article", "aside", "blockquote", "caption", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure",
-    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre",
-    "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "body", "html",
-]
-SKIP_PAIRED = [
-    "script", "style", "noscript", "template", "head", "title", "iframe", "object", "video", "audio", "svg", "math",
-    "select", "textarea", "button", "colgroup",
-]
-SKIP_VOID = ["meta", "link", "embed", "input", "col"]
+# The vocabulary pasted pages are reduced to; element names are in ``html_tokens``.
 RUN_STYLES = [
     "font-weight", "font-style", "text-decoration", "text-decoration-line", "color", "background-color", "font-size",
     "font-family", "vertical-align",
@@ -37,21 +27,6 @@ SAFE_LINK = "(?i)^(https?:|mailto:|#)"
 MAX_IMAGE_PX = 600
 QUOTE_INDENT_PX = 40
 INTERNAL_MARKS = "data-docx-(xml|rpr|ppr|numid)|docx-cell|docx-table|docx-ins|docx-del"
-INLINE_TAGS = {
-    "b": ["b", "strong"], "i": ["i", "em"], "u": ["u", "ins"], "s": ["s", "strike", "del"], "sub": ["sub"], "sup": ["sup"],
-    "mono": ["code", "kbd", "samp", "tt"],
-}
-
-TOKEN = r"""<[^<>"']*+(?:"[^"]*"[^<>"']*+|'[^']*'[^<>"']*+)*+>|[^<]+|<"""
-
-
-def clean_html(html: Column) -> Column:
-    """Markup without comments and without elements whose content is not document text."""
-    paired = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
-    rest = rf"(?is)<({'|'.join(SKIP_PAIRED)})\b[^>]*>.*?</\1\s*>"
-    void = rf"(?i)<({'|'.join(SKIP_VOID)}|!doctype)\b[^>]*>"
-    no_comments = F.regexp_replace(F.regexp_replace(html, paired, ""), r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(F.regexp_replace(no_comments, rest, ""), void, "")
 
 
 def decode_entities(text: Column) -> Column:
@@ -87,44 +62,14 @@ def is_internal_html(html: Column) -> Column:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """(page_id, tok_no, token, tag, closing): tags and text in order; tag is null for text."""
-    cut = F.regexp_extract_all(clean_html(F.col("html")), F.lit(TOKEN), F.lit(0))
-    name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    return pages.select("page_id", "html").repartition("page_id").select("page_id", F.posexplode(cut).alias("tok_no", "token")).select(
-        "page_id", "tok_no", "token", F.nullif(name, F.lit("")).alias("tag"), F.col("token").startswith("</").alias("closing"))
-
-
-def _depth(tags: list[str]) -> Column:
-    return F.when(F.col("tag").isin(*tags), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)
+    return read_pages(pages).select("page_id", "tok_no", "token", "tag", "closing")
 
 
 def html_context(pages: DataFrame) -> DataFrame:
-    """Tokens with what encloses them: inline formats, link, list item, table cell, quote, pre and the last block tag."""
-    tag, closing = F.col("tag"), F.col("closing")
-    t = tokens(pages)
-    base = scan(
-        t, ["page_id"], "tok_no", longest=0,
-        **{f"n_{k}": running_sum(_depth(v)) for k, v in INLINE_TAGS.items()},
-        n_list=running_sum(_depth(["ul", "ol"])), n_table=running_sum(_depth(["table"])),
-        n_quote=running_sum(_depth(["blockquote"])), n_pre=running_sum(_depth(["pre"])),
-        link=last_row(tag == "a", closing=closing, token=F.col("token")),
-        block=last_row(tag.isin(*BLOCK_TAGS), tag=tag, closing=closing, token=F.col("token")))
-    # The innermost list item is the last li at the current list depth, after that depth's list was opened.
-    in_list = scan(
-        base, ["page_id", "n_list"], "tok_no", longest=0,
-        item=last_row((tag == "li") | (tag.isin("ul", "ol") & ~closing), tag=tag, closing=closing),
-        list=last_row(tag.isin("ul", "ol") & ~closing, tag=tag))
-    in_table = scan(
-        in_list, ["page_id", "n_table"], "tok_no", longest=0,
-        cell=last_row(tag.isin("td", "th", "tr", "table"), tag=tag, closing=closing, token=F.col("token")))
-    # A bold element whose style says normal is only a wrapper: its opening and its matching end tag do not count.
-    bold = tag.isin(*INLINE_TAGS["b"])
-    wrapper = bold & ~closing & F.coalesce(F.regexp_extract(attribute(F.col("token"), "style"), r"(?i)font-weight\s*:\s*(normal|400)", 1) != "", F.lit(False))
-    deep = in_table.withColumn("_w", wrapper).withColumn("_level", F.when(bold & closing, F.col("n_b") + 1).otherwise(F.col("n_b")))
-    matched = scan(deep, ["page_id", "_level"], "tok_no", longest=0, _open=last_row(bold & ~closing, w=F.col("_w")))
-    counts = bold & ~F.when(closing, F.coalesce(F.col("_open.w"), F.lit(False))).otherwise(F.col("_w"))
-    out = scan(matched.withColumn("_c", F.when(counts, F.when(closing, -1).otherwise(1)).otherwise(0)), ["page_id"], "tok_no", longest=0,
-               n_bold=running_sum(F.col("_c")))
-    return out.drop("_w", "_level", "_open", "_c")
+    """Tokens with what encloses them: counts of open inline formats (n_bold without bold elements whose style says normal, which
+    are wrappers), lists, tables, quotes and pre; the last link, block tag, item of the list, row or cell of the table, and table
+    before each; row_no (rows of the table so far) and outer_at (the last outermost table)."""
+    return read_context(pages)
 
 
 def html_runs(pages: DataFrame) -> DataFrame:
@@ -157,8 +102,7 @@ def _rows(pages: DataFrame) -> DataFrame:
     opens = (F.col("tag") == "table") & ~F.col("closing") & (F.col("n_table") == 1)
     of_table = opens | (F.col("tag") == "tr") & ~F.col("closing") & (F.col("n_table") > 0)
     shape = F.coalesce(of_table | (F.col("tag") == "img") & (F.col("n_table") == 0), F.lit(False))
-    c = scan(c, ["page_id"], "tok_no", longest=0, _table=last_row(opens))
-    block_at = F.when(of_table, F.col("_table.at")).otherwise(block_at)
+    block_at = F.when(of_table, F.col("outer_at")).otherwise(block_at)
     kind = F.when(of_table, "table").otherwise(kind)
     return c.filter(keep | shape).select(
         "page_id", block_at.cast("long").alias("block_at"), F.col("tok_no").cast("long").alias("tok_no"), F.when(shape, "").otherwise(text).alias("text"), shape.alias("shape"), "tag",
@@ -166,7 +110,7 @@ def _rows(pages: DataFrame) -> DataFrame:
         F.when(in_link & href.rlike(SAFE_LINK), href).alias("href"), in_pre.alias("in_pre"), kind.alias("kind"),
         F.when(kind == "h", F.substr(F.col("block.tag"), F.lit(2)).cast("int")).when(
             in_item, (F.col("n_list") - 1).cast("int")).otherwise(0).alias("level"),
-        F.when(in_item, F.col("list.tag") == "ol").alias("ordered"),
+        F.when(in_item, F.col("list_tag") == "ol").alias("ordered"),
         (F.col("n_quote") > 0).alias("quoted"), (F.col("n_table") > 0).alias("in_table"),
         F.when((kind != "li") & ~F.col("block.closing"), attribute(F.col("block.token"), "style")).alias("style"))
 
@@ -266,11 +210,9 @@ def html_cells(pages: DataFrame) -> DataFrame:
     tag, opening = F.col("tag"), ~F.col("closing")
     token = F.col("token")
     # Rows and cells are counted inside the innermost table: the last table opened at this depth.
-    marked = scan(c.withColumn("_td", tag.isin("td", "th") & opening), ["page_id", "n_table"], "tok_no", longest=0,
-                  _t=last_row((tag == "table") & opening), _r=running_sum(F.when((tag == "tr") & opening, 1).otherwise(0)))
-    inside = marked.filter(F.col("n_table") > 0).withColumn("table_at", F.col("_t.at").cast("long"))
+    inside = c.filter(F.col("n_table") > 0).withColumns({"_td": tag.isin("td", "th") & opening, "table_at": F.col("table_at").cast("long")})
     starts = inside.filter("_td").select(
-        "page_id", "table_at", F.col("_r").alias("_row"), F.col("tok_no").alias("cell_at"), (tag == "th").alias("is_header"),
+        "page_id", "table_at", F.col("row_no").alias("_row"), F.col("tok_no").alias("cell_at"), (tag == "th").alias("is_header"),
         F.coalesce(attribute(token, "colspan").try_cast("int"), F.lit(1)).alias("colspan"),
         F.coalesce(attribute(token, "rowspan").try_cast("int"), F.lit(1)).alias("rowspan"))
     first = starts.groupBy("page_id", "table_at").agg(F.min("_row").alias("_row0"))

@@ -255,3 +255,40 @@ def test_node_store_reads_what_a_table_needs(spark, tmp_path, capsys):
     assert "trail" not in scan.split("ReadSchema")[1] and "text" not in scan.split("ReadSchema")[1]
     classes = {r.part_class for r in nodes.select("part_class").distinct().collect()}
     assert {"body", "styles", "links"} <= classes and {r.part_class for r in nodes.where("part = 'word/document.xml'").collect()} == {"body"}
+
+
+# --- pages as tokens
+
+@pytest.mark.parametrize("html, tokens", [
+    ("a<!-- <script> -->b<p>c</script> d</p>", ["ab", "<p>", "c", "</script>", " d", "</p>"]),
+    ("<script>var t = '<!--';</script>x<!-- y -->z", ["xz"]),
+    ("<object>one<object>two</object>three</object>four", ["four"]),
+    ("<svg><title>a</svg></title><svg/></svg>b</svg>c", ["c"]),
+    ("<select><option>a<select>b</select></select>c", ["c"]),
+    ("<style>p > a { }", []), ("<button>never closed", ["<button>", "never closed"]),
+    ("a < b <c d='>'>e</c>", ["a ", "<", " b ", "<c d='>'>", "e", "</c>"]), ("<!DOCTYPE html><meta x><p>", ["<p>"]), ("", []), ("<", ["<"]),
+    ("<template><!-- </template> --><p>in</p></template>out", ["out"])])
+def test_tokens_of_a_page(html, tokens):
+    from sheaf.operators.html_tokens import cut
+
+    assert [t for t, _, _ in cut(html)] == tokens
+
+
+def test_what_encloses_a_token(spark):
+    from sheaf.operators import html
+
+    page = ("<ul><li>a<ol><li><b>b</b></ol>c</ul><table><tr><td>d<table><tr><td>e</table></td></tr></table>"
+            "<b style='font-weight: normal'>f<b>g</b>h</b><a href='#x'>i</a><blockquote><pre>j</pre></blockquote>")
+    rows = {r.token: r for r in html.html_context(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")).collect()}
+    assert [(rows[x].n_list, rows[x].list_tag, rows[x].item.at) for x in "abc"] == [(1, "ul", 1), (2, "ol", 4), (1, "ul", 1)]
+    assert [(rows[x].n_table, rows[x].outer_at, rows[x].row_no) for x in "de"] == [(1, 11, 1), (2, 11, 1)]
+    assert [(rows[x].n_b, rows[x].n_bold) for x in "bfgh"] == [(1, 1), (1, 0), (2, 1), (1, 0)]
+    assert rows["i"].link.token == "<a href='#x'>" and not rows["i"].link.closing and rows["j"].n_pre == rows["j"].n_quote == 1
+
+
+def test_comments_before_scripts_keep_their_text(spark, rows):
+    from sheaf.operators import html
+
+    pages = spark.createDataFrame([(1, "<p><!-- <script> -->text</p><p>more <script>gone</script>here</p>"), (2, "<p>a<object>x<object>y</object>z</object>b</p>")],
+                                  "page_id int, html string")
+    assert rows(html.html_blocks(pages), "page_id", "text") == [(1, "more here"), (1, "text"), (2, "ab")]
