@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import keep, settle
 from .scan import with_positions
 
 
@@ -48,21 +48,22 @@ def resolve_styles(styles: DataFrame, keys: tuple[str, ...] = (), own_only: bool
     if own_only:
         return own.withColumnRenamed("ancestor", "style_id").withColumn("distance", F.lit(0).cast("long"))
     # Pointer doubling over values: each round a style takes what the ancestor 2**k steps up has found by then, and keeps the
-    # nearest value of each property, so there are never more rows than styles times properties. A chain cannot be longer
-    # than its document has styles, which also ends the rounds of a cycle.
+    # nearest value of each property, so there are never more rows than styles times properties. Where some style has its
+    # nearest value d steps up, one between them has its own 2**k steps up for each 2**k <= d: a round that finds nothing at
+    # 2**k steps or more is the last, on cycles too.
     known = styles.select(*keys, F.col("style_id").alias("ancestor"))
-    jump = settle(styles.select(*keys, "style_id", F.col("based_on").alias("ancestor")).join(known, [*keys, "ancestor"], "left_semi").select(*keys, "style_id", "ancestor"))
-    found = own.withColumnRenamed("ancestor", "style_id").withColumn("distance", F.lit(0).cast("long"))
-    longest, step = styles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0, 1
-    while step < longest and not jump.isEmpty():
+    jump = keep(styles.select(*keys, "style_id", F.col("based_on").alias("ancestor")).join(known, [*keys, "ancestor"], "left_semi").select(*keys, "style_id", "ancestor"), "styles")
+    found, step = own.withColumnRenamed("ancestor", "style_id").withColumn("distance", F.lit(0).cast("long")), 1
+    while True:
         taken = jump.join(found.withColumnRenamed("style_id", "ancestor"), [*keys, "ancestor"]).select(
             *keys, "style_id", "prop", "value", (F.col("distance") + step).alias("distance"))
-        found = settle(found.unionByName(taken).groupBy(*keys, "style_id", "prop").agg(F.min_by(F.struct("value", "distance"), "distance").alias("_v")).select(
-            *keys, "style_id", "prop", F.col("_v.value").alias("value"), F.col("_v.distance").alias("distance")))
-        jump = settle(jump.withColumnRenamed("ancestor", "_mid").join(
-            jump.select(*keys, F.col("style_id").alias("_mid"), "ancestor"), [*keys, "_mid"]).select(*keys, "style_id", "ancestor"))
+        found = keep(found.unionByName(taken).groupBy(*keys, "style_id", "prop").agg(F.min_by(F.struct("value", "distance"), "distance").alias("_v")).select(
+            *keys, "style_id", "prop", F.col("_v.value").alias("value"), F.col("_v.distance").alias("distance")), "styles")
+        if found.filter(F.col("distance") >= step).isEmpty():
+            return found
+        jump = keep(jump.withColumnRenamed("ancestor", "_mid").join(
+            jump.select(*keys, F.col("style_id").alias("_mid"), "ancestor"), [*keys, "_mid"]).select(*keys, "style_id", "ancestor"), "styles")
         step *= 2
-    return found
 
 
 def style_picker(styles: DataFrame) -> DataFrame:

@@ -292,3 +292,21 @@ def test_comments_before_scripts_keep_their_text(spark, rows):
     pages = spark.createDataFrame([(1, "<p><!-- <script> -->text</p><p>more <script>gone</script>here</p>"), (2, "<p>a<object>x<object>y</object>z</object>b</p>")],
                                   "page_id int, html string")
     assert rows(html.html_blocks(pages), "page_id", "text") == [(1, "more here"), (1, "text"), (2, "ab")]
+
+
+def test_styles_far_from_their_values(spark):
+    """Chains whose only values lie far up, with gaps of every length, and cycles with and without a value."""
+    rows = [(i, i - 1 if i else None, {"a": "root"} if i == 0 else {"b": str(i)} if i in (3, 40) else None) for i in range(70)]
+    rows += [(100 + i, 100 + (i + 1) % 7, {"c": "loop"} if i == 4 else None) for i in range(7)] + [(200, 201, None), (201, 200, None), (202, 999, {"d": "x"})]
+    table = spark.createDataFrame(rows, "style_id int, based_on int, props map<string,string>")
+    own, up, want = {i: p or {} for i, _, p in rows}, {i: u for i, u, _ in rows}, {}
+    for i in own:
+        at, far, seen = i, 0, set()
+        while at in own and at not in seen:
+            seen.add(at)
+            for prop, value in own[at].items():
+                want.setdefault((i, prop), (value, far))
+            at, far = up[at], far + 1
+    got = {(r.style_id, r.prop): (r.value, r.distance) for r in styles.resolve_styles(table).collect()}
+    assert got == want
+    assert styles.resolve_styles(table.limit(0)).count() == 0
