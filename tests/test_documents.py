@@ -204,7 +204,7 @@ def test_formats_can_be_registered(spark):
         packages._EXTRA_FORMATS.clear()
 
 
-def test_a_changed_document_replaces_the_old_one(spark, tmp_path, rows):
+def test_a_changed_document_replaces_the_old_one(spark, tmp_path, rows, monkeypatch):
     table = lambda *rows_: spark.createDataFrame(list(rows_), "doc_id int, path string, content_sha256 string, format string, text string")
     load = lambda docs, **how: sorted(r.doc_id for r in lake.load_increment(spark, docs, {"blocks": lake.read_text_documents(docs)}, str(tmp_path), **how).collect())
     docs = table((1, "a", "h1", "text", "x"), (2, "b", "h2", "text", "y"), (3, "c", "h3", "text", "w"))
@@ -214,14 +214,11 @@ def test_a_changed_document_replaces_the_old_one(spark, tmp_path, rows):
     assert rows(lake.read_lake(spark, str(tmp_path)), "doc_id", "content_sha256") == [(1, "h1"), (2, "h4"), (3, "h3")]
     assert rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text") == [(1, "x"), (2, "y"), (2, "z"), (3, "w")]
     assert load(again, whole=True) == [] and rows(lake.read_lake(spark, str(tmp_path)), "doc_id") == [(1,), (2,)]
-    # A load that stopped before its docs were written is invisible, and repeating it leaves nothing twice.
-    newest = sorted((tmp_path / "docs").glob("load=*"))
+    # A load that stopped before it was committed is invisible, and repeating it leaves nothing twice.
     third = table((1, "a", "h5", "text", "x2"), (2, "b", "h4", "text", "y\nz\n"))
-    assert load(third) == [1]
-    made = next(p for p in (tmp_path / "docs").glob("load=*") if p not in newest)
-    for f in sorted(made.rglob("*"), reverse=True):
-        f.rmdir() if f.is_dir() else f.unlink()
-    made.rmdir()
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(lake, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        load(third)
     assert (1, "x") in rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text")
     assert load(third) == [1]
     assert rows(lake.read_lake(spark, str(tmp_path), "blocks"), "doc_id", "text") == [(1, "x2"), (2, "y"), (2, "z")]
@@ -310,3 +307,47 @@ def test_styles_far_from_their_values(spark):
     got = {(r.style_id, r.prop): (r.value, r.distance) for r in styles.resolve_styles(table).collect()}
     assert got == want
     assert styles.resolve_styles(table.limit(0)).count() == 0
+
+
+def test_two_loads_at_once(spark, rows, tmp_path, monkeypatch):
+    """A load that another overtakes starts afresh from what that one has stored; readers keep to their version."""
+    path = str(tmp_path / "lake")
+    docs = lambda *r: spark.createDataFrame([(i, f"p{i}", h) for i, h in r], "doc_id int, path string, content_sha256 string")
+    blocks = lambda d: {"blocks": d.selectExpr("doc_id", "content_sha256 as text")}
+    lake.load_increment(spark, (d := docs((1, "a"), (2, "a"))), blocks(d), path)
+    before = lake.read_lake(spark, path, "blocks")
+    mine, other, commit, tries = docs((1, "b"), (2, "a")), docs((2, "c"), (3, "c")), lake._commit, []
+
+    def overtaken(spark, path, version, loads):
+        if not tries:  # the other load commits between our writing and our commit
+            tries.append(version)
+            lake.load_increment(spark, other, blocks(other), path)
+        tries.append(version)
+        return commit(spark, path, version, loads)
+
+    monkeypatch.setattr(lake, "_commit", overtaken)
+    changed = lake.load_increment(spark, mine, blocks(mine), path)
+    assert tries == [1, 1, 1, 2] and rows(changed, "doc_id") == [(1,), (2,)]  # 2 counts as changed: the other load had changed it
+    assert rows(lake.read_lake(spark, path), "doc_id", "content_sha256") == [(1, "b"), (2, "a"), (3, "c")]
+    assert rows(lake.read_lake(spark, path, "blocks"), "doc_id", "text") == [(1, "b"), (2, "a"), (3, "c")]
+    assert rows(lake.read_lake(spark, path, version=0), "doc_id", "content_sha256") == [(1, "a"), (2, "a")] and rows(before, "doc_id", "text") == [(1, "a"), (2, "a")]
+    assert rows(lake.read_lake(spark, path, version=1), "doc_id", "content_sha256") == [(1, "a"), (2, "c"), (3, "c")]
+    # What lost and what nobody can see goes; the rest reads the same from fewer folders.
+    dropped = lake.vacuum(spark, path)
+    assert len(dropped) == 4 and len([x for x in dropped if x.startswith("docs/load=000000001-")]) == 1
+    assert len(lake.snapshot(spark, path)[1]) == 2 and lake.vacuum(spark, path) == []
+    assert rows(lake.read_lake(spark, path, "blocks"), "doc_id", "text") == [(1, "b"), (2, "a"), (3, "c")]
+    read = {f.split("load=")[1].split("/")[0] for f in lake.read_lake(spark, path, "blocks").inputFiles()}
+    assert read == set(lake.snapshot(spark, path)[1])
+
+
+def test_vacuum_keeps_what_hides_older_rows(spark, rows, tmp_path):
+    path = str(tmp_path / "lake")
+    docs = lambda *r: spark.createDataFrame([(i, f"p{i}", h) for i, h in r], "doc_id int, path string, content_sha256 string")
+    assert lake.vacuum(spark, path) == [] and lake.snapshot(spark, path) == (-1, [])
+    for corpus in (docs((1, "a"), (2, "a")), docs((2, "a")), docs((2, "b")), docs((3, "b"))):
+        lake.load_increment(spark, corpus, {}, path, whole=True)
+        now = rows(lake.read_lake(spark, path), "doc_id", "content_sha256")
+        lake.vacuum(spark, path)
+        assert rows(lake.read_lake(spark, path), "doc_id", "content_sha256") == now == rows(corpus, "doc_id", "content_sha256")
+    assert len(lake.snapshot(spark, path)[1]) == 1
