@@ -88,29 +88,65 @@ def html_block_kinds(spark, sf):
         "page_id", "seq", "kind", F.col("level").cast("long").alias("level"), F.col("indent_px").cast("long").alias("indent_px"), "ordered", "text")
 
 
-@query("SELECT page_id, v.text || CASE WHEN v.text = 'x' THEN CAST(page_id AS VARCHAR) ELSE '' END AS text, v.b FROM pages CROSS JOIN (VALUES ('s ', false), ('w ', false), ('x', true), (' ', false), ('y', false)) AS v(text, b)")
-def html_bold_wrappers(spark, sf):
-    """A bold element styled normal does not embolden what it wraps; a plain one inside it does."""
-    runs = html.html_runs(decorated(spark, sf))
-    return runs.filter(F.col("style").contains("text-align:center")).select("page_id", "text", "b")
+LINK = '<li><a href="([^"]*)">([^<]*)</a></li>'
+
+
+def with_links(spark, sf, to):
+    """Decorated pages whose navigation links have become ``to``, in which $1 is an address and $2 a text."""
+    return decorated(spark, sf).withColumn("html", F.regexp_replace("html", LINK, to))
 
 
-@query("""SELECT page_id, concat('http://e.org/', page_id, '.png') AS src, 'A' AS alt, CAST(least(600, 500 + page_id % 200) AS DOUBLE) AS width,
-  CAST(floor(least(600, 500 + page_id % 200) * (300 / (500 + page_id % 200)::DOUBLE) + 0.5) AS BIGINT) AS height, true AS external FROM pages""")
+#: Every navigation link of a page: its place, address and text.
+LINKS_SQL = rf"""
+WITH m AS (SELECT page_id, regexp_extract_all(html, '{LINK}', 1) AS a, regexp_extract_all(html, '{LINK}', 2) AS b FROM pages)
+, u AS (SELECT page_id, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS i, unnest(a) AS a, unnest(b) AS b FROM m)
+, links AS (SELECT page_id, i, replace(replace(a, '&quot;', '"'), '&amp;', '&') AS address, replace(replace(b, '&quot;', '"'), '&amp;', '&') AS text FROM u) """
+
+
+@query(PAGES_SQL + """SELECT page_id, text, kind = 'h' AS b FROM r
+UNION ALL SELECT page_id, v.text || CASE WHEN v.text = 'x' THEN CAST(page_id AS VARCHAR) ELSE '' END, v.b FROM pages CROSS JOIN (VALUES ('s ', false), ('w ', false), ('x', true), (' ', false), ('y', false)) AS v(text, b)""")
+def html_bold_wrappers(spark, sf):
+    """All runs of pages whose bold elements say that they are normal, and whose headings hold a plain one, which emboldens; and of
+    the paragraph with both kinds in each other."""
+    off = F.replace("html", F.lit("<b>"), F.lit('<b style="font-weight: normal">'))
+    for old, new in (("<strong>", '<strong style="font-weight:400">'), ("<h1>", "<h1><b>"), ("</h1>", "</b></h1>")):
+        off = F.replace(off, F.lit(old), F.lit(new))
+    whole = html.html_runs(pages(spark, sf).withColumn("html", off))
+    nested = html.html_runs(decorated(spark, sf)).filter(F.col("style").contains("text-align:center"))
+    return whole.union(nested).select("page_id", "text", "b")
+
+
+@query(LINKS_SQL + """
+SELECT page_id, concat('http://e.org/', page_id, '.png') AS src, 'A' AS alt, CAST(least(600, 500 + page_id % 200) AS DOUBLE) AS width,
+  CAST(floor(least(600, 500 + page_id % 200) * (300 / (500 + page_id % 200)::DOUBLE) + 0.5) AS BIGINT) AS height, true AS external FROM pages
+UNION ALL SELECT page_id, address, text, 600.0::DOUBLE, CAST(77 AS BIGINT), true FROM links
+UNION ALL SELECT page_id, concat('data:', address), NULL, 20.0::DOUBLE, NULL, false FROM links""")
 def html_images(spark, sf):
-    return html.html_images(decorated(spark, sf)).drop("tok_no")
+    """Pictures of three kinds: one of its own for each page, and two for each of its links."""
+    return html.html_images(with_links(spark, sf, '<li><img src="$1" alt="$2" width="700" height="90"><img src="data:$1" style="width: 20px"></li>')).drop("tok_no")
 
 
-@query("SELECT page_id, v.tag, v.prop, v.value FROM pages CROSS JOIN (VALUES ('p', 'text-align', 'center'), ('span', 'color', '#ff0000'), ('span', 'font-size', '12px')) AS v(tag, prop, value)")
+@query(LINKS_SQL + """
+SELECT page_id, v.tag, v.prop, v.value FROM pages CROSS JOIN (VALUES ('p', 'text-align', 'center'), ('span', 'color', '#ff0000'), ('span', 'font-size', '12px')) AS v(tag, prop, value)
+UNION ALL SELECT page_id, 'span', 'font-family', trim(address) FROM links UNION ALL SELECT page_id, 'div', 'text-align', 'right' FROM links""")
 def style_whitelist(spark, sf):
-    return html.style_declarations(decorated(spark, sf)).drop("tok_no")
+    """Declarations kept: those of the snippet, and of the elements that each link of a page has become; inline properties do not
+    count on blocks, nor block properties inline."""
+    to = '<li><span style="font-family: $1; text-align: left">$2</span><div style="TEXT-ALIGN:right;font-family:$1"></div></li>'
+    return html.style_declarations(with_links(spark, sf, to)).drop("tok_no")
 
 
-@query("""SELECT page_id, CAST(v.r AS BIGINT) AS row_no, CAST(v.c AS BIGINT) AS col, CAST(v.cs AS BIGINT) AS colspan, CAST(v.rs AS BIGINT) AS rowspan, v.h AS is_header, replace(v.t, '{id}', CAST(page_id AS VARCHAR)) AS text
-FROM pages CROSS JOIN (VALUES (0, 0, 1, 1, true, 'h{id}'), (0, 1, 2, 1, false, 'c'), (1, 0, 1, 2, false, 'r'), (1, 1, 1, 1, false, 'z'), (1, 2, 1, 1, false, 'zz'), (2, 1, 1, 1, false, 'u')) AS v(r, c, cs, rs, h, t)""")
+@query(LINKS_SQL + r"""
+SELECT page_id, CAST(v.r AS BIGINT) AS row_no, CAST(v.c AS BIGINT) AS col, CAST(v.cs AS BIGINT) AS colspan, CAST(v.rs AS BIGINT) AS rowspan, v.h AS is_header, replace(v.t, '{id}', CAST(page_id AS VARCHAR)) AS text
+FROM pages CROSS JOIN (VALUES (0, 0, 1, 1, true, 'h{id}'), (0, 1, 2, 1, false, 'c'), (1, 0, 1, 2, false, 'r'), (1, 1, 1, 1, false, 'z'), (1, 2, 1, 1, false, 'zz'), (2, 1, 1, 1, false, 'u')) AS v(r, c, cs, rs, h, t)
+UNION ALL SELECT page_id, 2 * i, 0, 1, 2, true, trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) FROM links
+UNION ALL SELECT page_id, 2 * i, 1, 2, 1, false, trim(regexp_replace(address, '[\s\x{00A0}]+', ' ', 'g')) FROM links UNION ALL SELECT page_id, 2 * i + 1, 1, 1, 1, false, 'under it' FROM links""")
 def html_tables(spark, sf):
-    """Cells of page tables at their grid columns; the column under a row span is taken."""
-    cells = html.html_cells(decorated(spark, sf))
+    """Cells of page tables at their grid columns; the column under a row span is taken. Each page has a table made of its links:
+    two rows a link, the text spanning both."""
+    linked = with_links(spark, sf, '<tr><th rowspan="2">$2<td colspan=2>$1</tr><tr><td>under it')
+    tables = linked.withColumn("html", F.regexp_replace("html", r"(?s)<nav><ul>(.*?)</ul></nav>", "<table>$1</table>"))
+    cells = html.html_cells(tables)
     placed = grids.place_spanned_cells(cells, ("page_id", "table_at"))
     return placed.select("page_id", *[F.col(c).cast("long").alias(c) for c in ("row_no", "col", "colspan", "rowspan")], "is_header", "text")
 
