@@ -246,34 +246,66 @@ def hourly_counts(edits: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 class _TypingSessions(StatefulProcessor):
-    """The edits of runs that a later arrival may still change. Rows of a batch are a document's runs since the last final
-    one, so the open runs of its newest batch are its open runs now."""
+    """The runs of a document that a later arrival may still change.
+
+    Nothing arrives any more from before the watermark. So of a run only the edits behind it are kept one by one; those before
+    are one row (first, last, count), and a run is final as soon as an edit of the next one lies before it, or its idle time has
+    passed. A timer ends the last run of a document that falls silent. A call's rows are a document's runs since the last final
+    one, so the open runs of its newest batch are its open runs now.
+    """
 
     def __init__(self, idle: pd.Timedelta) -> None:
         self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "coalesce_key string, started timestamp, ended timestamp, n bigint")
         self.edits = handle.getListState("edits", "ts timestamp, event_id bigint, coalesce_key string")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = pd.DataFrame(list(self.edits.get()), columns=["ts", "event_id", "coalesce_key"])
-        held["ts"] = pd.to_datetime(held["ts"])
-        came = [f[["ts", "event_id", "coalesce_key"]] for f in rows if len(f)]
-        edits = pd.concat([f for f in (held, *came) if len(f)]).sort_values(["ts", "event_id"], ignore_index=True)
-        name = edits["coalesce_key"]
-        same = name.notna() & (name == name.shift()) & (edits["ts"] - edits["ts"].shift() <= self.idle)
-        run = (~same).cumsum()
+        came = [e for f in rows for e in zip(f["ts"], f["event_id"], f["coalesce_key"])]
+        yield from self._runs(key, came, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._runs(key, [], timerValues)
+
+    def _runs(self, key, came: list, timerValues) -> Iterator[pd.DataFrame]:
         mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        ends = edits.groupby(run)["ts"].max()
-        final = (ends + self.idle < mark).cummin()  # nothing can come before or inside these any more
-        out = edits.groupby(run).agg(coalesce_key=("coalesce_key", "first"), started=("ts", "min"), ended=("ts", "max"), n=("ts", "size"))
-        out["final"], out["doc_id"] = final, key[0]
-        open_ = edits[~run.map(final).astype(bool)]
-        if len(open_):
-            self.edits.put([(r.ts.to_pydatetime(), int(r.event_id), r.coalesce_key if isinstance(r.coalesce_key, str) else None) for r in open_.itertuples()])
-        else:
-            self.edits.clear()
-        yield out[["doc_id", "coalesce_key", "started", "ended", "n", "final"]]
+        runs = []  # [key, started, ended, n, last edit before the watermark, edits behind it]
+        if self.settled.exists():
+            name, started, ended, n = self.settled.get()
+            runs.append([name, pd.Timestamp(started), pd.Timestamp(ended), n, pd.Timestamp(ended), []])
+        held = [(pd.Timestamp(ts), i, name) for ts, i, name in self.edits.get()]
+        for ts, i, name in sorted([*held, *came], key=lambda e: e[:2]):
+            name = name if isinstance(name, str) else None
+            if not (runs and name is not None and runs[-1][0] == name and ts - runs[-1][2] <= self.idle):
+                runs.append([name, ts, ts, 0, None, []])
+            run = runs[-1]
+            run[2], run[3] = ts, run[3] + 1
+            if ts < mark:
+                run[4] = ts
+            else:
+                run[5].append((ts.to_pydatetime(), int(i), name))
+        if not runs:
+            return
+        final = [r[2] + self.idle < mark or k + 1 < len(runs) and runs[k + 1][1] < mark for k, r in enumerate(runs)]
+        self._keep([r for r, done in zip(runs, final) if not done])
+        yield pd.DataFrame([(key[0], *r[:4], done) for r, done in zip(runs, final)], columns=["doc_id", "coalesce_key", "started", "ended", "n", "final"])
+
+    def _keep(self, left: list) -> None:
+        """``left`` are the open runs; only the first can have edits before the watermark."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.settled.clear()
+        self.edits.clear()
+        if not left:
+            return
+        name, started, ended, n, before, behind = left[0]
+        if before is not None:
+            self.settled.update((name, started.to_pydatetime(), before.to_pydatetime(), int(n) - len(behind)))
+        if fresh := [e for r in left for e in r[5]]:
+            self.edits.put(fresh)
+        self.handle.registerTimer((ended + self.idle).value // 1_000_000 + 1)
 
     def close(self) -> None:
         pass
@@ -283,8 +315,9 @@ def typing_sessions(edits: DataFrame, idle: str = "400 milliseconds", delay: str
     """Typing runs as ``history.edit_runs`` cuts them: (doc_id, coalesce_key, started, ended, n, final).
 
     A run ends after ``idle`` without an edit, at a change of key, and at every edit without key, which is a run of its
-    own. Final runs come out once; runs that an edit within ``delay`` may still change come out again whenever their
-    document gets edits. ``current_sessions`` reads both.
+    own. Final runs come out once, also those of a document without further edits, when the watermark has passed them; runs that
+    an edit within ``delay`` may still change come out again whenever their document gets edits or one of them becomes final.
+    ``current_sessions`` reads both. The state of a document is its edits within ``delay``, however long its runs are.
     """
     key = edits.schema["doc_id"].dataType.simpleString()
     timed = edits.select("doc_id", "ts", "event_id", "coalesce_key").withWatermark("ts", delay)

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sheaf import schemas
@@ -77,6 +78,52 @@ def test_typing_runs_break_at_keys_and_close_behind_the_watermark(spark, rows):
     assert emitted.filter("final").count() > 0
 
 
+def test_last_run_of_a_silent_document_becomes_final(spark, rows):
+    """Other documents move the watermark on; the run ends without an edit of its own, and an edit that comes late joins it."""
+    edits = [(1, 1, 0, "t"), (1, 2, 1, "t"), (2, 3, 30, "u"), (1, 4, 2, "t"), (2, 5, 100, "u"), (2, 6, 5000, "u"), (3, 7, 9000, None)]
+    df = spark.createDataFrame(edits, "doc_id bigint, event_id bigint, s bigint, coalesce_key string").select(
+        "doc_id", "event_id", "coalesce_key", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    folder = feeds.shared_folder(spark, "silent")
+    for i in range(1, 8):
+        df.filter(F.col("event_id") == i).coalesce(1).write.mode("append").parquet(f"{folder}/edits.parquet")
+    emitted = feeds.drain(live.typing_sessions(feeds.read_table_feed(spark, folder, "edits", files_per_trigger=1), idle="5 seconds", delay="60 seconds"))
+    assert rows(emitted.filter("final"), "doc_id", "n") == [(1, 3), (2, 1), (2, 1), (2, 1)]
+    assert rows(live.current_sessions(emitted), "doc_id", "n") == [(1, 3), (2, 1), (2, 1), (2, 1), (3, 1)]
+
+
+def test_a_long_run_is_kept_as_one_row(spark, rows):
+    """Edits behind the watermark are folded: with a micro-batch an edit, the run comes out whole and its state stays short."""
+    from sheaf.streaming.live import _TypingSessions
+
+    class Held:
+        def __init__(self):
+            self.value, self.timers = None, set()
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value or []
+        clear = lambda self: setattr(self, "value", None)
+        update = put = lambda self, v: setattr(self, "value", v)
+        getValueState = getListState = lambda self, *_: Held()
+        listTimers = lambda self: self.timers
+        deleteTimer = lambda self, t: self.timers.discard(t)
+        registerTimer = lambda self, t: self.timers.add(t)
+
+    class Clock:
+        def __init__(self, s):
+            self.getCurrentWatermarkInMs = lambda: s * 1000
+
+    p, handle, longest = _TypingSessions(pd.Timedelta("5 seconds")), Held(), 0
+    p.init(handle)
+    for s in range(1000):
+        frame = pd.DataFrame({"ts": [pd.Timestamp(s, unit="s")], "event_id": [s], "coalesce_key": ["t"]})
+        out, = p.handleInputRows((1,), iter([frame]), Clock(max(0, s - 10)))
+        longest = max(longest, len(p.edits.get()))
+        assert out.values.tolist() == [[1, "t", pd.Timestamp(0), pd.Timestamp(s, unit="s"), s + 1, False]] and len(handle.timers) == 1
+    assert longest <= 12 and handle.timers == {(999 + 5) * 1000 + 1}
+    out, = p.handleExpiredTimer((1,), Clock(1005), None)
+    assert out["final"].tolist() == [True] and out["n"].tolist() == [1000] and not p.settled.exists() and not handle.timers
+
+
 def test_nothing_to_stream(spark):
     folder = feeds.shared_folder(spark, "none")
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{folder}/t.parquet")
