@@ -28,21 +28,23 @@ BASES = (911_382_323, 972_663_749)
 _U = np.uint64
 
 
-_POWERS: dict = {}
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
-    if (base, n) in _POWERS:
-        return _POWERS[base, n]
-    if len(_POWERS) > 40:
-        _POWERS.clear()
-    out = np.ones(n, _U)
-    done = 1
-    while done < n:  # doubling: the next block is the block so far times one power
-        step = min(done, n - done)
-        out[done:done + step] = out[:step] * _U(pow(base, done, prime)) % _U(prime)
-        done += step
-    _POWERS[base, n] = out
+    """The powers 0 to n - 1, or more, of a base. Of each base the longest array is kept; shorter ones are its beginnings."""
+    out = _POWERS.get((base, prime))
+    done = 0 if out is None else len(out)
+    if done < n:
+        grown = np.ones(n, _U)
+        if done:
+            grown[:done] = out
+        done = max(done, 1)
+        while done < n:  # doubling: the next block is the block so far times one power
+            step = min(done, n - done)
+            grown[done:done + step] = grown[:step] * _U(pow(base, done, prime)) % _U(prime)
+            done += step
+        out = _POWERS[base, prime] = grown
     return out
 
 

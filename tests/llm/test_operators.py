@@ -221,6 +221,56 @@ def test_fingerprints(spark, rows):
     assert fingerprints.fingerprints(one, 4).first().near_next == 1.0
 
 
+def test_fingerprints_by_hand():
+    """Fingerprint and likeness restated with big numbers, span by span."""
+
+    def span_hash(text):
+        parts = [sum((ord(c) + 1) * pow(base, i, prime) for i, c in enumerate(text)) % prime for base, prime in zip(fingerprints.BASES, fingerprints.PRIMES)]
+        return parts[0] << 31 | parts[1]
+
+    def mix(h):
+        m = h * 0x9E3779B97F4A7C15 % 2 ** 64
+        return ((m ^ m >> 29) * 0xBF58476D1CE4E5B9 % 2 ** 64) >> 32
+
+    def sketch(text):
+        w = max(1, min(fingerprints.SPAN, len(text)))
+        return sorted({mix(span_hash(text[i:i + w])) for i in range(len(text) - w + 1)})[:fingerprints.SKETCH] if text else []
+
+    def like(a, b):
+        both = sorted({*a, *b})[:max(len(a), len(b))]
+        return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+    rng, texts = np.random.default_rng(8), ["", "a", "é漢😀" * 7, "tie " * 60]
+    texts += ["".join(rng.choice(list("abc é漢😀\n"), int(rng.integers(1, 400)))) for _ in range(25)]
+    for own, following in zip(texts, texts[1:] + texts[:1]):
+        k = len(own) // 4
+        changed = own[:len(own) - k] + following[:k]
+        a, b = fingerprints.Finger(own), fingerprints.Finger(following)
+        got = fingerprints.compare(1, own, a, following, b)
+        told = lambda t: f"{len(t):x}.{span_hash(t) if t else 0:016x}." + "".join(f"{x:08x}" for x in sketch(t))
+        assert got == (1, len(own), changed, told(own), told(changed), like(sketch(own), sketch(changed)), like(sketch(own), sketch(following)),
+                       len(os.path.commonprefix([own, changed])))
+
+
+def test_likeness_follows_the_share_of_common_spans():
+    rng = np.random.default_rng(9)
+    for cut in (0, 200, 1000, 2500, 4000):
+        a = "".join(rng.choice(list("abcdefgh "), 4000))
+        b = a[:4000 - cut] + "".join(rng.choice(list("abcdefgh "), cut))
+        x, y = ({t[i:i + fingerprints.SPAN] for i in range(len(t) - fingerprints.SPAN + 1)} for t in (a, b))
+        near = fingerprints.likeness(fingerprints.Finger(a).sketch, fingerprints.Finger(b).sketch)
+        assert abs(near - len(x & y) / len(x | y)) < 0.2
+
+
+def test_powers_keep_one_array_for_each_base():
+    fingerprints._POWERS.clear()
+    for n in (10, 3000, 50, 100_000):
+        fingerprints.PrefixHash("x" * n).span(0, n)
+    assert len(fingerprints._POWERS) <= 4
+    base, prime = fingerprints.BASES[0], fingerprints.PRIMES[0]
+    assert fingerprints._powers(base, prime, 5000)[4321] == pow(base, 4321, prime)
+
+
 # --- 4 BPE ---
 
 
