@@ -459,6 +459,61 @@ def test_feistel_is_a_permutation(spark):
     assert df.where("s.x < 0 or s.x >= 75 or s.y < 0 or s.y >= 48").count() == 0
 
 
+def feistel_by_hand(x, y, size_x, size_y, tweak, key):
+    for i in range(pii.ROUNDS):
+        drawn = int(hashlib.sha256(f"{key}|{tweak}|{i}|{x if i % 2 else y}".encode()).hexdigest()[:14], 16)
+        x, y = (x, (y + drawn) % size_y) if i % 2 else ((x + drawn) % size_x, y)
+    return x, y
+
+
+def digits_by_hand(d, kind, key):
+    left = len(d) // 2
+    x, y = feistel_by_hand(int(d[:left]), int(d[left:]), 10 ** left, 10 ** (len(d) - left), f"{kind}{len(d)}", key)
+    return f"{x:0{left}d}{y:0{len(d) - left}d}"
+
+
+def shaped(old, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in old)
+
+
+def test_pseudonyms_restated(spark):
+    """Each kind of value against its permutation written in plain Python."""
+    key = "a key"
+    cards = [c[:-1] + next(str(k) for k in range(10) if luhn(c[:-1] + str(k))) for c in ("4111111111111110", "5500005555555550", "378282246310000", "6011000990139420", "4222222222220")]
+    want = {}
+    for c in cards:
+        body = digits_by_hand(c[:-1], "card", key)
+        want[c] = body + next(str(k) for k in range(10) if luhn(body + str(k)))
+    for ip in ("10.20.30.40", "8.8.4.4", "255.0.1.99"):
+        a, b, c, d = map(int, ip.split("."))
+        x, y = feistel_by_hand(a * 256 + b, c * 256 + d, 65536, 65536, "ipv4", key)
+        want[ip] = f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    for ssn in ("123-45-6789", "700-01-0001", "001-99-9999"):
+        a, g, n = map(int, ssn.split("-"))
+        x, y = feistel_by_hand((a - 2 if a > 666 else a - 1) * 99 + g - 1, n - 1, 898 * 99, 9999, "ssn", key)
+        r = x // 99
+        want[ssn] = f"{r + 2 if r >= 665 else r + 1:03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+    for day in ("1999-12-31", "2024-02-29", "1900-01-01", "2000-03-01"):
+        d = datetime.strptime(day, "%Y-%m-%d").date()
+        century = d.year // 100
+        first = d.replace(year=century * 100, month=1, day=1)
+        sizes = (75, 487) if century % 4 == 0 else (92, 397)
+        x, y = feistel_by_hand(*divmod((d - first).days, sizes[1]), *sizes, f"date{century}", key)
+        want[day] = datetime.fromordinal(first.toordinal() + x * sizes[1] + y).strftime("%Y-%m-%d")
+    iban = "DE89370400440532013000"
+    account = digits_by_hand(iban[4:], "iban", key)
+    check = 98 - int("".join(str(int(c, 36)) for c in account + "DE00")) % 97
+    want[iban] = f"DE{check:02d}{account}"
+    want["a.b@example.com"] = "u" + hashlib.sha256(f"{key}|email|a.b@example.com".encode()).hexdigest()[:12] + "@d" + hashlib.sha256(f"{key}|domain|example.com".encode()).hexdigest()[:8] + ".example"
+    docs = spark.createDataFrame([(i, f"see {v} there") for i, v in enumerate(want)], "doc_id int, text string")
+    got = [r.text for r in pii.pseudonymise(docs, key).orderBy("doc_id").collect()]
+    assert got == [f"see {w} there" for w in want.values()]
+    phone = "(555) 123-4567"
+    new = pii.pseudonymise(spark.createDataFrame([(1, phone)], "doc_id int, text string"), key).first().text
+    assert new in (phone, shaped(phone, digits_by_hand("5551234567", "phone", key))) and new != phone
+
+
 # --- 9 Pages ---
 
 
