@@ -98,11 +98,16 @@ def docx_captions(spark, sf):
     return numbered(out.select("doc_id", "seq", "caption_kind", "caption_at"))
 
 
-@query(BLOCKS_SQL)
+@query(BLOCKS_SQL.replace("SELECT doc_id, i AS seq,", "SELECT 'w:body' AS container, doc_id, i AS seq,", 1) + """
+UNION ALL BY NAME SELECT doc_id, 'w:tc' AS container, CAST(0 AS BIGINT) AS seq, 'p' AS kind, u.x AS text FROM l, unnest([f, r, '', concat('z', i), '']) AS u(x) WHERE k = 5
+UNION ALL BY NAME SELECT doc_id, 'w:footnote' AS container, CAST(0 AS BIGINT) AS seq, 'p' AS kind, concat('note ', f) AS text FROM l WHERE k = 4
+UNION ALL BY NAME SELECT DISTINCT doc_id, 'w:footnote' AS container, CAST(0 AS BIGINT) AS seq, 'p' AS kind, '' AS text FROM l
+UNION ALL BY NAME SELECT DISTINCT doc_id, 'w:hdr' AS container, CAST(0 AS BIGINT) AS seq, 'p' AS kind, concat('header ', doc_id) AS text FROM l""")
 def docx_blocks(spark, sf):
-    b = body_blocks(docx_nodes(spark, sf))
+    """All blocks of a package: of the body, of table cells, notes and headers."""
+    b = docx.blocks(docx_nodes(spark, sf))
     line = lambda s: F.when(F.col(f"borders.{s}").isNotNull(), F.concat_ws(" ", *[F.col(f"borders.{s}.{x}").cast("string") for x in ("px", "style", "hex")])).alias(f"border_{s}")
-    return numbered(b.select("doc_id", "seq", "kind", F.col("level").cast("long").alias("level"), "style_id", "num_id", "align", "indent_px", "line_height", "before_px",
+    return numbered(b.select("doc_id", "container", "seq", "kind", F.col("level").cast("long").alias("level"), "style_id", "num_id", "align", "indent_px", "line_height", "before_px",
                              "after_px", "shading", "page_break", "rev_para", "rev_author", line("top"), line("right"), line("bottom"), "caption_kind", "text"))
 
 
@@ -322,10 +327,15 @@ def odt_lines(nodes):
 SELECT doc_id, i, ['h', 'p', 'p', 'p', 'p', 'table'][k + 1] AS kind, CASE WHEN k = 0 THEN least(3, 1 + n % 5) END AS level, CASE WHEN k IN (0, 2) THEN concat('P', n % 3) END AS style_id,
   k IN (0, 2) AND n % 3 = 1 AS break_before, k IN (0, 2) AND n % 3 IN (0, 1) AS break_after, CASE WHEN k IN (0, 2) AND n % 3 = 1 THEN 'Wide' END AS master, CASE WHEN k = 4 THEN 'table' END AS caption_kind,
   CASE k WHEN 0 THEN t WHEN 2 THEN concat(f, 'a   ', chr(9), chr(10), r, '!') WHEN 3 THEN t WHEN 4 THEN concat(f, r, f) END AS text
-FROM ol WHERE k <> 1""")
+FROM ol WHERE k <> 1
+UNION ALL BY NAME SELECT doc_id, 'li' AS kind, u.level, u.text, false AS break_before, false AS break_after
+  FROM (SELECT doc_id, unnest([{'level': 0, 'text': f}, {'level': 1, 'text': r}, {'level': 0, 'text': concat('z', i)}]) AS u FROM ol WHERE k = 1)
+UNION ALL BY NAME SELECT doc_id, 'p' AS kind, concat('note ', f) AS text, false AS break_before, false AS break_after FROM ol WHERE k = 4
+UNION ALL BY NAME SELECT doc_id, 'p' AS kind, u.x AS text, false AS break_before, false AS break_after FROM ol, unnest([f, r, concat('z', i)]) AS u(x) WHERE k = 5""")
 def odt_blocks(spark, sf):
+    """All blocks of a package; i is null for those of lists, notes and cells."""
     nodes = odt_nodes(spark, sf)
-    b = odt.blocks(nodes).join(odt_lines(nodes), ["doc_id", "pos"])
+    b = odt.blocks(nodes).join(odt_lines(nodes), ["doc_id", "pos"], "left")
     return numbered(b.select("doc_id", "i", "kind", F.col("level").cast("long").alias("level"), "style_id", "break_before", "break_after", "master", "caption_kind", "text"))
 
 
