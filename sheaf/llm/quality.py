@@ -176,4 +176,5 @@ def keep_good(docs: DataFrame, order: tuple[Rule, ...] | None = None) -> DataFra
                 good = [judge(Text(t), order) is None for t in small.column(text).to_pylist()]
                 yield small.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow cannot take names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

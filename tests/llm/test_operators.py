@@ -400,7 +400,7 @@ def test_quality(spark):
         assert x.base_failed == (len(words) < 20 or 100 * x.n_repeat_words > 30 * len(words))
         assert not (x.base_failed and x.kept)
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r.doc_id for r in got if r.kept}
-    assert quality.measure(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).columns == docs.columns
+    assert quality.measure(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).columns == empty(spark).columns and quality.keep_good(docs).columns == docs.columns
 
 
 def test_order_of_rules_does_not_change_verdicts():
