@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_html
 from .fixtures import table
 
+# The namespaces of the two formats.
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 DOCX_NS = (
     W + ' xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -43,8 +44,8 @@ def fill(template: str, **values: Column) -> Column:
 
 RUN = '<w:r>{fmt}<w:t xml:space="preserve">{text}</w:t></w:r>'
 DRAWING = (
-    '<w:r><w:drawing><wp:anchor behindDoc="0" distT="9525" distB="0" distL="0" distR="19050"><wp:positionH><wp:posOffset>952500</wp:posOffset></wp:positionH>'
-    '<wp:positionV><wp:align>top</wp:align></wp:positionV><wp:extent cx="1905000" cy="952500"/><wp:wrapSquare/><wp:docPr id="1" descr="pic"/>'
+    '<w:r><w:drawing><wp:anchor distL="28575" distR="38100" distT="0" distB="0" behindDoc="0"><wp:positionH><wp:posOffset>571500</wp:posOffset></wp:positionH>'
+    '<wp:positionV><wp:align>top</wp:align></wp:positionV><wp:extent cx="2286000" cy="1143000"/><wp:wrapSquare/><wp:docPr id="1" descr="pic"/>'
     '<a:graphic><a:blip r:embed="rId3"/></a:graphic></wp:anchor></w:drawing></w:r>')
 STYLES = (
     '<w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/><w:rPr><w:sz w:val="22"/></w:rPr></w:style>'
@@ -141,7 +142,7 @@ def odt_parts(spark: SparkSession, sf: str) -> DataFrame:
             '<text:list text:style-name="L1"{cont}><text:list-item><text:p>{first}</text:p><text:list><text:list-item><text:p>{rest}</text:p></text:list-item></text:list></text:list-item>'
             '<text:list-item><text:p>z{i}</text:p></text:list-item></text:list>', cont=F.when(n % 2 == 1, ' text:continue-numbering="true"').otherwise(""), **v)
         styled = fill('<text:p text:style-name="P{p}"><text:span text:style-name="T1">{first}</text:span>a<text:s text:c="3"/><text:tab/><text:line-break/><text:span text:style-name="T2">{rest}<text:span text:style-name="T1">!</text:span></text:span></text:p>', p=n % 3, **v)
-        revised = fill('<text:p><text:change-start text:change-id="c1"/>{first}<text:change-end text:change-id="c1"/><text:change text:change-id="c2"/>{rest}</text:p>', **v)
+        revised = fill('<text:p><text:change-start text:change-id="edit-7"/>{first}<text:change-end text:change-id="edit-7"/><text:change text:change-id="edit-8"/>{rest}</text:p>', **v)
         anchors = fill(
             '<text:p><text:bookmark-start text:name="bm{b}"/>{first}<office:annotation office:name="n{i}" loext:resolved="{res}"><dc:creator>u</dc:creator><dc:date>2024-01-01</dc:date><text:p>{first}</text:p><text:p>two</text:p></office:annotation>'
             '<text:bookmark-end text:name="bm{b}"/><office:annotation-end office:name="n{i}"/><text:bookmark text:name="pt{i}"/><text:note text:id="f{i}" text:note-class="{cls}"><text:note-citation>1</text:note-citation><text:note-body><text:p>note {first}</text:p></text:note-body></text:note>'
@@ -157,8 +158,8 @@ def odt_parts(spark: SparkSession, sf: str) -> DataFrame:
         return F.when(k == 0, heading).when(k == 1, items).when(k == 2, styled).when(k == 3, revised).when(k == 4, anchors).otherwise(cells)
 
     changes = (
-        '<text:tracked-changes><text:changed-region text:id="c1"><text:insertion><office:change-info><dc:creator>ann</dc:creator><dc:date>2024-01-02</dc:date></office:change-info></text:insertion></text:changed-region>'
-        '<text:changed-region xml:id="c2"><text:deletion><office:change-info><dc:creator>bob</dc:creator><dc:date>2024-01-03</dc:date></office:change-info><text:p>gone</text:p><text:p>too</text:p></text:deletion></text:changed-region></text:tracked-changes>')
+        '<text:tracked-changes><text:changed-region text:id="edit-7"><text:insertion><office:change-info><dc:creator>first hand</dc:creator><dc:date>2023-11-05T08:30:00</dc:date></office:change-info></text:insertion></text:changed-region>'
+        '<text:changed-region xml:id="edit-8"><text:deletion><office:change-info><dc:creator>second hand</dc:creator><dc:date>2023-11-06T17:45:00</dc:date></office:change-info><text:p>struck line</text:p><text:p>and its sequel</text:p></text:deletion></text:changed-region></text:tracked-changes>')
     automatic = (
         '<office:automatic-styles><style:style style:name="P0" style:family="paragraph" style:parent-style-name="Body"><style:paragraph-properties fo:text-align="end" fo:margin-left="1in" fo:margin-top="0.5in" fo:line-height="150%" fo:border="0.75pt dashed #ff0000"/></style:style>'
         '<style:style style:name="P1" style:family="paragraph" style:parent-style-name="Body" style:master-page-name="Wide"><style:paragraph-properties fo:text-indent="1cm"><style:tab-stops><style:tab-stop style:position="2in" style:type="char" style:leader-style="dotted"/></style:tab-stops></style:paragraph-properties></style:style>'

@@ -219,8 +219,8 @@ def docx_style_picker(spark, sf):
     return numbered(styles.style_picker(docx.styles(docx_nodes(spark, sf))).select("doc_id", "style_id", "display"))
 
 
-@query(ALL_LINES + """SELECT doc_id, i, 'word/media/image1.png' AS media, sha256(concat('png', doc_id % 5)) AS sha256, CAST(200 AS BIGINT) AS width, CAST(100 AS BIGINT) AS height, 'square' AS wrap, 'left' AS align,
-  CAST(100 AS BIGINT) AS x, true AS abs_x, false AS abs_y, CAST(2 AS BIGINT) AS dist_r, 'image/png' AS mime, true AS shown FROM l WHERE k = 4""")
+@query(ALL_LINES + """SELECT doc_id, i, 'word/media/image1.png' AS media, sha256(concat('png', doc_id % 5)) AS sha256, CAST(240 AS BIGINT) AS width, CAST(120 AS BIGINT) AS height, 'square' AS wrap, 'left' AS align,
+  CAST(60 AS BIGINT) AS x, true AS abs_x, false AS abs_y, CAST(4 AS BIGINT) AS dist_r, 'image/png' AS mime, true AS shown FROM l WHERE k = 4""")
 def docx_images(spark, sf):
     _, parts, nodes = opened(spark, sf)
     images = docx.images(nodes, parts).join(line_of(nodes), ["doc_id", "block_pos"])
@@ -396,7 +396,7 @@ def odt_notes(spark, sf):
     return numbered(odt.notes(odt_nodes(spark, sf)).select("doc_id", "note_id", "note_kind", "text"))
 
 
-@query(ALL_LINES + "SELECT doc_id, 'insertion' AS kind, 'ann' AS author, NULL AS deleted, count(*) AS n FROM ol WHERE k = 3 GROUP BY ALL UNION ALL SELECT doc_id, 'deletion', 'bob', concat('gone', chr(10), 'too'), count(*) FROM ol WHERE k = 3 GROUP BY ALL")
+@query(ALL_LINES + "SELECT doc_id, 'insertion' AS kind, 'first hand' AS author, NULL AS deleted, count(*) AS n FROM ol WHERE k = 3 GROUP BY ALL UNION ALL SELECT doc_id, 'deletion', 'second hand', concat('struck line', chr(10), 'and its sequel'), count(*) FROM ol WHERE k = 3 GROUP BY ALL")
 def odt_revisions(spark, sf):
     return numbered(odt.revisions(odt_nodes(spark, sf)).groupBy("doc_id", "kind", "author", "deleted").agg(F.count("*").alias("n")))
 
