@@ -89,9 +89,12 @@ def expand_grid(placed: DataFrame, keys: tuple[str, ...] = ("table_no",)) -> Dat
 def table_shape(placed: DataFrame, keys: tuple[str, ...] = ("table_no",)) -> DataFrame:
     """Rows, columns (the widest row counts), cells and header rows of each table."""
     header = F.col("is_header") if "is_header" in placed.columns else F.lit(False)
-    return placed.groupBy(*keys).agg(
-        F.countDistinct("row_no").alias("n_rows"), F.max(F.col("col") + F.col("colspan")).cast("long").alias("n_cols"),
-        F.count("*").alias("n_cells"), F.countDistinct(F.when(header, F.col("row_no"))).alias("n_header_rows"))
+    # Row by row first: distinct counts would deal every cell anew.
+    rows = placed.groupBy(*keys, "row_no").agg(
+        F.max(F.col("col") + F.col("colspan")).alias("_width"), F.count("*").alias("_cells"), F.bool_or(header).alias("_header"))
+    return rows.groupBy(*keys).agg(
+        F.count("row_no").alias("n_rows"), F.max("_width").cast("long").alias("n_cols"), F.sum("_cells").alias("n_cells"),
+        F.count(F.when(F.col("_header"), F.col("row_no"))).alias("n_header_rows"))
 
 
 def column_widths(placed: DataFrame, default_px: float = 64, keys: tuple[str, ...] = ("table_no",)) -> DataFrame:
