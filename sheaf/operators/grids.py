@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
-from .scan import extent, last_row, running_max, running_sum, scan
+from .scan import extent, last_row, running_max, running_sum, scan, spread
 
 
 
@@ -43,7 +43,8 @@ def place_spanned_cells(cells: DataFrame, keys: tuple[str, ...] = ("table_no",))
     keys = list(keys)
     # Column spans and row spans are bounded by the formats, hence so is the work of one band row.
     rows = cells.groupBy(*keys, "row_no").agg(F.max(F.col("row_no") + F.col("rowspan")).alias("_reach"))
-    longest = extent(cells, "row_no")
+    size = cells.agg(F.max("row_no").alias("longest"), F.count("*").alias("rows")).first()
+    longest = int(size["longest"] or 0)
     bands = scan(
         scan(rows, keys, "row_no", longest=longest, _open=running_max(F.col("_reach"), inclusive=False))
         .withColumn("_cut", F.coalesce(F.col("_open") <= F.col("row_no"), F.lit(True)).cast("long")),
@@ -72,8 +73,9 @@ def place_spanned_cells(cells: DataFrame, keys: tuple[str, ...] = ("table_no",))
             yield pdf[fields].assign(col=cols)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
-    ordered = cells.join(bands, [*keys, "row_no"]).select(*cells.columns, "band").repartition(*group).sortWithinPartitions(
-        *group, "row_no", "cell_no")
+    by_row = lambda df: spread(df, [*keys, "row_no"], size["rows"])
+    banded = by_row(cells).join(by_row(bands), [*keys, "row_no"]).select(*cells.columns, "band")
+    ordered = spread(banded, group, size["rows"], always=True).sortWithinPartitions(*group, "row_no", "cell_no")
     return ordered.mapInPandas(fill, f"{schema}, col bigint")
 
 
