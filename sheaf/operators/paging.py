@@ -9,14 +9,17 @@ ever holds more than one chunk of blocks or one node of the tree.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import page_number
 from ..session import settle
-from .scan import first_row, last_row, running_sum, scan
+from .scan import extent, first_row, last_row, running_sum, scan
 
 CHUNK_BLOCKS = 2048
 MAP_FAN = 512
@@ -31,24 +34,69 @@ def _px(value: float | str) -> Column:
     return F.col(value).cast("double") if isinstance(value, str) else F.lit(float(value))
 
 
-def _fold(items: Column, page: Column, offset: Column, step: float | str, content: float | str, reserve: Column | None) -> Column:
-    """Fold sorted blocks STRUCT(seq, height, forced) from a state; ``reserve`` is MAP(page -> px) kept free below."""
-
-    def place(s: Column, b: Column) -> Column:
-        room = _px(content) - (F.coalesce(reserve[s["page"]], F.lit(0.0)) if reserve is not None else F.lit(0.0))
-        turn = (s["offset"] > 0) & (b["forced"] | (s["offset"] + b["height"] > room + SLACK_PX))
-        ahead = F.greatest(F.lit(1).cast("long"), F.ceil(s["offset"] / _px(step)).cast("long"))
-        page_now = F.when(turn, s["page"] + ahead).otherwise(s["page"])
-        offset_now = F.when(turn, F.lit(0.0)).otherwise(s["offset"])
-        gap = F.when(turn, F.nullif(ahead * _px(step) - s["offset"], F.lit(0.0)))
-        return F.struct(
-            page_now.alias("page"), (offset_now + b["height"]).alias("offset"),
-            F.concat(s["out"], F.array(F.struct(
-                b["seq"].alias("seq"), page_now.alias("page"), offset_now.alias("offset_px"), gap.alias("spacer_px")))).alias("out"))
+def fill(heights, forced, page: int, offset: float, step: float, content: float, reserve: dict) -> tuple[list, list, list, int, float]:
+    """(pages, offsets, gaps) of blocks in order, folded from a state, and the state after them; ``reserve`` (page -> px) is kept free."""
+    pages, offsets, gaps = [], [], []
+    limit = content - reserve.get(page, 0.0) + SLACK_PX
+    for height, starts in zip(heights, forced):
+        gap = None
+        if offset > 0 and (starts or offset + height > limit):
+            ahead = max(1, math.ceil(offset / step))
+            gap = ahead * step - offset or None
+            page, offset = page + ahead, 0.0
+            limit = content - reserve.get(page, 0.0) + SLACK_PX
+        pages.append(page)
+        offsets.append(offset)
+        gaps.append(gap)
+        offset += height
+    return pages, offsets, gaps, page, offset
+
+
+def _fold(chunks: DataFrame, keys: list[str], base_px: float = 0) -> DataFrame:
+    """(keys, out, end_page, end_offset, _step): every chunk folded from ``in_page`` and ``in_offset``.
+
+    ``room``, a MAP(page -> px), is kept free. With ``notes``, ARRAY<STRUCT(seq, px)>, chunks are folded twice, the second time with
+    ``base_px`` and the notes of each page of the first kept free.
+    """
+    schema = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
 
-    start = F.struct(page.cast("long").alias("page"), offset.cast("double").alias("offset"),
-                     F.array().cast(_FOLDED).alias("out"))
-    return F.aggregate(items, start, place)
+    def run(batches):
+        for batch in batches:
+            at = {name: batch.column(name) for name in batch.schema.names}
+            seq, height, forced = at["items"].flatten().flatten()
+            heights, starts, ends = height.to_pylist(), forced.to_pylist(), np.cumsum(at["items"].value_lengths().to_numpy())
+            seqs = seq.to_pylist() if "notes" in at else []
+            out, after = ([], [], []), ([], [])
+            states = zip(*[at[c].to_pylist() for c in ("in_page", "in_offset", "_step", "_content")])
+            for i, (page, offset, step, content) in enumerate(states):
+                cut = slice(ends[i - 1] if i else 0, ends[i])
+                room = dict(at["room"][i].as_py() or ()) if "room" in at else {}
+                if "notes" in at and (notes := at["notes"][i].as_py()):
+                    notes = {n["seq"]: n["px"] for n in notes}
+                    for s, p in zip(seqs[cut], fill(heights[cut], starts[cut], page, offset, step, content, room)[0]):
+                        if s in notes:
+                            room[p] = room.get(p, float(base_px)) + notes[s]
+                *placed, page, offset = fill(heights[cut], starts[cut], page, offset, step, content, room)
+                for column, values in zip((*out, *after), (*placed, [page], [offset])):
+                    column.extend(values)
+            rows = pa.StructArray.from_arrays(
+                [seq, pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], ["seq", "page", "offset_px", "spacer_px"])
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([*[at[k] for k in keys], lists, pa.array(after[0], pa.int64()), pa.array(after[1], pa.float64()), at["_step"]],
+                                             names=[*keys, "out", "end_page", "end_offset", "_step"])
+
+    used = [c for c in (*keys, "items", "in_page", "in_offset", "_step", "_content", "room", "notes") if c in chunks.columns]
+    return chunks.select(*used).mapInArrow(run, f"{schema}, out {_FOLDED}, end_page bigint, end_offset double, _step double")
+
+
+def _entered(chunks: DataFrame, page: Column | None = None, offset: Column | None = None) -> DataFrame:
+    """Chunks with the state they are entered at, by default the top of a document."""
+    return chunks.withColumns({"in_page": F.lit(0).cast("long") if page is None else page, "in_offset": F.lit(0.0) if offset is None else offset})
+
+
+def _placed(folded: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per folded block."""
+    return folded.select(*keys, F.explode("out").alias("o")).select(*keys, "o.*")
 
 
 def _chunked(blocks: DataFrame, keys: list[str], chunk_blocks: int, step: float | str = 0, content: float | str = 0) -> DataFrame:
@@ -79,14 +127,13 @@ def paginate(
         return blocks.select(*keys, F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("page"),
                              F.lit(0.0).alias("offset_px"), F.lit(None).cast("double").alias("spacer_px"))
     chunks = _chunked(blocks, keys, chunk_blocks, page_step, content_height)
-    page, offset = F.lit(0), F.lit(0.0)
+    page, offset = None, None
     longest = blocks.agg(F.max("seq")).first()[0]
     if longest is not None and longest >= chunk_blocks:
         entry = _entry_states(chunks, keys, longest // chunk_blocks, map_fan)
         chunks = chunks.join(entry, [*keys, "chunk"], "left")
         page, offset = F.coalesce("in_page", F.lit(0)), F.coalesce("in_offset", F.lit(0.0))
-    folded = _fold(F.col("items"), page, offset, "_step", "_content", None)["out"]
-    return chunks.select(*keys, F.explode(folded).alias("o")).select(*keys, "o.*")
+    return _placed(_fold(_entered(chunks, page, offset), keys), keys)
 
 
 def chunk_effect(height: np.ndarray, forced: np.ndarray, step: float, content: float) -> tuple[list[dict], float]:
@@ -267,16 +314,15 @@ def paginate_with_notes(
     rounds: each round folds one chunk of every document that is still open and hands its end state to the next. A
     round never holds more than one chunk of a document; only the number of rounds grows with the longest document.
     """
-    first = paginate(blocks, page_step, content_height, chunk_blocks=chunk_blocks)
-    reserve = reserves(first, note_refs, base_px)
-    chunks = _chunked(blocks, ["doc_id"], chunk_blocks)
+    chunks = _chunked(blocks, ["doc_id"], chunk_blocks, page_step, content_height)
     longest = blocks.agg(F.max("seq")).first()[0] or 0
     if longest < chunk_blocks:
-        room = reserve.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "reserve_px"))).alias("room"))
-        joined = chunks.join(room, "doc_id", "left")
-        out = _fold(F.col("items"), F.lit(0), F.lit(0.0), page_step, content_height, F.col("room"))["out"]
-        return joined.select("doc_id", F.explode(out).alias("o")).select("doc_id", "o.*")
-    chunks, reserve = settle(chunks), settle(reserve)
+        # Documents of one chunk are folded twice where they are: the notes of a document come to its blocks, not each note to its block.
+        of_block = note_refs.groupBy("doc_id", F.col("seq").cast("long").alias("seq")).agg(F.sum(F.col("height_px").cast("double")).alias("px"))
+        notes = of_block.filter("px is not null").groupBy("doc_id").agg(F.collect_list(F.struct("seq", "px")).alias("notes"))
+        return _placed(_fold(_entered(chunks.join(notes, "doc_id", "left")), ["doc_id"], base_px), ["doc_id"])
+    first = paginate(blocks, page_step, content_height, chunk_blocks=chunk_blocks)
+    chunks, reserve = settle(chunks), settle(reserves(first, note_refs, base_px))
     state = chunks.filter("chunk = 0").select("doc_id", F.lit(0).cast("long").alias("in_page"), F.lit(0.0).alias("in_offset"))
     done: list[DataFrame] = []
     for k in range(longest // chunk_blocks + 1):
@@ -289,32 +335,42 @@ def paginate_with_notes(
             .filter((F.col("page") >= F.col("in_page")) & (F.col("page") <= F.col("_end")))
             .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "reserve_px"))).alias("room"))
         )
-        folded = settle(now.join(near, "doc_id", "left").select("doc_id", _fold(
-            F.col("items"), F.col("in_page"), F.col("in_offset"), page_step, content_height, F.col("room")).alias("f")))
-        done.append(folded.select("doc_id", F.explode("f.out").alias("o")).select("doc_id", "o.*"))
-        state = folded.select("doc_id", F.col("f.page").alias("in_page"), F.col("f.offset").alias("in_offset"))
+        folded = settle(_fold(now.join(near, "doc_id", "left"), ["doc_id"]))
+        done.append(_placed(folded, ["doc_id"]))
+        state = folded.select("doc_id", F.col("end_page").alias("in_page"), F.col("end_offset").alias("in_offset"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
-def section_numbers(blocks: DataFrame, leading: bool = False, order: str = "seq") -> DataFrame:
-    """Add ``section`` (0-based). Trailing: a boundary block ends its section; leading: it starts one."""
+def section_numbers(blocks: DataFrame, leading: bool = False, order: str = "seq", longest: int | None = None) -> DataFrame:
+    """Add ``section`` (0-based). Trailing: a boundary block ends its section; leading: it starts one. ``longest`` as in ``scan``."""
     flag = F.coalesce(F.col("boundary"), F.lit(False)).cast("long")
     if not leading:
-        return scan(blocks, ["doc_id"], order, section=running_sum(flag, inclusive=False))
+        return scan(blocks, ["doc_id"], order, longest=longest, section=running_sum(flag, inclusive=False))
     # A boundary on the very first block opens section 0 rather than an empty section before it.
-    out = scan(blocks, ["doc_id"], order, _n=running_sum(flag), _first=first_row(flag=flag))
+    out = scan(blocks, ["doc_id"], order, longest=longest, _n=running_sum(flag), _first=first_row(flag=flag))
     return out.withColumn("section", F.col("_n") - F.col("_first.flag")).drop("_n", "_first")
 
 
-def paginate_sections(blocks: DataFrame, page_step: float | str, content_height: float | str) -> DataFrame:
+def paginate_sections(blocks: DataFrame, page_step: float | str, content_height: float | str, longest: int | None = None) -> DataFrame:
     """Page each section on its own and number pages through the document: (doc_id, section, seq, page, page_in_section).
 
     ``blocks`` has doc_id, section, seq, height_px. Sections restart the fold, so they are paged independently, each with
-    its own page step and content height where these are columns.
+    its own page step and content height where these are columns. ``longest`` is the largest ``seq`` if it is known.
+
+    Where no section is longer than one chunk, blocks become a row per section before anything is joined or counted.
     """
+    longest = extent(blocks, "seq") if longest is None else longest
+    positive = all(isinstance(x, str) or x > 0 for x in (page_step, content_height))
+    if positive and (longest < CHUNK_BLOCKS or (blocks.groupBy("doc_id", "section").count().agg(F.max("count")).first()[0] or 0) <= CHUNK_BLOCKS):
+        keys = ["doc_id", "section"]
+        whole = _chunked(blocks, keys, longest + 1, page_step, content_height)
+        cards = F.greatest(F.col("end_page") + 1, F.ceil((F.col("end_page") * F.col("_step") + F.col("end_offset")) / F.col("_step")).cast("long"))
+        placed = scan(_fold(_entered(whole), keys), ["doc_id"], "section", longest=longest, _before=running_sum(cards, inclusive=False))
+        return _placed(placed, [*keys, "_before"]).select(
+            *keys, "seq", (F.col("page") + F.col("_before")).alias("page"), F.col("page").alias("page_in_section"))
     starts = blocks.groupBy("doc_id", "section").agg(F.min("seq").alias("_first"))
     local = blocks.join(starts, ["doc_id", "section"]).withColumn("seq", F.col("seq") - F.col("_first"))
     paged = paginate(local, page_step, content_height, keys=("doc_id", "section"))

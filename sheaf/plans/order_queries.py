@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators import history, numbering, paging
+from ..operators.scan import extent
 from . import fixtures as fx
 from .registry import query
 
@@ -294,8 +295,10 @@ FROM p JOIN o USING (doc_id, section)""", "fx_marks"))
 def paginate_sections(spark, sf):
     """Four page sizes take turns over the sections of a document."""
     less = 200 * (F.col("section") % 4)
-    sized = paging.section_numbers(mark_blocks(spark, sf)).withColumns({"step": STEP - less, "content": CONTENT - less})
-    return paging.paginate_sections(sized, "step", "content")
+    b = mark_blocks(spark, sf)
+    longest = extent(b, "seq")
+    sized = paging.section_numbers(b, longest=longest).withColumns({"step": STEP - less, "content": CONTENT - less})
+    return paging.paginate_sections(sized, "step", "content", longest)
 
 
 @query(fx.sql("""
