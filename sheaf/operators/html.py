@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_space, is_blank, round_half_up
@@ -62,7 +62,7 @@ def is_internal_html(html: Column) -> Column:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """(page_id, tok_no, token, tag, closing): tags and text in order; tag is null for text."""
-    return read_pages(pages).select("page_id", "tok_no", "token", "tag", "closing")
+    return read_pages(pages, context_too=False)
 
 
 def html_context(pages: DataFrame) -> DataFrame:
@@ -209,18 +209,21 @@ def html_cells(pages: DataFrame) -> DataFrame:
     c = html_context(pages)
     tag, opening = F.col("tag"), ~F.col("closing")
     token = F.col("token")
-    # Rows and cells are counted inside the innermost table: the last table opened at this depth.
-    inside = c.filter(F.col("n_table") > 0).withColumns({"_td": tag.isin("td", "th") & opening, "table_at": F.col("table_at").cast("long")})
-    starts = inside.filter("_td").select(
-        "page_id", "table_at", F.col("row_no").alias("_row"), F.col("tok_no").alias("cell_at"), (tag == "th").alias("is_header"),
-        F.coalesce(attribute(token, "colspan").try_cast("int"), F.lit(1)).alias("colspan"),
-        F.coalesce(attribute(token, "rowspan").try_cast("int"), F.lit(1)).alias("rowspan"))
-    first = starts.groupBy("page_id", "table_at").agg(F.min("_row").alias("_row0"))
-    numbered = scan(starts, ["page_id", "table_at", "_row"], "cell_at", longest=0, cell_no=running_sum(F.lit(1)))
-    text = inside.filter(F.col("tag").isNull() & F.col("cell.tag").isin("td", "th") & ~F.col("cell.closing")).select(
-        "page_id", F.col("cell.at").alias("cell_at"), F.struct("tok_no", decode_entities(token).alias("text")).alias("_x")
-    ).groupBy("page_id", "cell_at").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda r: r["text"]), "").alias("text"))
-    return numbered.join(first, ["page_id", "table_at"]).join(text, ["page_id", "cell_at"], "left").select(
-        "page_id", "table_at", (F.col("_row") - F.col("_row0")).alias("row_no"), "cell_no", "colspan", "rowspan", "is_header",
-        collapse_space(F.coalesce("text", F.lit(""))).alias("text"))
+    # Rows and cells are counted inside the innermost table: the last table opened at this depth. A cell is the token that opens it
+    # and the texts that name that token; they meet in one group, so that each page is read and dealt once.
+    opens = tag.isin("td", "th") & opening
+    texts = tag.isNull() & F.col("cell.tag").isin("td", "th") & ~F.col("cell.closing")
+    inside = c.filter((F.col("n_table") > 0) & F.coalesce(opens | texts, F.lit(False))).select(
+        "page_id", F.when(opens, F.col("tok_no")).otherwise(F.col("cell.at")).alias("cell_at"),
+        F.when(opens, F.struct(
+            F.col("table_at").cast("long").alias("table_at"), F.col("row_no").alias("row"), (tag == "th").alias("is_header"),
+            F.coalesce(attribute(token, "colspan").try_cast("int"), F.lit(1)).alias("colspan"),
+            F.coalesce(attribute(token, "rowspan").try_cast("int"), F.lit(1)).alias("rowspan"))).alias("_c"),
+        F.when(texts, F.struct("tok_no", decode_entities(token).alias("text"))).alias("_x"))
+    cells = inside.repartition("page_id").groupBy("page_id", "cell_at").agg(
+        F.max("_c").alias("_c"), F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda r: r["text"]), "").alias("text"))
+    cells = cells.filter("_c is not null").select("page_id", "cell_at", "_c.*", "text")
+    numbered = scan(cells, ["page_id", "table_at", "row"], "cell_at", longest=0, cell_no=running_sum(F.lit(1)))
+    first = F.min("row").over(Window.partitionBy("page_id", "table_at"))  # the rows of one page
+    return numbered.select(
+        "page_id", "table_at", (F.col("row") - first).alias("row_no"), "cell_no", "colspan", "rowspan", "is_header", collapse_space(F.col("text")).alias("text"))
