@@ -106,10 +106,11 @@ def read_lake(spark: SparkSession, path: str, name: str = "docs", version: int |
     The rows are those of one version of the lake, the newest or the one given; later loads do not change what is read.
     """
     _, loads = snapshot(spark, path, version)
-    docs = _newest(_loads(spark, path, "docs", loads))
+    docs = _loads(spark, path, "docs", loads)
     if name == "docs":
-        return docs
-    return _loads(spark, path, name, loads).join(docs.select("doc_id", "load"), ["doc_id", "load"], "left_semi")
+        return _newest(docs)
+    ids = _newest(docs.select("path", "doc_id", "content_sha256", "load")).select("doc_id", "load")
+    return _loads(spark, path, name, loads).join(ids, ["doc_id", "load"], "left_semi")
 
 
 def load_increment(spark: SparkSession, docs: DataFrame, tables: Mapping[str, DataFrame], path: str, whole: bool = False) -> DataFrame:
@@ -131,18 +132,22 @@ def _write_load(spark: SparkSession, docs: DataFrame, tables: Mapping[str, DataF
     """The folder name of what ``docs`` adds to ``loads``, and the documents in it; no name if nothing has changed."""
     changed, gone = docs, None
     if loads:
-        current = _newest(_loads(spark, path, "docs", loads))
+        # What is stored is told by its ids: contents are neither compared nor moved, and a document that is gone leaves none.
+        stored = _loads(spark, path, "docs", loads)
+        current = _newest(stored.select(*[c for c in ("path", "doc_id", "format", "content_sha256", "load") if c in stored.columns]))
         changed = new_or_changed(docs, current)
         if whole:
             gone = current.join(docs.select("path"), "path", "left_anti").withColumn("content_sha256", F.lit(None).cast("string")).drop("load")
     written = changed if gone is None else changed.unionByName(gone, allowMissingColumns=True)
-    if written.isEmpty():
+    if written.select("path").isEmpty():
         return None, docs.limit(0)
     load = f"{number:09d}-{uuid.uuid4().hex[:16]}"
-    ids = changed.select("doc_id")
-    for name, df in [*((n, t.join(ids, "doc_id", "left_semi")) for n, t in tables.items()), ("docs", written)]:
-        (df.write.partitionBy("format") if "format" in df.columns else df.write).parquet(f"{path}/{name}/load={load}")
-    return load, spark.read.schema(written.schema).parquet(f"{path}/docs/load={load}").filter("content_sha256 is not null")
+    put = lambda name, df: (df.write.partitionBy("format") if "format" in df.columns else df.write).parquet(f"{path}/{name}/load={load}")
+    put("docs", written)
+    added = spark.read.schema(written.schema).parquet(f"{path}/docs/load={load}").filter("content_sha256 is not null")
+    for name, df in tables.items():
+        put(name, df.join(added.select("doc_id"), "doc_id", "left_semi"))
+    return load, added
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
@@ -154,7 +159,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
     version, loads = snapshot(spark, path)
     if not loads:
         return []
-    docs = _loads(spark, path, "docs", loads)
+    docs = _loads(spark, path, "docs", loads).select("path", "content_sha256", "load")
     seen = {r.load for r in _newest(docs).select("load").distinct().collect()}
     hiding = {r.load for r in docs.where("content_sha256 is null").select("load").distinct().collect()}
     live = [x for k, x in enumerate(loads) if x in seen or x in hiding and any(y in seen for y in loads[:k])]
