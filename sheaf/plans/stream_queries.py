@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.scan import last_row, scan, with_positions
+from ..operators.scan import TASK_ROWS, last_row, scan, with_positions
 from ..streaming import feeds, live
 from . import fixtures as fx
 from .registry import query
@@ -24,11 +24,15 @@ def edit_stream(spark, sf):
 
 
 def scrambled(spark, df):
-    """``df`` as a feed of four files, each with events from all times, read one file per micro-batch."""
+    """``df`` as a feed of four portions, each with events from all times, read one portion per micro-batch. A portion is one file,
+    or several where it has more rows than one task should write and read."""
     folder = feeds.shared_folder(spark, "feed")
+    files = max(1, -(-df.count() // (4 * TASK_ROWS)))
     for k in (2, 0, 3, 1):
-        df.filter(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/edits.parquet")
-    return feeds.read_table_feed(spark, folder, "edits", files_per_trigger=1)
+        portion = df.filter(F.col("event_id") % 4 == k)
+        portion = portion.coalesce(1) if files == 1 else portion.repartition(files, "event_id")
+        portion.write.mode("append").parquet(f"{folder}/edits.parquet")
+    return feeds.read_table_feed(spark, folder, "edits", files_per_trigger=files)
 
 
 def edit_files(spark, sf):
