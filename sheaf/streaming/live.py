@@ -26,7 +26,7 @@ def _ids(value) -> list:
 
 
 class _LiveBlocks(StatefulProcessor):
-    """Blocks by id and the order of a document. Content sits in map state, read and written block by block."""
+    """Blocks by id and the order of a document. Content sits in map state; of a micro-batch only what it leaves is written."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.html = handle.getMapState("html", "block_id string", "html string")
@@ -41,16 +41,22 @@ class _LiveBlocks(StatefulProcessor):
             known = set(held)
             wanted = [i for i in _ids(m["order"]) if i in incoming or i in known]
             for gone in known.difference(wanted):
-                self.html.removeKey((gone,))
                 touched[gone] = None
             for i in wanted:
                 if i in incoming:
-                    self.html.updateValue((i,), (incoming[i],))
                     touched[i] = incoming[i]
             held = wanted
         if last is None:
             return
-        self.order.update((held,))
+        # Each call to the state is a round trip: one per block, not per message.
+        kept, was = set(held), set(before)
+        for i, h in touched.items():
+            if i in kept:
+                self.html.updateValue((i,), (h,))
+            elif i in was:
+                self.html.removeKey((i,))
+        if held != before:
+            self.order.update((held,))
         out = [(key[0], "removed" if h is None else "block", i, h, None) for i, h in touched.items()]
         if held != before:
             out.append((key[0], "order", None, None, held))
