@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,31 @@ def _ids(value) -> list:
     return [] if value is None else list(value)
 
 
+#: Documents are dealt to so many groups where the state of each is small: a group costs some milliseconds a micro-batch, and
+#: what lies in its map state is read and written by document.
+BUCKETS = 1024
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _doc() -> Column:
+    """``doc_id`` as the text by which map state knows it."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("doc")
+
+
+def _doc_id(feed: DataFrame) -> Column:
+    """``doc_id`` of ``feed`` back from ``doc``."""
+    return F.when(F.col("doc") != "", F.substr("doc", F.lit(2))).cast(feed.schema["doc_id"].dataType).alias("doc_id")
+
+
+def _clock(name: str) -> Column:
+    """Where a message stands in the order of events, by one column. Messages without it come first."""
+    value = F.unix_micros(F.col(name).cast("timestamp")) if name == "ts" else F.col(name).cast("long")
+    return F.coalesce(value, F.lit(-(1 << 63))).alias(name)
+
+
 class _LiveBlocks(StatefulProcessor):
     """Blocks by id and the order of a document. Content sits in map state; of a micro-batch only what it leaves is written."""
 
@@ -86,32 +111,36 @@ def current_blocks(emitted: DataFrame) -> DataFrame:
 
 
 class _EmitChanges(StatefulProcessor):
-    """The last reported snapshot of a document; a new one is described by its difference to it."""
+    """The last reported snapshot of each document of a bucket; a new one is described by its difference to it.
+
+    Snapshots are JSON: the ids and, in the same order, the contents. Each document met costs one read and one write of the state,
+    however many snapshots and blocks it has.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.html = handle.getMapState("html", "block_id string", "html string")
-        self.order = handle.getValueState("order", "ids array<string>")
+        self.held = handle.getMapState("held", "doc_id string", "ids string, htmls string")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = _ids(self.order.get()[0]) if self.order.exists() else None
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        came = pd.concat(frames).sort_values(["doc", "ts", "event_id"])
         out = []
-        for m in _in_order(rows):
-            now = {b["id"]: b["html"] for b in _ids(m["blocks"])}
-            known = set(held or ())
-            changed = [(i, h) for i, h in now.items() if i not in known or self.html.getValue((i,))[0] != h]
-            removed = [i for i in held or () if i not in now]
-            for i, h in changed:
-                self.html.updateValue((i,), (h,))
-            for i in removed:
-                self.html.removeKey((i,))
-            # The first snapshot is the state subscribed to, not an edit; a pure move changes no content.
-            if held is not None and (changed or removed) and not m["echo"]:
-                out.append((key[0], m["event_id"], [{"id": i, "html": h} for i, h in changed], removed, list(now)))
-            held = list(now)
-        if held is not None:
-            self.order.update((held,))
+        for (doc,), f in came.groupby(["doc"], sort=False):
+            ids, htmls = self.held.getValue((doc,)) or (None, None)
+            held = None if ids is None else dict(zip(json.loads(ids), json.loads(htmls)))
+            for event_id, echo, ids, htmls in zip(f["event_id"], f["echo"], f["ids"], f["htmls"]):
+                now = dict(zip(json.loads(ids), json.loads(htmls)))
+                # The first snapshot is the state subscribed to, not an edit; a pure move changes no content.
+                if held is not None and not echo:
+                    changed = [{"id": i, "html": h} for i, h in now.items() if i not in held or held[i] != h]
+                    removed = [i for i in held if i not in now]
+                    if changed or removed:
+                        out.append((doc, event_id, json.dumps(changed), json.dumps(removed), json.dumps(list(now))))
+                held = now
+            self.held.updateValue((doc,), (json.dumps(list(held)), json.dumps(list(held.values()))))
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "event_id", "changed", "removed", "order"])
+            yield pd.DataFrame(out, columns=["doc", "event_id", "changed", "removed", "order"])
 
     def close(self) -> None:
         pass
@@ -122,9 +151,14 @@ def emit_block_changes(snapshots: DataFrame) -> DataFrame:
 
     An ``echo`` snapshot holds a peer's change: it moves the baseline but is not announced.
     """
-    key = snapshots.schema["doc_id"].dataType.simpleString()
-    return snapshots.groupBy("doc_id").transformWithStateInPandas(
-        _EmitChanges(), f"doc_id {key}, event_id bigint, changed array<struct<id:string,html:string>>, removed array<string>, `order` array<string>", "Append", "None")
+    as_json = lambda part: F.to_json(F.coalesce(F.col(f"blocks.{part}"), F.array().cast("array<string>")))
+    sent = snapshots.select(_bucket("doc_id"), _doc(), _clock("ts"), "event_id", F.coalesce("echo", F.lit(False)).alias("echo"),
+                            as_json("id").alias("ids"), as_json("html").alias("htmls"))
+    emitted = sent.groupBy("bucket").transformWithStateInPandas(
+        _EmitChanges(), "doc string, event_id bigint, changed string, removed string, `order` string", "Append", "None")
+    return emitted.select(
+        _doc_id(snapshots), "event_id", F.from_json("changed", "array<struct<id:string,html:string>>").alias("changed"),
+        F.from_json("removed", "array<string>").alias("removed"), F.from_json("order", "array<string>").alias("order"))
 
 
 class _UndoRedo(StatefulProcessor):
@@ -155,42 +189,52 @@ def undo_redo(ops: DataFrame, cap: int = 50) -> DataFrame:
         _UndoRedo(cap), f"doc_id {key}, event_id bigint, state string, undo_depth bigint, redo_depth bigint", "Append", "None")
 
 
-def _clock(m: dict) -> list[int]:
-    """Where a message stands in the order of events: time, then event id. Messages without a time come first."""
-    return [-1 if pd.isna(m["ts"]) else m["ts"].value, -1 if pd.isna(m["event_id"]) else int(m["event_id"])]
-
-
 class _LiveExtras(StatefulProcessor):
-    """The value of one extra with the clock of the event that set it; geometry has a clock for each field.
+    """The extras of the documents of a bucket, with the clock of the event that set each; geometry has a clock for each field.
 
-    An event older than the one a value comes from changes nothing, in whichever micro-batch it arrives.
+    An event older than the one a value comes from changes nothing, in whichever micro-batch it arrives. So messages are taken as
+    they come, without a sort, and each document met costs one read and one write of the state.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value string, clocks string")
+        self.extras = handle.getMapState("extras", "doc_id string", "extras string")
 
     def handleInputRows(self, key, rows, timerValues):
-        held, clocks = self.value.get() if self.value.exists() else (None, None)
-        value, clocks = held, json.loads(clocks) if clocks else {}
-        for m in _in_order(rows):
-            clock = _clock(m)
-            try:
-                if key[1] == "geometry":
-                    fields = {k: v for k, v in json.loads(m["value"]).items() if clock >= clocks.get(k, clock)}
-                    clocks.update(dict.fromkeys(fields, clock))
-                    # Sorted keys, so that the same geometry always compares equal.
-                    value = json.dumps({**(json.loads(value) if value else {}), **fields}, sort_keys=True)
-                    continue
-                if key[1] in ("note", "styles"):
-                    json.loads(m["value"])
-            except (AttributeError, TypeError, ValueError):
-                continue  # unreadable: what is held stays
-            if clock >= clocks.get("", clock):
-                clocks[""] = clock
-                value = m["value"]
-        self.value.update((value, json.dumps(clocks)))
-        if value != held:
-            yield pd.DataFrame([(*key, value)], columns=["doc_id", "kind", "id", "value"])
+        docs, touched = {}, {}
+        for f in rows:
+            for doc, kind, id, *clock, message in zip(*(f[c].tolist() for c in ("doc", "kind", "id", "ts", "event_id", "value"))):
+                if doc not in docs:
+                    held = self.extras.getValue((doc,))
+                    # Text of kind and id: value, clocks.
+                    docs[doc] = json.loads(held[0]) if held else {}
+                name = json.dumps([kind, id])
+                if (doc, name) not in touched:
+                    extra = docs[doc].setdefault(name, [None, {}])
+                    touched[doc, name] = kind, id, extra, extra[0]
+                self._apply(kind, touched[doc, name][2], message, clock)
+        out = [(doc, kind, id, extra[0]) for (doc, _), (kind, id, extra, was) in touched.items() if extra[0] != was]
+        for doc, extras in docs.items():
+            self.extras.updateValue((doc,), (json.dumps(extras),))
+        if out:
+            yield pd.DataFrame(out, columns=["doc", "kind", "id", "value"])
+
+    @staticmethod
+    def _apply(kind: str, extra: list, message: str | None, clock: list[int]) -> None:
+        clocks = extra[1]
+        try:
+            if kind == "geometry":
+                fields = {k: v for k, v in json.loads(message).items() if clock >= clocks.get(k, clock)}
+                clocks.update(dict.fromkeys(fields, clock))
+                # Sorted keys, so that the same geometry always compares equal.
+                extra[0] = json.dumps({**(json.loads(extra[0]) if extra[0] else {}), **fields}, sort_keys=True)
+                return
+            if kind in ("note", "styles"):
+                json.loads(message)
+        except (AttributeError, TypeError, ValueError):
+            return  # unreadable: what is held stays
+        if clock >= clocks.get("", clock):
+            clocks[""] = clock
+            extra[0] = message
 
     def close(self) -> None:
         pass
@@ -200,14 +244,14 @@ def live_extras(extras: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Current extras per (doc_id, kind, id), emitted only when a micro-batch changed them.
 
     ``known`` lists the bands and notes (doc_id, kind, id) that documents have: others are ignored, since applying them
-    would create parts nobody asked for. State is keyed below the document, so a busy document is spread out.
+    would create parts nobody asked for. A document's extras lie together in the state; its messages are folded one at a time.
     """
     if known is not None:
         owned = extras.filter(F.col("kind").isin("band", "note")).join(known, ["doc_id", "kind", "id"], "left_semi")
         extras = owned.unionByName(extras.filter(~F.col("kind").isin("band", "note")))
-    key = extras.schema["doc_id"].dataType.simpleString()
-    return extras.groupBy("doc_id", "kind", "id").transformWithStateInPandas(
-        _LiveExtras(), f"doc_id {key}, kind string, id string, value string", "Append", "None")
+    sent = extras.select(_bucket("doc_id"), _doc(), "kind", "id", _clock("ts"), _clock("event_id"), "value")
+    emitted = sent.groupBy("bucket").transformWithStateInPandas(_LiveExtras(), "doc string, kind string, id string, value string", "Append", "None")
+    return emitted.select(_doc_id(extras), "kind", "id", "value")
 
 
 def first_deliveries(edits: DataFrame, delay: str | None = None) -> DataFrame:
