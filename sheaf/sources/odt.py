@@ -19,6 +19,7 @@ STYLE_PARTS = ("content", "odt_styles")
 HOLDERS = ["office:text", "table:table-cell", "text:note-body", "style:header", "style:footer", "style:header-left", "style:footer-left",
            "style:header-first", "style:footer-first"]
 HIDDEN = ["office:annotation", "draw:frame", "text:note", "text:tracked-changes", "text:ruby-text", "text:bookmark-ref"]
+TEXT_TAGS = ["#text", "text:s", "text:tab", "text:line-break"]
 FIELD_KINDS = {
     "text:page-number": "PAGE", "text:page-count": "NUMPAGES", "text:date": "DATE", "text:time": "TIME",
     "text:author-name": "AUTHOR", "text:file-name": "FILENAME", "text:sequence": "seq", "text:bookmark-ref": "xref",
@@ -53,7 +54,7 @@ def _is_text(holder: Column) -> Column:
     depth = F.array_position("ids", holder).cast("int")
     below = F.slice("trail", depth + 1, F.greatest(F.size("trail") - depth, F.lit(0)))
     shown = ~F.arrays_overlap(below, F.array(*[F.lit(t) for t in [*HIDDEN, *FIELD_KINDS]]))
-    return F.coalesce(F.col("tag").isin("#text", "text:s", "text:tab", "text:line-break") & (depth > 0) & shown, F.lit(False))
+    return F.coalesce(F.col("tag").isin(*TEXT_TAGS) & (depth > 0) & shown, F.lit(False))
 
 
 def style_rows(nodes: DataFrame) -> DataFrame:
@@ -111,19 +112,23 @@ def blocks(nodes: DataFrame) -> DataFrame:
     """
     n = part_nodes(nodes, CONTENT)
     # A list item is one block: the nearest item wins over the paragraphs inside it.
-    b = n.withColumn("b", F.coalesce(inside("text:list-item", "text:note-body", "table:table-cell"), F.lit(-1)))
-    owner = F.when(F.array_contains("trail", "text:list-item") & _nearest_is_item(), F.col("b")).otherwise(inside("text:p", "text:h"))
-    mine = b.withColumn("b", owner).filter(F.col("b").isNotNull() & ~F.array_contains("trail", "text:tracked-changes"))
-    head = F.col("node_id") == F.col("b")
+    item, other = inside("text:list-item"), inside("text:note-body", "table:table-cell")
+    owner = F.when(item > F.coalesce(other, F.lit(-1)), item).otherwise(inside("text:p", "text:h"))
+    # Other nodes neither are blocks nor say anything about theirs.
+    mine = n.filter(F.col("tag").isin("text:p", "text:h", "text:list-item", "text:sequence", *TEXT_TAGS) & ~F.array_contains("trail", "text:tracked-changes")).withColumn("b", owner)
     level = F.least(F.lit(3), F.greatest(F.lit(1), F.coalesce(attr("text:outline-level").try_cast("int"), F.lit(1))))
     depth = F.size(F.filter("trail", lambda t: t == "text:list"))
-    grouped = mine.groupBy(*KEY, F.col("b").alias("pos")).agg(
-        pick(head, F.struct(
+    # Worked out before the rows are grouped, which sorts them: what goes there is narrow.
+    said = mine.select(
+        *KEY, "node_id", F.col("b").alias("pos"), F.when(F.col("node_id") == F.col("b"), F.struct(
             F.when(F.col("tag") == "text:h", "h").when(F.col("tag") == "text:list-item", "li").otherwise("p").alias("kind"),
             F.when(F.col("tag") == "text:h", level).when(F.col("tag") == "text:list-item", depth - 1).alias("level"),
-            F.coalesce(attr("text:style-name"), F.lit("")).alias("style"), up(1).alias("container"), id_up(1).alias("container_id"), inside("text:list").alias("list_pos"))).alias("_h"),
-        joined_text(_is_text(F.col("b")), _text_of()).alias("text"),
-        pick(F.col("tag") == "text:sequence", F.coalesce(attr("text:name"), F.lit("Figure"))).alias("_seq"))
+            F.coalesce(attr("text:style-name"), F.lit("")).alias("style"), up(1).alias("container"), id_up(1).alias("container_id"), inside("text:list").alias("list_pos"))).alias("_head"),
+        F.when(_is_text(F.col("b")), _text_of()).alias("_text"), F.when(F.col("tag") == "text:sequence", F.coalesce(attr("text:name"), F.lit("Figure"))).alias("_name"))
+    # Nodes outside of blocks form a group without a head.
+    grouped = said.groupBy(*KEY, "pos").agg(
+        pick(F.col("_head").isNotNull(), F.col("_head")).alias("_h"), joined_text(F.col("_text").isNotNull(), F.col("_text")).alias("text"),
+        pick(F.col("_name").isNotNull(), F.col("_name")).alias("_seq"))
     kept = grouped.filter(F.col("_h.container").isin(*HOLDERS, "text:list")).select(
         *KEY, "pos", "_h.kind", "_h.level", F.col("_h.style").alias("style_id"), "_h.container", "_h.container_id",
         F.when(F.col("_h.kind") == "li", F.col("_h.list_pos")).alias("list_pos"), F.when(F.col("_h.kind") == "p", caption_kind_odt(F.col("_seq"))).alias("caption_kind"), "text")
@@ -148,12 +153,6 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return scan(out, ["doc_id", "part"], "pos", longest=0, seq=running_sum(F.lit(1), inclusive=False))
 
 
-def _nearest_is_item() -> Column:
-    """The innermost of list item, note body and table cell around the node is a list item."""
-    position = lambda t: F.coalesce(F.nullif(F.array_position(F.reverse("trail"), t), F.lit(0).cast("long")), F.lit(1 << 30).cast("long"))
-    return (position("text:list-item") < position("text:note-body")) & (position("text:list-item") < position("table:table-cell"))
-
-
 def runs(nodes: DataFrame) -> DataFrame:
     """Text runs with the formats of all spans around them; for colours, fonts and sizes the innermost span decides.
 
@@ -162,7 +161,7 @@ def runs(nodes: DataFrame) -> DataFrame:
     n = part_nodes(nodes, CONTENT).filter(~F.array_contains("trail", "text:tracked-changes"))
     edges = n.filter(F.col("tag").isin("text:change-start", "text:change-end")).groupBy("doc_id", attr("text:change-id").alias("change_id")).agg(
         F.min(F.when(F.col("tag") == "text:change-start", F.col("node_id"))).alias("start_pos"), F.max(F.when(F.col("tag") == "text:change-end", F.col("node_id"))).alias("end_pos"))
-    text = n.withColumn("b", inside("text:p", "text:h")).filter(_is_text(F.col("b"))).select(
+    text = n.filter(F.col("tag").isin(*TEXT_TAGS)).withColumn("b", inside("text:p", "text:h")).filter(_is_text(F.col("b"))).select(
         *KEY, F.col("b").alias("block_pos"), F.col("node_id").alias("pos"), _text_of().alias("text"), inside("text:a").alias("_a"),
         F.transform(F.filter(F.arrays_zip("trail", "ids"), lambda z: z["trail"] == "text:span"), lambda z: z["ids"]).alias("_spans"))
     spans = n.filter("tag = 'text:span'").select(*KEY, F.col("node_id").alias("_span"), attr("text:style-name").alias("style_id")).join(text_formats(nodes), ["doc_id", "style_id"], "left")
